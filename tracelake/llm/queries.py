@@ -7,17 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, piece_tokens, url_filter
-from tracelake.llm.shared import table
+from tracelake.llm import compression_quality, exact_dedup, language_id, piece_tokens, quality_rules, secret_scan, url_filter
+from tracelake.llm.shared import fold, table
 
 #: (host, path, verdict), as the query's contract fixes them.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.filter(fold(F.col("doc_id"), 5) != 0))
+    told = language_id.identify(docs, net)
+    return told.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.encode(table(spark, sf_dir, "documents"), ids=False, digests=True)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row_no")
 
@@ -27,10 +42,21 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = compression_quality.fit(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
+    scored = compression_quality.score(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_piece_tokens": op2_piece_tokens,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
+    "op10_compression_quality": op10_compression_quality,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,4 +79,4 @@ select p.page_id, p.host, p.path, m.rule, coalesce(m.rule_verdict, 'allow') as v
 from p left join m on p.page_id = m.page_id and m.k = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}

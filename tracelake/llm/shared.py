@@ -53,3 +53,17 @@ def slices(batch, columns: list[str], most: int = 4_000_000):
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def hash_sample(df: DataFrame, id_col: str, want: int, seed: int) -> DataFrame:
+    """About `want` rows of `df`, and never over twice as many: those whose id hashes below a threshold.
+
+    The threshold follows the number of rows, so every size is sampled alike; tables of up to
+    `want` rows are taken whole. Rows with a null id are left out.
+    """
+    rows = df.filter(F.col(id_col).isNotNull())
+    n = rows.count()
+    if n <= want:
+        return rows
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30))
+    return rows.filter(place < int((1 << 30) * want / n)).orderBy(place, id_col).limit(2 * want)
