@@ -74,8 +74,8 @@ def _recipes(id_type: pa.DataType, id_bits: int, cut: tuple[int, int, int]):
                     ids.append([_short(c, id_bits) for c in chunks])
                     proofs.append([hashlib.sha256(c).digest() for c in chunks])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(id_type), part.column("row_no"), pa.array(shas, pa.string()), pa.array(ids, pa.list_(pa.int64())), pa.array(proofs, pa.list_(pa.binary()))],
-                    names=["doc_id", "row_no", "text_sha256", "recipe", "proofs"],
+                    [part.column("doc_id").cast(id_type), part.column("text_key"), pa.array(shas, pa.string()), pa.array(ids, pa.list_(pa.int64())), pa.array(proofs, pa.list_(pa.binary()))],
+                    names=["doc_id", "text_key", "text_sha256", "recipe", "proofs"],
                 )
 
     return run
@@ -92,7 +92,8 @@ def _contents(id_bits: int, cut: tuple[int, int, int]):
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_bits: int = 11, least: int = 512, most: int = 16_384, id_bits: int = 64) -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, text_key
+    (xxhash64 of the text as it is).
 
     Texts are equal when identical after lower-casing A-Z only; a null text is the empty text.
     The row with the largest id of a group stays (a null id ranks below every other), and of
@@ -107,9 +108,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     arrow_id = pa.int64() if id_type.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
     out_id = "long" if arrow_id == pa.int64() else "string"
     rows = docs.select(F.col(id_col).cast(out_id).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    recipes = settle(
-        rows.withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(_recipes(arrow_id, id_bits, cut), f"doc_id {out_id}, row_no long, text_sha256 string, recipe array<long>, proofs array<binary>")
-    )
+    recipes = rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_recipes(arrow_id, id_bits, cut), f"doc_id {out_id}, text_key long, text_sha256 string, recipe array<long>, proofs array<binary>")
+    recipes = settle(recipes.withColumn("row_no", F.monotonically_increasing_id()))
     # Grouping by the content itself is the proof: two groups of one identifier are a collision.
     contents = rows.select("text").mapInArrow(_contents(id_bits, cut), "chunk_id long, content binary").groupBy("chunk_id", "content").agg(F.count(F.lit(1)).alias("uses"))
     collided = settle(contents.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("chunk_id"))
@@ -122,7 +122,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         named = marked.withColumn("name", F.when(F.col("clash"), F.concat_ws(":", "chunk_id", F.hex("proof"))).otherwise(F.col("chunk_id").cast("string")))
         lists = named.groupBy("row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("recipe"))
         verified = recipes.drop("recipe").join(lists, "row_no", "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<string>")))
-    verified = verified.select("doc_id", "row_no", "text_sha256", F.array_join("recipe", ",").alias("recipe"))
+    verified = verified.select("doc_id", "row_no", "text_key", "text_sha256", F.array_join("recipe", ",").alias("recipe"))
     groups = verified.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_no")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     joined = verified.join(groups.filter("group_size > 1"), "recipe", "left")
     alone = F.col("best").isNull()
@@ -132,5 +132,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row_no") == F.col("best.row_no"))).alias("kept"),
         "text_sha256",
-        "row_no",
+        "text_key",
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns; exactly one row of each group."""
+    groups = settle(exact_groups(docs, id_col, text_col, **options))
+    kept = groups.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    repeats = groups.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("kept_key"))
+    if repeats.isEmpty():
+        return docs.join(kept, same, "left_semi")
+    # Only rows that repeat an id together with its text are gathered, one a group.
+    again = docs.join(kept.join(repeats, ["kept_id", "kept_key"], "left_semi").unionByName(kept.filter("kept_id is null")), same, "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(kept, same, "left_semi").join(repeats, same, "left_anti").unionByName(again.join(repeats, same, "left_semi"))

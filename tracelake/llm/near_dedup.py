@@ -224,7 +224,7 @@ def least_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+    """One row per row of `docs`: doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text).
 
     Two texts are linked when 100 * intersection >= percent * union of their sets of `words`-word
     shingles (A-Z lower-cased; a text with fewer words is one shingle). component_id is the least
@@ -283,6 +283,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             labels = least_labels(names, links.union(more))
 
     component = settle(classes.join(labels.select("node", "label"), "node", "left").select("set_id", F.coalesce("label", "name").alias("component")))
-    joined = sketch.select("doc_id", "n_shingles", "set_id").join(component, "set_id", "left")
+    joined = sketch.select("doc_id", "text_key", "n_shingles", "set_id").join(component, "set_id", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"), "text_key")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: of each component the one with the least id."""
+    gone = settle(near_groups(docs, id_col, text_col, words, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    same = (F.col(id_col).cast("long") == F.col("gone_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("gone_key"))
+    return docs.join(gone, same, "left_anti")

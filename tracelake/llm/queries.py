@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import compression_quality, exact_dedup, language_id, near_dedup, piece_tokens, quality_rules, secret_scan, url_filter
+from tracelake.llm import compression_quality, exact_dedup, language_id, license_scan, near_dedup, packing, piece_tokens, quality_rules, secret_scan, url_filter
 from tracelake.llm.shared import fold, table
 
 #: (host, path, verdict), as the query's contract fixes them.
@@ -33,12 +33,16 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(piece_tokens.encode(table(spark, sf_dir, "documents"), ids=False))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2)
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2).drop("text_key")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row_no")
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +50,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan_licenses(docs, license_scan.fit(docs))
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = compression_quality.fit(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
@@ -58,9 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_tokens": op2_piece_tokens,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_license_scan": op9_license_scan,
     "op10_compression_quality": op10_compression_quality,
 }
 
