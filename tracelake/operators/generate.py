@@ -122,9 +122,14 @@ def condition_cases(flow: DataFrame) -> DataFrame:
     return c.select("unit", "name", "op", "threshold", true.alias("true_value"), false.alias("false_value"))
 
 
-def generation_method(branches: Column, loops: Column, calls: Column) -> Column:
-    """Method code of a unit's tests from its numbers of branches, loops and calls."""
-    return F.when(branches + loops > 0, F.lit("EC, BVA")).when(calls > 0, F.lit("RBT, BVA")).otherwise(F.lit("RBT"))
+def generation_method(inputs: Column, has_conditions: Column) -> Column:
+    """How a unit's tests are made, from its number of inputs and whether it has conditions."""
+    return F.when(has_conditions & (inputs > 0), F.lit("AEC, ABV")).when(inputs > 2, F.lit("ABV, AOR")).when(inputs > 0, F.lit("ABV")).otherwise(F.lit("AOR"))
+
+
+def test_method(inputs: Column, has_conditions: Column, has_loops: Column) -> Column:
+    """How a unit is tested: FNCT with control flow, FIT with inputs, else RVW."""
+    return F.when(has_conditions | has_loops, F.lit("FNCT")).when(inputs > 0, F.lit("FIT")).otherwise(F.lit("RVW"))
 
 
 def incidence(cases: DataFrame, case: str, requirement: str) -> DataFrame:

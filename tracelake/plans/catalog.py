@@ -1,13 +1,9 @@
-"""All registered queries of the reference's operators and their SQL."""
+"""All registered queries of the analytic operators and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tracelake.plans import measures, relations  # noqa: F401  (they register themselves)
+from tracelake.plans.registry import ORACLE_SQL, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-FLAGSHIP = "coverage_rollup"
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "gate_summary"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "Query"]
