@@ -28,19 +28,18 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int | None = None, stop_over:
     With `stop_over` the search ends after the hop that brings the nodes seen over that number.
     Each hop is one join of the last frontier with the edges and one anti-join with what is seen.
     """
-    seen = checkpointed(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
-    frontier, total, k = seen, None, 0
+    seen = frontier = checkpointed(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
+    k = 0
     while k < (most if most is not None else MAX_ROUNDS):
         k += 1
         reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(reached.join(seen, "node", "left_anti").withColumn("hop", F.lit(k)))
+        # Every frontier is settled, so what is seen is their union and needs no copy of its own.
+        frontier = checkpointed(reached.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(k)))
         if frontier.isEmpty():
             break
-        seen = checkpointed(seen.union(frontier))
-        if stop_over is not None:
-            total = seen.count()
-            if total > stop_over:
-                break
+        seen = seen.union(frontier)
+        if stop_over is not None and seen.count() > stop_over:
+            break
     return seen
 
 

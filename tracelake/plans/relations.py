@@ -324,14 +324,14 @@ def impact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     EDGES_SQL
-    + """, m as (select e.src, e.dst from e join part a on a.p_partkey = e.src join part b on b.p_partkey = e.dst where a.p_brand = b.p_brand and a.p_type = b.p_type),
+    + """, m as (select e.src, e.dst from e join part a on a.p_partkey = e.src join part b on b.p_partkey = e.dst where a.p_brand = b.p_brand),
     d as (select 0::bigint as node union select dst from m join d on src = node), a as (select 0::bigint as node union select src from m join a on dst = node)
     select node from d union select node from a"""
 )
 def directed_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed closure from part 0 over calls inside a brand and type."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    of = lambda c: part.select(F.col("p_partkey").alias(c), F.concat_ws("|", "p_brand", "p_type").alias(f"{c}_kind"))
+    """Directed closure from part 0 over calls inside a brand."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    of = lambda c: part.select(F.col("p_partkey").alias(c), F.col("p_brand").alias(f"{c}_kind"))
     edges = _edges(spark, sf_dir).join(of("src"), "src").join(of("dst"), "dst").filter("src_kind = dst_kind")
     return graph.directed_impact(edges, spark.createDataFrame([(0,)], "node long"))
 
@@ -435,7 +435,7 @@ def requirement_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES_SQL = r"""
-    with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no from documents),
+    with l as (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '[^\x00-\x7F]', 'x', 'g') as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no from documents),
     c as (select doc_id, line_no, case when regexp_matches(line, '(?i)\b(error|fatal|exception|fail(?:ed|ure)?|unable|cannot|crash|abort|denied|rejected)\b') then 'ERROR'
       when regexp_matches(line, '(?i)\b(warn(?:ing)?|caution|deprecated|timeout|retry|skip(?:ped)?)\b') then 'WARNING'
       when regexp_matches(line, '(?i)((?:build|test|compile|link|deploy|checkout|svn|git|coverage|pass|result|complete|finish|start|begin)\b)') then 'KEY' else 'INFO' end as level from l)
