@@ -81,7 +81,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    parts = mins.reshape(len(mins), -1, BAND_ROWS).astype(np.uint64)
+    parts = mins.reshape(len(mins), PERMUTATIONS // BAND_ROWS, BAND_ROWS).astype(np.uint64)
     keys = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(BAND_ROWS):
         keys = (keys ^ parts[:, :, k]) * BAND_FACTORS[k]
