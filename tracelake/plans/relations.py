@@ -450,7 +450,7 @@ def log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-    with l as (select conv_id, turn as line_no, case when role = 'system' then 1 end as open, text from conversations),
+    with l as (select conv_id, turn as line_no, case when role = 'system' then 1 end as open, case when role <> 'system' then text else '' end as text from conversations),
     s as (select *, max(case when open = 1 then line_no end) over (partition by conv_id order by line_no) as st from l)
     select conv_id, 'stage' || st as stage, count(*) filter (regexp_matches(text, '(?i)\b(error|fatal|exception|fail(?:ed|ure)?|unable|cannot|crash|abort|denied|rejected)\b')) as errors, min(line_no) as first_line
     from s where st is not null group by 1, 2

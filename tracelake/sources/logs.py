@@ -42,12 +42,16 @@ def stamped(line: Column | str) -> Column:
 
 
 def classify(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds level, message (200 characters) and the open stage of each line; a closing line ends any stage."""
+    """Adds level, message (200 characters) and the open stage of each line.
+
+    A line that opens or closes a stage is of level STAGE; a closing line ends any stage.
+    """
     text = trimmed("text")
     w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     name = F.regexp_extract("text", STAGE_OPEN, 1)
     mark = F.when(name != "", name).when(F.col("text").rlike(STAGE_CLOSE), F.lit(""))
-    return lines.select(*keys, "line_no", level(text).alias("level"), F.substring(text, 1, 200).alias("message"), F.nullif(F.last(mark, ignorenulls=True).over(w), F.lit("")).alias("stage"))
+    kind = F.when(mark.isNotNull(), F.lit("STAGE")).otherwise(level(text))
+    return lines.select(*keys, "line_no", kind.alias("level"), F.substring(text, 1, 200).alias("message"), F.nullif(F.last(mark, ignorenulls=True).over(w), F.lit("")).alias("stage"))
 
 
 def stages(classified: DataFrame, keys: list[str]) -> DataFrame:
