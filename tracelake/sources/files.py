@@ -72,7 +72,7 @@ def complexity_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, body (variant; null where a file is no JSON), and the first 20 keys with the number of keys."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     keys = F.json_object_keys("value")
     return files.select("path", F.try_parse_json("value").alias("body"), F.slice(keys, 1, 20).alias("keys"), F.coalesce(F.size(keys), F.lit(0)).alias("n_keys"))
 

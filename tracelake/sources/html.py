@@ -12,7 +12,7 @@ from tracelake.functions.text import _col, without_tags
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     """path, html: whole files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
 def _entities(x: Column) -> Column:

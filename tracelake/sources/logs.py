@@ -18,7 +18,7 @@ STAMPS = [r"^(\d{2}:\d{2}:\d{2}\.\d+)\s+(.*)", r"^\[(\d{4}-\d{2}-\d{2}T[\d:]+)\]
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no (from 1), text of text files; one row a line, whole files in one row each before."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return lines_of(files, ["path"], "value")
 
 
