@@ -198,3 +198,54 @@ def test_relations_filters_and_sinks(spark, tmp_path):
     new = spark.createDataFrame([(2, "B"), (None, "N"), (3, "c")], "k int, v string")
     assert sorted(r["v"] for r in sinks.upserted(old, new, ["k"]).collect()) == ["B", "N", "a", "c"]
     assert spark.read.parquet(sinks.write_version(old, str(tmp_path / "t"), 0)).count() == 3
+
+
+def test_reports(spark):
+    from tracelake.sources import reports
+
+    status = "<table><tr><th>Name</th><th>Testcases</th><th>Statements</th><th>Execute Time</th></tr><tr><td>x</td><td>1 / 2 (50%)</td><td></td><td>0:01</td></tr><tr><td>ALL</td><td>69 / 79 (75%)</td><td>5/10</td><td>1:02:03</td></tr></table>"
+    pages = spark.createDataFrame([(1, status)], "id int, html string")
+    row = reports.full_report(pages, ["id"], "html").first()
+    assert tuple(row["testcases"]) == (69, 79, 0.75) and tuple(row["statements"]) == (5, 10, 0.5) and row["execute_seconds"] == 3723
+    text = "Code Coverage for a.c\n 5 of 10 Lines Covered 1 of 4 Branches Covered Code Coverage for b.c<br> 9 of 10 Lines Covered"
+    modules = reports.module_coverage(spark.createDataFrame([(1, text)], "id int, html string"), ["id"], "html")
+    assert tuple(reports.coverage_totals(modules, ["id"]).first()) == (1, 70.0, 25.0)
+    assert [r["module"] for r in reports.worst_modules(modules, ["id"], 1).collect()] == ["a.c"]
+    cells = spark.createDataFrame([(1, '<td class="a col_metric">50 %</td><td class="col_metric"><b>75.5%</b></td><td>9%</td>')], "id int, html string")
+    assert tuple(reports.metric_percentages(cells, ["id"], "html").first()) == (1, 62.75, 2)
+    wide = spark.createDataFrame([(1, "<table><tr><th>Files</th><th>R1</th><th>R2</th></tr><tr><td>a</td><td>1</td><td>2</td></tr><tr><td>b</td><td>5</td><td>x</td></tr></table>")], "id int, html string")
+    assert rows(reports.column_totals(html.table_rows(wide, ["id"], "html"), ["id"], "Files", 1), "rule", "count") == [("R1", 6.0)]
+    paths = spark.createDataFrame([("/ci/job1/source/a.c",)], "p string")
+    assert rows(paths.select(reports.remapped("p", [("/ci/{job}/source/", "src/")], "job1").alias("q")), "q") == [("src/a.c",)]
+
+
+def test_requirement_blocks(spark):
+    from tracelake.sources import requirements
+
+    doc = "intro\nID x SwTR_01\nName Door lock\nDescription Lock the\ndoor at\n\nnot read\nRelated ID SwCom_1, SwFn_2\nASIL ASIL-B\nSwTSR_02: Second\nDescription\nsafe\nType x\nmore"
+    found = requirements.blocks(logs.lines_of(spark.createDataFrame([(1, doc), (2, None)], "doc int, t string"), ["doc"], "t"), ["doc"])
+    assert rows(found, "id", "name", "description", "asil") == [("SwTR_01", "Door lock", "Lock the door at", "B"), ("SwTSR_02", "Second", "safe", "")]
+    assert rows(requirements.components(found), "requirement_id", "kind", "target") == [("SwTR_01", "component", "SwCom_1"), ("SwTR_01", "function", "SwFn_2")]
+
+
+def test_generated_cases(spark):
+    flow = spark.createDataFrame([("f", 0, "if", "a > 10"), ("f", 1, "loop", "i < 3"), ("g", 0, "return", "0")], "function string, ordinal int, type string, condition string")
+    reqs = spark.createDataFrame([("SwTR_1",), ("SwTR_2",)], "req_id string")
+    cases = generate.test_cases(reqs, spark.createDataFrame([("SwTR_1", "f"), ("SwTR_2", "g")], "req_id string, function string"), flow)
+    assert rows(cases, "testcase") == [("SwTC_TR_1_01",), ("SwTC_TR_1_02",), ("SwTC_TR_2_01",)]
+    assert tuple(generate.case_quality(cases, reqs).first()) == (3, 2, 1.5, 100.0)
+    toggles = generate.toggled_conditions(flow.filter("function = 'f'").withColumnRenamed("function", "unit"))
+    assert rows(toggles, "strategy", "name", "value") == [("MCDC_0", "a", 10), ("MCDC_1", "i", 3), ("MCDC_BASE", "a", 11), ("MCDC_BASE", "i", 2)]
+    v = spark.createDataFrame([("u", 0, "u16_speed"), ("u", 1, "s8_temp")], "unit string, ordinal int, name string")
+    both = generate.sequences([generate.boundary_rows(v), generate.condition_rows(v), generate.loop_rows(v.limit(1))], 8)
+    assert both.select("seq").distinct().count() == 8
+    assert rows(generate.boundary_rows(v).filter("strategy = 'MIXED'"), "name", "value") == [("s8_temp", 127.0), ("u16_speed", 0.0)]
+    sheet = spark.createDataFrame([("A", 1, 1, "x")], "sheet string, row int, col int, value string")
+    assert rows(generate.structure_issues(sheet, ["A", "B"], {"A": (2, 9)}), "sheet", "issue") == [("A", "too_few"), ("B", "missing")]
+
+
+def test_line_diffs_and_modules(spark):
+    pairs = spark.createDataFrame([(1, "a\nb\nc", "a\nc\nd"), (2, None, "")], "key int, x string, y string")
+    assert rows(relate.line_diff(pairs, "x", "y"), "key", "added", "removed") == [(1, 1, 1), (2, 0, 0)]
+    f = spark.createDataFrame([("g_ReadSensor", "src/adc.c"), ("MotorStart", None)], "name string, file string")
+    assert rows(relate.module_candidates(f, "name", "file"), "module", "confidence") == [("Motor", 0.6), ("adc", 0.9)]

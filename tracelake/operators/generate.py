@@ -160,3 +160,77 @@ def signature_cases(parameters: DataFrame, most: int) -> DataFrame:
 
     w = Window.partitionBy("function").orderBy("ordinal", "k")
     return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("function", "name", "value", "n")
+
+
+def loop_rows(units: DataFrame) -> DataFrame:
+    """Three rows for each unit with a loop variable (unit, name): 0, 1 and the largest value."""
+    bounds = unit_bounds("name", variable_type("name"))
+    rows = F.array(*[F.struct(F.lit(s).alias("strategy"), v.alias("value")) for s, v in (("LOOP_ZERO", F.lit(0.0)), ("LOOP_ONE", F.lit(1.0)), ("LOOP_MAX", F.get(bounds, F.lit(3))))])
+    return units.select("unit", "name", F.inline(rows))
+
+
+def switch_rows(cases: DataFrame, most: int = 6) -> DataFrame:
+    """One row for each of the first switch cases of a unit (unit, ordinal, name, value)."""
+    return cases.filter(F.col("ordinal") < most).select("unit", F.concat(F.lit("SWITCH_"), F.col("ordinal").cast("string")).alias("strategy"), "name", "value")
+
+
+def global_rows(variables: DataFrame, most: int = 3) -> DataFrame:
+    """One row for each of the first globals of a unit (unit, ordinal, name) at its least value."""
+    bounds = unit_bounds("name", variable_type("name"))
+    return variables.filter(F.col("ordinal") < most).select("unit", F.concat(F.lit("GLOBAL_"), F.col("ordinal").cast("string")).alias("strategy"), "name", F.get(bounds, F.lit(1)).alias("value"))
+
+
+def toggled_conditions(flow: DataFrame, most: int = 6) -> DataFrame:
+    """A base row with every condition true, and one for each of the first conditions made false: unit, strategy, name, value."""
+    from pyspark.sql import Window
+
+    cases = condition_cases(flow).dropDuplicates(["unit", "name", "op", "threshold"])
+    placed = cases.withColumn("k", F.row_number().over(Window.partitionBy("unit").orderBy("name", "op", "threshold")) - 1)
+    base = placed.select("unit", F.lit("MCDC_BASE").alias("strategy"), "name", F.col("true_value").alias("value"))
+    each = placed.filter(F.col("k") < most).select("unit", F.concat(F.lit("MCDC_"), F.col("k").cast("string")).alias("strategy"), "name", F.col("false_value").alias("value"))
+    return base.unionByName(each)
+
+
+def sequences(parts: list[DataFrame], most: int) -> DataFrame:
+    """Strategies' rows (unit, strategy, name, value) in the order of the list, the first `most` strategies of a unit numbered by seq."""
+    from pyspark.sql import Window
+
+    both = None
+    for k, part in enumerate(parts):
+        rows = part.select(F.lit(k).alias("part"), "unit", "strategy", "name", F.col("value").cast("double").alias("value"))
+        both = rows if both is None else both.unionByName(rows)
+    seq = F.dense_rank().over(Window.partitionBy("unit").orderBy("part", "strategy"))
+    return both.withColumn("seq", seq).filter(F.col("seq") <= most).drop("part")
+
+
+def test_cases(requirements: DataFrame, functions: DataFrame, flow: DataFrame, most: int = 5) -> DataFrame:
+    """Test cases of requirements over their functions' branches: req_id, testcase, function, step.
+
+    `functions` is (req_id, function), `flow` has the control statements (function, ordinal, type,
+    condition). A case is made for each branch in order, `most` for a requirement, and one review
+    case where a requirement has no branch. Ids read SwTC_<id>_<nn>.
+    """
+    from pyspark.sql import Window
+
+    branches = functions.join(flow.filter(F.col("type").isin("if", "switch", "loop")), "function")
+    step = F.concat(F.lit("Check "), F.col("type"), F.lit(" ["), F.col("condition"), F.lit("] of "), F.col("function"))
+    w = Window.partitionBy("req_id").orderBy("function", "ordinal")
+    cases = branches.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).select("req_id", "k", "function", step.alias("step"))
+    review = requirements.select("req_id").distinct().join(cases, "req_id", "left_anti").select("req_id", F.lit(1).alias("k"), F.lit(None).cast("string").alias("function"), F.lit("Review the requirement").alias("step"))
+    both = cases.unionByName(review)
+    return both.select("req_id", F.concat(F.lit("SwTC_"), F.regexp_replace("req_id", "^Sw", ""), F.lit("_"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("testcase"), "function", "step")
+
+
+def case_quality(cases: DataFrame, requirements: DataFrame) -> DataFrame:
+    """One row: test cases, requirements with one, mean cases a requirement (one decimal) and coverage percent."""
+    per = requirements.select("req_id").distinct().join(cases.groupBy("req_id").agg(F.count_distinct("testcase").alias("n")), "req_id", "left")
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cases"), F.count("n").alias("covered"), F.bround(F.avg(F.coalesce("n", F.lit(0))), 1).alias("mean_cases"), F.bround(100.0 * F.count("n") / F.count(F.lit(1)), 1).alias("coverage_pct"))
+
+
+def structure_issues(rows: DataFrame, sheets: list[str], expected: dict[str, tuple[int, int]]) -> DataFrame:
+    """Issues of a workbook's cells (sheet, row, col, value): sheets that are missing, and sheets whose number of rows is outside its range."""
+    spark = rows.sparkSession
+    counted = rows.groupBy("sheet").agg(F.count_distinct("row").alias("n"))
+    wanted = spark.createDataFrame([(s, *map(float, expected.get(s, (0, float("inf"))))) for s in sheets], "sheet string, least double, most double")
+    issue = F.when(F.col("n").isNull(), F.lit("missing")).when(F.col("n") < F.col("least"), F.lit("too_few")).when(F.col("n") > F.col("most"), F.lit("too_many"))
+    return wanted.join(counted, "sheet", "left").select("sheet", issue.alias("issue")).filter("issue is not null")

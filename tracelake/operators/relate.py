@@ -186,3 +186,53 @@ def integration_flows(functions: DataFrame, edges: DataFrame, callees: int = 4,
 def globals_usage(usage: DataFrame) -> DataFrame:
     """Functions that use each global (name, function): name, n, functions sorted."""
     return usage.groupBy("name").agg(F.count_distinct("function").alias("n"), F.sort_array(F.collect_set("function")).alias("functions"))
+
+
+def line_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """Line diffs of text pairs (key, old, new): key, added, removed, ratio (twice the matching lines over all lines).
+
+    Each pair is compared by itself inside an Arrow task; the pairs are what Spark deals out.
+    """
+    from difflib import SequenceMatcher
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = (a or "").splitlines(), (b or "").splitlines()
+                match = SequenceMatcher(None, x, y, autojunk=False)
+                kept = sum(m.size for m in match.get_matching_blocks())
+                out.append((len(y) - kept, len(x) - kept, match.ratio()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))]], names=["key", "added", "removed", "ratio"])
+
+    kind = pairs.schema["key"].dataType.simpleString()
+    return pairs.select("key", F.col(old).cast("string").alias("a"), F.col(new).cast("string").alias("b")).mapInArrow(run, f"key {kind}, added int, removed int, ratio double")
+
+
+def linked_rows(rows: DataFrame, name: str, flagged: DataFrame) -> DataFrame:
+    """Rows of a document that belong to flagged functions (function)."""
+    from tracelake.operators.filters import among
+
+    return among(rows, name, flagged, "function")
+
+
+def suspicious_counts(variables: DataFrame, component: str, name: str, description: str) -> DataFrame:
+    """Variable rows of each component and how many look like parse errors: names REG_..., descriptions that are files."""
+    odd = F.col(name).startswith("REG_") | F.lower(F.trim(description)).rlike(r"\.[ch]$")
+    return variables.groupBy(component).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(odd, F.lit(False))).alias("suspicious"))
+
+
+def function_requirements(functions: DataFrame, name: str, related: str) -> DataFrame:
+    """(requirement, function) pairs of functions' related ids that begin with Sw, REQ, SRS or SDS."""
+    return functions.select(F.explode(text.split_list(related)).alias("requirement"), F.col(name).alias("function")).filter(F.col("requirement").rlike("^(Sw|REQ|SRS|SDS)")).distinct()
+
+
+def module_candidates(functions: DataFrame, name: str, file: str) -> DataFrame:
+    """Best module of each function: its file's stem (0.9), else the first part of a snake or Pascal case name (0.6)."""
+    stem = F.regexp_extract(file, r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
+    bare = F.regexp_replace(name, r"^[sgu]\d*[sg]?_", "")
+    part = F.regexp_extract(F.regexp_replace(bare, "([a-z0-9])([A-Z])", "$1_$2"), r"^([A-Za-z0-9]+)", 1)
+    known = F.coalesce(stem, F.lit("")) != ""
+    return functions.select(name, F.when(known, stem).otherwise(part).alias("module"), F.when(known, 0.9).otherwise(0.6).alias("confidence"))
