@@ -7,8 +7,8 @@ candidate pair. What passes is confirmed on the full sets.
 
 Texts with equal sets are one node. In a bucket, members are first compared with one hub only,
 the member that shares most buckets: that settles groups of any size with as many pairs as
-members. Members still apart from their hub then meet the rest of the bucket in blocks of bounded
-size, inside which pairs are compared without being rows.
+members. Members still apart from their hub then meet the rest of the hub's buckets in blocks of
+bounded size, inside which pairs are compared without being rows.
 """
 
 from __future__ import annotations
@@ -169,50 +169,80 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8_192) -> np.ndarray:
+    """Exact intersection sizes of every left with every right set, as products of 0/1 matrices.
+
+    Only shingles that stand on both sides get a column, and columns are taken a part at a time,
+    so memory is bounded however long the texts are.
+    """
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    found = np.zeros((len(left), len(right)), dtype=np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        hit = both[at] == flat
+        return row[hit], at[hit]
+
+    if len(both):
+        (ra, ca), (rb, cb) = places(left), places(right)
+        for start in range(0, len(both), columns):
+            a, b = np.zeros((len(left), columns), dtype=np.float32), np.zeros((len(right), columns), dtype=np.float32)
+            for m, r, c in ((a, ra, ca), (b, rb, cb)):
+                here = (c >= start) & (c < start + columns)
+                m[r[here], c[here] - start] = 1
+            found += a @ b.T
+    return found.astype(np.int64)
+
+
 def _settle_block(words: int, percent: int):
-    """Links that join different components inside one block of a bucket, no more than a forest of them."""
+    """Links that join different components inside one block of a crowd, no more than a forest of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        left, right = table.filter(pc.equal(table["side"], 0)), table.filter(pc.equal(table["side"], 1))
-        nodes = [t["node"].to_pylist() for t in (left, right)]
-        text = {n: x for t in (left, right) for n, x in zip(t["node"].to_pylist(), t["text"].to_pylist(), strict=True)}
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        label = {n: c for t in (left, right) for n, c in zip(t["node"].to_pylist(), t["label"].to_pylist(), strict=True)}
-        hashes, sets, a, b = _WordHashes(), {}, [], []
-        if nodes[0] and nodes[1]:
-            sketch = [np.array(t["bits"].to_pylist(), dtype=np.int64) for t in (left, right)]
-            guess = estimates(*sketch)
-            for i, j in np.argwhere(guess >= LEAST_ESTIMATE).tolist():
-                x, y = nodes[0][i], nodes[1][j]
-                if x == y or root(label[x]) == root(label[y]):
-                    continue
-                for n in (x, y):
-                    if n not in sets:
-                        sets[n] = shingle_set(text[n], hashes, words)
-                if alike(sets[x], sets[y], percent):
-                    parent[root(label[x])] = root(label[y])
-                    a.append(x)
-                    b.append(y)
+        sides = [table.filter(pc.equal(table["side"], k)) for k in (0, 1)]
+        a, b = [], []
+        if all(len(t) for t in sides):
+            nodes, labels = [t["node"].to_pylist() for t in sides], [t["label"].to_pylist() for t in sides]
+            likely = estimates(*[np.array(t["bits"].to_pylist(), dtype=np.int64) for t in sides]) >= LEAST_ESTIMATE
+            likely &= np.array(labels[0])[:, None] != np.array(labels[1])[None, :]
+            rows, columns = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+            if len(rows):
+                hashes = _WordHashes()
+                sets = [[shingle_set(t["text"][int(i)].as_py(), hashes, words) for i in keep] for t, keep in zip(sides, (rows, columns), strict=True)]
+                both = overlaps(*sets)
+                union = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]])[None, :] - both
+                parent: dict[int, int] = {}
+
+                def root(x: int) -> int:
+                    while parent.setdefault(x, x) != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                for i, j in np.argwhere((100 * both >= percent * union) & likely[np.ix_(rows, columns)]).tolist():
+                    x, y = int(rows[i]), int(columns[j])
+                    p, q = root(labels[0][x]), root(labels[1][y])
+                    if p != q:
+                        parent[p] = q
+                        a.append(nodes[0][x])
+                        b.append(nodes[1][y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def least_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def least_labels(nodes: DataFrame, links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Least label reachable from each node: (node, name, label) from nodes (node, name) and links (a, b).
 
+    `known` holds labels found over some of the links already.
+
     Labels spread along the links, and each node also takes the label of the node that its label
     names, so a chain of n links takes about log n rounds.
     """
     edges = settle(links.union(links.select("b", "a")).distinct())
     linked = nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    labels = settle(linked.select("node", "name", F.col("name").alias("label")))
+    if known is not None:
+        linked = linked.join(known.select("node", F.col("label").alias("old")), "node", "left")
+    labels = settle(linked.select("node", "name", (F.col("name") if known is None else F.coalesce("old", "name")).alias("label")))
     while True:
         heard = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         spread = labels.join(heard, "node").select("node", "name", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
@@ -263,24 +293,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = least_labels(names, links)
 
     label_of = lambda name: labels.select(F.col("node").alias(name), F.col("node").isNotNull().alias(f"{name}_linked"), F.col("label").alias(f"{name}_label"))
-    crowd = members.filter("size > 2").join(label_of("node"), "node", "left").join(label_of("hub"), "hub", "left")
     # A node outside all links is a component of its own; negative numbers keep those apart from labels.
     number = lambda name: F.when(F.col(f"{name}_linked"), F.col(f"{name}_label")).otherwise(-1 - F.col(name))
-    crowd = settle(crowd.select("slot", "size", "hub", "node", number("node").alias("label"), (number("node") != number("hub")).alias("stray")))
-    strays = crowd.filter("stray")
-    if not strays.isEmpty():
-        counts = strays.groupBy("slot").agg(F.count(F.lit(1)).alias("n_stray"))
+    # Buckets of one hub hold much the same members: they are settled together, as one crowd.
+    crowd = members.filter("size > 2 and node <> hub").select("hub", "node").distinct().join(label_of("node"), "node", "left").join(label_of("hub"), "hub", "left")
+    crowd = settle(crowd.select("hub", "node", number("node").alias("label"), (number("node") != number("hub")).alias("stray")))
+    counts = crowd.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.count_if("stray").alias("n_stray")).filter("size > 1 and n_stray > 0")
+    if not counts.isEmpty():
         left_blocks, right_blocks = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("n_stray") / BLOCK).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        block = lambda n: F.pmod(F.hash("node", "slot"), n)
-        met = crowd.filter("node <> hub").join(counts, "slot")
-        left = met.select(F.lit(0).alias("side"), "slot", "node", "label", block(left_blocks).alias("x"), every(right_blocks).alias("y"))
-        right = met.filter("stray").select(F.lit(1).alias("side"), "slot", "node", "label", every(left_blocks).alias("x"), block(right_blocks).alias("y"))
+        block = lambda n: F.pmod(F.hash("node", "hub"), n)
+        met = crowd.join(counts, "hub")
+        left = met.select(F.lit(0).alias("side"), "hub", "node", "label", block(left_blocks).alias("x"), every(right_blocks).alias("y"))
+        right = met.filter("stray").select(F.lit(1).alias("side"), "hub", "node", "label", every(left_blocks).alias("x"), block(right_blocks).alias("y"))
         blocks = left.union(right).join(sketches, "node").join(texts, "node")
-        more = blocks.groupBy("slot", "x", "y").applyInArrow(_settle_block(words, percent), "a long, b long").distinct()
-        more = settle(more)
+        more = settle(blocks.groupBy("hub", "x", "y").applyInArrow(_settle_block(words, percent), "a long, b long").distinct())
         if not more.isEmpty():
-            labels = least_labels(names, links.union(more))
+            labels = least_labels(names, links.union(more), labels)
 
     component = settle(classes.join(labels.select("node", "label"), "node", "left").select("set_id", F.coalesce("label", "name").alias("component")))
     joined = sketch.select("doc_id", "text_key", "n_shingles", "set_id").join(component, "set_id", "left")
