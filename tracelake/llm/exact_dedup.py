@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import settle, slices
+from tracelake.llm.shared import join_by_size, settle, slices
 
 WINDOW_STEPS = 5  # the rolling hash covers 2**5 bytes
 
@@ -124,7 +124,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         verified = recipes.drop("recipe").join(lists, "row_no", "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<string>")))
     verified = verified.select("doc_id", "row_no", "text_key", "text_sha256", F.array_join("recipe", ",").alias("recipe"))
     groups = verified.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_no")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    joined = verified.join(groups.filter("group_size > 1"), "recipe", "left")
+    joined = join_by_size(verified, groups.filter("group_size > 1"), "recipe", "group_size", F.col("row_no"))
     alone = F.col("best").isNull()
     return joined.select(
         "doc_id",

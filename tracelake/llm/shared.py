@@ -67,3 +67,19 @@ def hash_sample(df: DataFrame, id_col: str, want: int, seed: int) -> DataFrame:
         return rows
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30))
     return rows.filter(place < int((1 << 30) * want / n)).orderBy(place, id_col).limit(2 * want)
+
+
+def join_by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, hot: int = 256, parts: int = 64) -> DataFrame:
+    """`rows` left-joined with one row a key of `groups`; keys of over `hot` rows are dealt over `parts` tasks.
+
+    Large groups are few (one in `hot` rows at most), so a copy of each for every part stays small.
+    `spread` deals the rows of a key. Rows that met a large group get a key of their own in the
+    second join, so that no key of it is hot.
+    """
+    facts = [c for c in groups.columns if c != key]
+    large = groups.filter(F.col(size) > hot).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    first = rows.withColumn("part", F.pmod(F.hash(spread), F.lit(parts))).join(large, [key, "part"], "left").drop("part")
+    small = groups.filter(F.col(size) <= hot).select(F.col(key).cast("string").alias("small_key"), *[F.col(c).alias(f"small_{c}") for c in facts])
+    free = F.when(F.col(size).isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("of "), spread.cast("string")))
+    both = first.withColumn("free_key", free).join(small, F.col("free_key") == F.col("small_key"), "left")
+    return both.select(*rows.columns, *[F.coalesce(c, f"small_{c}").alias(c) for c in facts])
