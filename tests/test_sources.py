@@ -249,3 +249,32 @@ def test_line_diffs_and_modules(spark):
     assert rows(relate.line_diff(pairs, "x", "y"), "key", "added", "removed") == [(1, 1, 1), (2, 0, 0)]
     f = spark.createDataFrame([("g_ReadSensor", "src/adc.c"), ("MotorStart", None)], "name string, file string")
     assert rows(relate.module_candidates(f, "name", "file"), "module", "confidence") == [("Motor", 0.6), ("adc", 0.9)]
+
+
+def test_environment_and_case_reports(spark):
+    from tracelake.sources import reports
+
+    page = '<table><tr><th>File / Environment</th><th>Statements</th><th>Branches</th></tr><tr><td class="i0 x">a.c</td><td>1 / 2 (50%)</td><td>0 / 4 (0%)</td></tr><tr><td class="i1">env</td><td>9/9</td><td></td></tr><tr><td class="i0">b.c</td><td>1 / 10 (10%)</td><td>3 / 4 (75%)</td></tr></table>'
+    files_ = reports.environment_files(spark.createDataFrame([(1, page)], "id int, html string"), ["id"], "html")
+    assert [r["file"] for r in reports.worst_files(files_, ["id"], "statements", 1).collect()] == ["b.c"]
+    assert [r["file"] for r in reports.worst_files(files_, ["id"], "branches", 1).collect()] == ["a.c"]
+    cases = "<h2>Intro</h2>x<h2>Test Case 1</h2><table><tr><td>Unit</td><td>a</td></tr></table><h4>Inputs</h4><pre>x = 1</pre>"
+    got = reports.test_cases(spark.createDataFrame([(1, cases)], "id int, html string"), ["id"], "html")
+    assert rows(got, "testcase", "key", "value") == [("Test Case 1", "Unit", "a"), ("Test Case 1", "code:Inputs", "x = 1")]
+
+
+def test_macros_pointers_and_constants(spark):
+    source = "#define CALL(x) helper(x)\n#define A 0x10\n#define B (A + 2)\n#define C B\n#define D (1 << 3)\n#define E text\nvoid f(void) { CALL(1); cb = &target; cb(2); other = &unused; }\n"
+    src = spark.createDataFrame([("a.c", source)], "path string, text string")
+    found, known = code.functions(src), code.macros(src)
+    assert rows(code.macro_calls(found, known), "src", "dst") == [("f", "helper")]
+    assert rows(code.pointer_calls(found, spark.createDataFrame([("target",), ("unused",)], "name string")), "src", "dst") == [("f", "target")]
+    assert rows(code.constants(known), "name", "value") == [("A", 16), ("B", 18), ("C", 18), ("D", 8)]
+
+
+def test_token_match_and_defaults(spark):
+    f = spark.createDataFrame([("g_ReadSpeedValue", "SwTR_1"), ("Lone", None)], "name string, related string")
+    e = spark.createDataFrame([("SpeedRead", "SwTR_1, SwTR_2"), ("ReadSpeedValueFast", ""), ("Other", None)], "entry string, ids string")
+    assert rows(relate.token_match(f, "name", "related", e, "entry", "ids"), "name", "entry", "score") == [("g_ReadSpeedValue", "SpeedRead", 14)]
+    done = relate.finished_fields(spark.createDataFrame([("g_ReadSpeed", "tbd", " ", None)], "name string, asil string, related string, description string")).first()
+    assert tuple(done) == ("g_ReadSpeed", "QM", "TBD", "Performs read speed.")

@@ -59,7 +59,7 @@ def first_of_pair(rows: DataFrame, file: str, function: str, order: str) -> Data
     clean = rows.withColumns({c: F.trim(c) for c in (file, function)})
     clean = clean.filter((F.col(file) != "") & (F.col(function) != "") & ~F.upper(F.col(function)).contains("TOTALS") & ~F.upper(F.col(file)).contains("TOTALS"))
     w = Window.partitionBy(file, function).orderBy(order)
-    return clean.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    return clean.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
 
 
 def line_hits(lines: DataFrame, query: str, regex: bool = False, match_case: bool = False, most: int | None = None, order: tuple[str, ...] = ("path", "line_no")) -> DataFrame:

@@ -46,8 +46,8 @@ def build_trend(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
 def last_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The last `n` rows of each key with `place`, oldest first."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order])
-    kept = rows.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n)
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("k")))).drop("k")
+    kept = rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= n)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_place")))).drop("_place")
 
 
 def numbered(rows: DataFrame, key: str, order: list[str], name: str = "seq") -> DataFrame:

@@ -236,3 +236,27 @@ def module_candidates(functions: DataFrame, name: str, file: str) -> DataFrame:
     part = F.regexp_extract(F.regexp_replace(bare, "([a-z0-9])([A-Z])", "$1_$2"), r"^([A-Za-z0-9]+)", 1)
     known = F.coalesce(stem, F.lit("")) != ""
     return functions.select(name, F.when(known, stem).otherwise(part).alias("module"), F.when(known, 0.9).otherwise(0.6).alias("confidence"))
+
+
+def token_match(rows: DataFrame, name: str, related: str, entries: DataFrame, entry: str, entry_related: str, least: int = 6) -> DataFrame:
+    """Each row's best entry by shared related ids (10 each) and shared name words (2 each, 6 at most): name, entry, score.
+
+    Ids and words are equality joins; pairs without anything in common are never made. Ties go to
+    the first entry by name.
+    """
+    words = lambda c: F.array_distinct(F.transform(text.name_words(c), lambda w: F.lower(w)))
+    a = rows.select(F.col(name).alias("name"), text.split_list(related).alias("ids"), words(name).alias("words"))
+    b = entries.select(F.col(entry).alias("entry"), text.split_list(entry_related).alias("ids"), words(entry).alias("words"))
+    parts = []
+    for kind, weight in (("ids", 10), ("words", 2)):
+        left, right = a.select("name", F.explode(kind).alias("key")).distinct(), b.select("entry", F.explode(kind).alias("key")).distinct()
+        parts.append(left.join(right, "key").groupBy("name", "entry").agg((F.count(F.lit(1)) * weight).alias("s")).withColumn("s", F.col("s") if kind == "ids" else F.least(F.col("s"), F.lit(6))))
+    total = parts[0].unionByName(parts[1]).groupBy("name", "entry").agg(F.sum("s").alias("score")).filter(F.col("score") >= least)
+    best = total.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("m"), "entry")).alias("b"))
+    return best.select("name", F.col("b.entry").alias("entry"), (-F.col("b.m")).alias("score"))
+
+
+def finished_fields(functions: DataFrame) -> DataFrame:
+    """Defaults where a function's fields say nothing: asil QM, related TBD, precondition N/A, description from its name."""
+    default = {"asil": F.lit("QM"), "related": F.lit("TBD"), "precondition": F.lit("N/A"), "description": F.concat(F.lit("Performs "), F.lower(F.array_join(text.name_words("name"), " ")), F.lit("."))}
+    return functions.withColumns({c: F.when(text.meaningful(c), text.trimmed(c)).otherwise(v) for c, v in default.items() if c in functions.columns})

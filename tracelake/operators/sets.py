@@ -28,4 +28,4 @@ def first_by_priority(sources: list[DataFrame], key: str, order: str) -> DataFra
         part = source.withColumn("priority", F.lit(k))
         both = part if both is None else both.unionByName(part)
     w = Window.partitionBy(key).orderBy("priority", order)
-    return both.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    return both.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")

@@ -129,3 +129,46 @@ def comment_facts(files: DataFrame) -> DataFrame:
     p = r"[@\\](asil|req|requirement|related|brief|safety)\b[ \t:]*([^\n*]*)"
     each = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(f"(?i)({p})"), F.lit(1))).alias("t"))
     return each.select("path", F.lower(F.regexp_extract("t", f"(?i){p}", 1)).alias("tag"), F.trim(F.regexp_extract("t", f"(?i){p}", 2)).alias("value"))
+
+
+def macro_calls(found: DataFrame, known_macros: DataFrame, most: int = 50) -> DataFrame:
+    """src, dst, ordinal: functions that a macro used in a body calls; `known_macros` is (name, value)."""
+    from pyspark.sql import Window
+
+    bodies = known_macros.select(F.regexp_extract("name", r"^(\w+)", 1).alias("macro"), F.explode(call_names("value")).alias("dst")).distinct()
+    words = F.array_distinct(F.regexp_extract_all(without_comments_and_strings("body"), F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1)))
+    uses = found.select(F.col("name").alias("src"), F.posexplode(words).alias("place", "macro"))
+    edges = uses.join(bodies, "macro").filter("src <> dst").groupBy("src", "dst").agg(F.min("place").alias("place"))
+    placed = edges.withColumn("ordinal", F.row_number().over(Window.partitionBy("src").orderBy("place", "dst")) - 1)
+    return placed.filter(F.col("ordinal") < most).select("src", "dst", "ordinal")
+
+
+def pointer_calls(found: DataFrame, known: DataFrame) -> DataFrame:
+    """src, dst: known functions (name) whose address a body stores in a name that it then calls."""
+    pair = r"([A-Za-z_]\w*)\s*=\s*&\s*([A-Za-z_]\w*)\s*;"
+    body = without_comments_and_strings("body")
+    stored = found.select(F.col("name").alias("src"), call_names("body").alias("calls"), F.explode(F.regexp_extract_all(body, F.lit(f"({pair})"), F.lit(1))).alias("p"))
+    stored = stored.select("src", "calls", F.regexp_extract("p", pair, 1).alias("alias"), F.regexp_extract("p", pair, 2).alias("dst"))
+    return stored.filter(F.array_contains("calls", F.col("alias"))).join(known.select(F.col("name").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct()
+
+
+def constants(known_macros: DataFrame, rounds: int = 4) -> DataFrame:
+    """name, value (long) of macros that are whole numbers or sums, differences, products and shifts of such.
+
+    Names in a value are put in by joins with the macros known so far, `rounds` times; what then is
+    no expression of numbers is left out.
+    """
+    number = r"^\(?\s*(-?(?:0[xX][0-9A-Fa-f]+|\d+))[uUlL]*\s*\)?$"
+    digits = F.regexp_extract("value", number, 1)
+    as_long = F.when(F.lower(digits).startswith("0x"), F.conv(F.substring(digits, 3, 20), 16, 10)).otherwise(digits).try_cast("long")
+    rest = known_macros.filter(~F.col("name").contains("("))
+    done = rest.select("name", as_long.alias("n")).filter("n is not null").dropDuplicates(["name"])
+    term = r"^\(?\s*(\w+)\s*(\+|-|\*|<<|>>)\s*(\w+)\s*\)?$|^\(?\s*([A-Za-z_]\w*)\s*\)?$"
+    open_ = rest.filter(F.col("value").rlike(term)).select("name", F.coalesce(F.nullif(F.regexp_extract("value", term, 1), F.lit("")), F.regexp_extract("value", term, 4)).alias("a"), F.regexp_extract("value", term, 2).alias("op"), F.regexp_extract("value", term, 3).alias("b")).dropDuplicates(["name"])
+    for _ in range(rounds):
+        of = lambda c: done.select(F.col("name").alias(c), F.col("n").alias(f"{c}_n"))  # noqa: E731,B023
+        met = open_.join(done.select("name"), "name", "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        x, y = (F.coalesce(f"{c}_n", F.col(c).try_cast("long")) for c in ("a", "b"))
+        value = F.when(F.col("op") == "+", x + y).when(F.col("op") == "-", x - y).when(F.col("op") == "*", x * y).when(F.col("op") == "<<", F.call_function("shiftleft", x, y.cast("int"))).when(F.col("op") == ">>", F.call_function("shiftright", x, y.cast("int"))).when(F.col("op") == "", x)
+        done = done.unionByName(met.select("name", value.alias("n")).filter("n is not null"))
+    return done.select("name", F.col("n").alias("value"))

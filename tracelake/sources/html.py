@@ -65,7 +65,7 @@ def table_rows(html: DataFrame, keys: list[str], column: str, required: list[str
     if required:
         wanted = F.array(*[F.lit(r.upper()) for r in required])
         each = each.filter(F.size(F.array_except(wanted, "headers")) == 0)
-        each = each.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("table"))).filter("k = 1").drop("k")
+        each = each.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("table"))).filter("_place = 1").drop("_place")
     rows = each.select(*keys, "table", "headers", F.posexplode(F.slice("rows", 2, F.size("rows"))).alias("r", "cells"))
     # A header that comes twice keeps its first column.
     spots = F.filter(F.sequence(F.lit(0), F.size("headers") - 1), lambda i: (F.array_position("headers", F.get("headers", i)) == i + 1))

@@ -66,4 +66,4 @@ def first_of_level(classified: DataFrame, keys: list[str], caps: dict[str, int])
     most = F.lit(0)
     for name, n in caps.items():
         most = F.when(F.col("level") == name, n).otherwise(most)
-    return classified.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).drop("k")
+    return classified.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= most).drop("_place")

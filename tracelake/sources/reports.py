@@ -55,7 +55,7 @@ def column_totals(rows: DataFrame, keys: list[str], label: str, n: int = 6) -> D
     each = rows.select(*keys, F.explode("cells").alias("rule", "value")).filter(F.col("rule") != label.upper())
     sums = each.groupBy(*keys, "rule").agg(F.sum(F.coalesce(numbers.lenient_double("value"), F.lit(0.0))).alias("count"))
     w = Window.partitionBy(*keys).orderBy(F.desc("count"), "rule")
-    return sums.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n).drop("k")
+    return sums.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= n).drop("_place")
 
 
 def remapped(path: Column | str, rules: list[tuple[str, str]], job: str) -> Column:
@@ -83,3 +83,37 @@ def top_scanned(files: DataFrame, n: int) -> DataFrame:
     """Files (rel_path, text) with the most failures, errors and warnings."""
     score = 3 * F.col("kpi.fail") + 2 * F.col("kpi.error") + F.col("kpi.warn")
     return files.withColumn("kpi", text.kpis("text")).select("rel_path", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "rel_path").limit(n)
+
+
+def environment_files(pages: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Files of environment reports (rows whose first cell is of class i0): keys, row, file, statements, branches."""
+    rows = F.regexp_extract_all(_col(column), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    each = pages.select(*keys, F.posexplode(rows).alias("row", "r"))
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), html.inner_text)
+    each = each.select(*keys, "row", "r", cells.alias("cells"))
+    heads = each.filter(F.array_contains(F.transform("cells", lambda c: F.upper(c)), "FILE / ENVIRONMENT")).groupBy(*keys).agg(F.min_by(F.transform("cells", lambda c: F.upper(c)), F.col("row")).alias("headers"))
+    files = each.filter(F.col("r").rlike(r"(?is)^\s*<td\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?i0(?:\s[^\"']*)?[\"']") & (F.get("cells", F.lit(0)) != ""))
+    cell = lambda name: numbers.ratio(F.get("cells", F.array_position("headers", name).cast("int") - 1))
+    return files.join(heads, keys).select(*keys, "row", F.get("cells", F.lit(0)).alias("file"), cell("STATEMENTS").alias("statements"), cell("BRANCHES").alias("branches"))
+
+
+def worst_files(files: DataFrame, keys: list[str], what: str, n: int = 15) -> DataFrame:
+    """The files of least rate of `what` (statements or branches), ties in order."""
+    w = Window.partitionBy(*keys).orderBy(f"{what}.rate", "row")
+    return files.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n)
+
+
+def sections(pages: DataFrame, keys: list[str], column: str, level: int = 2) -> DataFrame:
+    """keys, ordinal, heading, body (HTML) of each section below headings of one level."""
+    parts = F.split(_col(column), rf"(?i)<h{level}\b[^>]*>")
+    each = pages.select(*keys, F.posexplode(F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts)))).alias("ordinal", "part"))
+    return each.select(*keys, "ordinal", html.inner_text(F.regexp_extract("part", rf"(?is)^(.*?)</h{level}>", 1)).alias("heading"), F.regexp_replace("part", rf"(?is)^.*?</h{level}>", "").alias("body"))
+
+
+def test_cases(pages: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Key and value pairs of each test case section: keys, testcase, key, value; and its code blocks under `code:<heading>`."""
+    cases = sections(pages, keys, column, 2).filter(F.lower("heading").contains("test"))
+    pairs = html.key_values(cases, [*keys, "ordinal", "heading"], "body").select(*keys, "ordinal", F.col("heading").alias("testcase"), "key", "value")
+    blocks = cases.select(*keys, "ordinal", F.col("heading").alias("testcase"), F.explode(F.regexp_extract_all("body", F.lit(r"(?is)(<h4\b[^>]*>.*?</h4>\s*<pre\b[^>]*>.*?</pre>)"), F.lit(1))).alias("b"))
+    code = blocks.select(*keys, "ordinal", "testcase", F.concat(F.lit("code:"), html.inner_text(F.regexp_extract("b", r"(?is)<h4\b[^>]*>(.*?)</h4>", 1))).alias("key"), html.inner_text(F.regexp_extract("b", r"(?is)<pre\b[^>]*>(.*?)</pre>", 1)).alias("value"))
+    return pairs.unionByName(code)
