@@ -79,10 +79,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def train(texts: list[str], labels: list[int]) -> CompressionModel:
-    """Even rows fill the dictionaries and odd rows fit the curve; rows come in random order."""
+def train(texts: list[str], labels: list[int], good_share: float | None = None) -> CompressionModel:
+    """Even rows fill the dictionaries and odd rows fit the curve; rows come in random order.
+
+    Where the sample does not hold the classes in the proportion of all labelled rows, `good_share`
+    tells that proportion, and the curve is moved by the difference of the log odds.
+    """
     pools = {0: [t for t, y in zip(texts, labels, strict=True) if y == 0 and t], 1: [t for t, y in zip(texts, labels, strict=True) if y == 1 and t]}
     share = len(pools[1]) / max(1, len(pools[0]) + len(pools[1]))
+    share = share if good_share is None else good_share
     if not pools[0] or not pools[1]:  # one class or none: nothing to tell apart
         return CompressionModel(b"", b"", (0.0, 0.0), 0.5 if not pools[0] and not pools[1] else share)
     content = {}
@@ -94,7 +99,12 @@ def train(texts: list[str], labels: list[int]) -> CompressionModel:
     rows = [(difference(t, good, bad), y) for y, pool in pools.items() for t in (pool[1::2] or pool)]
     d = np.array([x for x, _ in rows if x is not None])
     y = np.array([y for x, y in rows if x is not None], dtype=float)
-    return CompressionModel(content[1], content[0], tuple(_logistic(_terms(d), y).tolist()), share) if len(d) else draft
+    if not len(d):
+        return draft
+    weights = _logistic(_terms(d), y)
+    seen, true = ((p + 1e-6) / (1 - p + 1e-6) for p in (y.mean(), share))
+    weights[0] += np.log(true / seen)
+    return CompressionModel(content[1], content[0], tuple(weights.tolist()), share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> CompressionModel:
@@ -105,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     texts are left out, and texts that occur again count once.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [hash_sample(known.filter(F.col("label") == y), "doc_id", sample_rows, 10) for y in (0, 1)]
     ids = [r for part in picked for r in part.collect()]
     if not ids:
@@ -115,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.substring(text, place, SAMPLE_CHARS).alias("excerpt")).join(F.broadcast(chosen), "doc_id").filter("excerpt is not null").collect()
     unique = {r["excerpt"]: r["label"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["excerpt"]))}
     shuffled = sorted(unique.items(), key=lambda x: _mix(x[0]))
-    return train([t for t, _ in shuffled], [y for _, y in shuffled])
+    return train([t for t, _ in shuffled], [y for _, y in shuffled], n.get(1, 0) / sum(n.values()))
 
 
 def _mix(text: str) -> bytes:
@@ -139,7 +150,7 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
     """One row per row of `docs`: doc_id, score (0 to 1, higher: better).
 
     Whole texts are read, block by block. A null, empty or blank text scores the share of good
-    texts in the sample. Null and repeated ids pass through; other columns are not read. The
+    texts among the labelled ones. Null and repeated ids pass through; other columns are not read. The
     model holds two dictionaries of DICT_BYTES at most, whatever the corpus.
     """
     kind = docs.schema[id_col].dataType.simpleString()
