@@ -15,7 +15,7 @@ def previous_run(runs: DataFrame, kind: str, order: list[str], run_id: str, scor
 def latest_two(rows: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """For each key with two rows or more: the latest values, those before, and the deltas.
 
-    Two max-by aggregates in place of a sort: only the two latest rows of a key cross the shuffle.
+    The limit on the rank lets Spark keep two rows of a key in each task before the shuffle.
     """
     w = Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])
     ranked = rows.select(key, *order, *values, F.row_number().over(w).alias("k")).filter("k <= 2")
@@ -79,8 +79,7 @@ def fused_ranks(ranked: list[DataFrame], key: str, k: int = 60, top: int | None
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page of the ordered rows with the total; sizes are held to 1..500, pages count from 1."""
     size, number = min(500, max(1, size)), max(1, number)
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", F.lit(rows.count()).cast("long"))
 
 
 def top_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:

@@ -163,9 +163,9 @@ def advice(scores: DataFrame) -> DataFrame:
 
 def balanced_ids(flows: DataFrame, key: str, ids: str, most_share: float = 0.2) -> DataFrame:
     """Drops ids that over `most_share` of the flows use (at least one flow) from flows that have several."""
-    n = flows.agg(F.count(F.lit(1)).alias("n"))
+    most = max(1, int(flows.count() * most_share))
     used = flows.select(key, F.explode(F.array_distinct(ids)).alias("one"))
-    common = used.groupBy("one").agg(F.count(F.lit(1)).alias("uses")).crossJoin(F.broadcast(n)).filter(F.col("uses") > F.greatest(F.lit(1), F.floor(F.col("n") * most_share))).select("one", F.lit(True).alias("common"))
+    common = used.groupBy("one").agg(F.count(F.lit(1)).alias("uses")).filter(F.col("uses") > most).select("one", F.lit(True).alias("common"))
     marked = used.join(common, "one", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("common").isNull(), F.col("one")))).alias("rare"), F.sort_array(F.collect_list("one")).alias("every"))
     return marked.select(key, F.when(F.size("every") > 1, F.col("rare")).otherwise(F.col("every")).alias(ids))
 
