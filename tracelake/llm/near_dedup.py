@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import settle, slices
+from tracelake.llm.shared import join_by_size, settle, slices
 
 PERMUTATIONS = 128
 BAND_ROWS = 4  # 32 bands: a pair at similarity 0.8 shares none with probability 5e-8
@@ -303,7 +303,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left_blocks, right_blocks = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("n_stray") / BLOCK).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         block = lambda n: F.pmod(F.hash("node", "hub"), n)
-        met = crowd.join(counts, "hub")
+        met = join_by_size(crowd, counts, "hub", "size", F.col("node")).filter("size is not null")
         left = met.select(F.lit(0).alias("side"), "hub", "node", "label", block(left_blocks).alias("x"), every(right_blocks).alias("y"))
         right = met.filter("stray").select(F.lit(1).alias("side"), "hub", "node", "label", every(left_blocks).alias("x"), block(right_blocks).alias("y"))
         blocks = left.union(right).join(sketches, "node").join(texts, "node")
