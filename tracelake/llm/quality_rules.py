@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency. DataFrame functions only.
 
 Normalised lines are hashed together with their host; a line that occurs in more distinct
-documents of its host than allowed is boilerplate there and is removed, and a document that
-loses too many of its words with such lines is rejected.
+documents of its host than allowed is boilerplate there and is removed (`without_frequent_lines`),
+and a document that loses too many of its words with such lines is rejected (`quality_rules`).
 """
 
 from __future__ import annotations
@@ -65,20 +65,19 @@ def text_rules(docs: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_documents: int = LINE_DOCUMENTS, lost_share: float = LOST_SHARE) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_lost_words, kept.
+def _squeezed(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), BLANK, " "))
 
-    Lines are compared lower-cased with blanks squeezed, within one host; a null host is a host of
-    its own. Documents count as distinct by their whole text, so repeated rows and exact copies
-    count once. A null or empty text has no words and fails the base rules. Null and repeated ids
-    are kept as they are; other columns are not read.
-    """
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
-    squeezed = lambda line: F.trim(F.regexp_replace(F.lower(line), BLANK, " "))
-    lines = rows.select("doc_id", "text_key", "host", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), squeezed))).alias("line"))
-    lines = lines.select("doc_id", "text_key", F.xxhash64("host", "line").alias("line_key"), F.size(F.split("line", " ")).alias("line_words"))
+    return rows.withColumn("text_key", F.xxhash64("text"))
+
+
+def lost_lines(rows: DataFrame, line_documents: int) -> DataFrame:
+    """doc_id, text_key, host, line_key, line_words: each frequent line of each document of `rows` once."""
+    lines = rows.select("doc_id", "text_key", "host", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _squeezed))).alias("line"))
+    lines = lines.select("doc_id", "text_key", "host", F.xxhash64("host", "line").alias("line_key"), F.size(F.split("line", " ")).alias("line_words"))
     # A line in many documents is a line on many rows: most lines go before any join.
     often = lines.groupBy("line_key").agg(F.count(F.lit(1)).alias("uses")).filter(F.col("uses") > line_documents).select("line_key")
     # One line may stand on a third of all documents: its rows are dealt over SALTS tasks.
@@ -86,18 +85,54 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines.withColumn("salt", F.pmod("text_key", F.lit(SALTS)).cast("int"))
     candidates = settle(lines.join(salted(often), ["line_key", "salt"], "left_semi"))
     common = candidates.groupBy("line_key", "text_key").agg(F.count(F.lit(1)).alias("uses")).groupBy("line_key").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > line_documents).select("line_key")
-    lost = candidates.join(salted(common), ["line_key", "salt"], "left_semi").select("doc_id", "text_key", "line_key", "line_words")
     # Repeated rows of one document say the same twice.
-    lost = lost.distinct().groupBy(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).agg(F.sum("line_words").alias("lost_words"))
+    return candidates.join(salted(common), ["line_key", "salt"], "left_semi").select("doc_id", "text_key", "host", "line_key", "line_words").distinct()
+
+
+def _same_document() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("text_key") == F.col("lost_key")) & (F.col("host") == F.col("lost_host"))
+
+
+def _lost_by() -> list[Column]:
+    return [F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key"), F.col("host").alias("lost_host")]
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_documents: int = LINE_DOCUMENTS, lost_share: float = LOST_SHARE) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, n_lost_words, kept.
+
+    Lines are compared lower-cased with blanks squeezed, within one host; a null host is a host of
+    its own. Documents count as distinct by their whole text, so repeated rows and exact copies
+    count once. A null or empty text has no words and fails the base rules. Null and repeated ids
+    are kept as they are; other columns are not read.
+    """
+    rows = _keyed(docs, id_col, text_col, host_col)
+    lost = lost_lines(rows, line_documents).groupBy(*_lost_by()).agg(F.sum("line_words").alias("lost_words"))
     measured = text_rules(rows)
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     n_lost = F.coalesce("lost_words", F.lit(0)).cast("long")
-    joined = measured.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("text_key") == F.col("lost_key")), "left")
+    joined = measured.join(lost, _same_document(), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), n_lost.alias("n_lost_words"), (~base_failed & (n_lost <= lost_share * F.col("n_words"))).alias("kept")
     )
 
 
+def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_documents: int = LINE_DOCUMENTS) -> DataFrame:
+    """All rows of `docs`: doc_id, text, n_lost_lines; every line in over `line_documents` documents of its host is gone from the text.
+
+    Lines are those that `quality_rules` counts, every occurrence of them is removed, and all other
+    lines, blank ones included, stay as they are and in their order. A null text stays null.
+    """
+    rows = _keyed(docs, id_col, text_col, host_col)
+    lost = lost_lines(rows, line_documents).groupBy(*_lost_by()).agg(F.collect_set("line_key").alias("lost_lines"))
+    joined = rows.join(lost, _same_document(), "left")
+    whole = F.split("text", "\n", -1)
+    stays = F.filter(whole, lambda line: ~(line.rlike(WORD) & F.array_contains("lost_lines", F.xxhash64("host", _squeezed(line)))))
+    changed = joined.withColumn("stays", F.when(F.col("lost_lines").isNotNull(), stays))
+    text = F.when(F.col("stays").isNull(), F.col("text")).otherwise(F.array_join("stays", "\n"))
+    return changed.select("doc_id", text.alias("text"), F.coalesce(F.size(whole) - F.when(F.col("stays").isNotNull(), F.size("stays")), F.lit(0)).cast("long").alias("n_lost_lines"))
+
+
 ORACLE_SQL = f"""
 with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
 w as (select doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words from d),
@@ -119,3 +154,15 @@ select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) as base
   not (n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) and n_lost_words <= {LOST_SHARE} * n_words as kept
 from m
 """
+
+#: The same lines taken out: text without the host's frequent lines, in order.
+CLEAN_SQL = f"""
+with d as (select doc_id, coalesce(source, '') as host, text from documents),
+s as (select doc_id, host, text, string_split(text, chr(10)) as lines from d),
+ln as (select doc_id, host, text, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as k from s),
+nl as (select *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') as worded, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) as norm from ln),
+cm as (select host, norm, true as worded, true as frequent from nl where worded group by host, norm having count(distinct text) > {LINE_DOCUMENTS}),
+j as (select doc_id, line, k, coalesce(frequent, false) as frequent from nl left join cm using (host, norm, worded)),
+c as (select doc_id, coalesce(string_agg(line, chr(10) order by k) filter (not frequent), '') as text, count(*) filter (frequent) as n_lost_lines from j group by doc_id)
+select doc_id, case when d.text is null then null else c.text end as text, coalesce(n_lost_lines, 0) as n_lost_lines from d left join c using (doc_id)
+"""

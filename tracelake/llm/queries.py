@@ -29,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.without_frequent_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_piece_tokens": op2_piece_tokens,
     "op3_quality_rules": op3_quality_rules,
+    "op3_clean_text": op3_clean_text,
     "op4_secret_scan": op4_secret_scan,
     "op5_packing": op5_packing,
     "op6_near_dedup": op6_near_dedup,
@@ -95,4 +100,4 @@ select p.page_id, p.host, p.path, m.rule, coalesce(m.rule_verdict, 'allow') as v
 from p left join m on p.page_id = m.page_id and m.k = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op3_clean_text": quality_rules.CLEAN_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
