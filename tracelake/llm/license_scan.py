@@ -9,6 +9,7 @@ prediction counts once enough of a template of that family stands in the paragra
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,6 +58,8 @@ LOOKALIKES = [
 ]
 #: A paragraph without any of these has no licence template's key words and is not scored.
 ANCHOR = r"(?i)licen[cs]|copyright|copyleft|rights reserved|creative commons|free software|hereby granted|redistribution and use|\bcc0\b|\bcc by"
+#: The same words with whatever stands between them, a line's end and a comment sign included.
+WIDE_ANCHOR = ANCHOR.replace(" ", r"[^a-z0-9]+")
 LEAST_PROBABILITY = 0.5
 LEAST_CONTAINED = 0.6
 SAMPLE_ROWS = 1_000
@@ -73,8 +76,6 @@ class LicenseModel:
 
 
 def grams_of(text: str) -> set[str]:
-    import re
-
     words = re.findall(TOKEN, text.lower())
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
@@ -90,6 +91,42 @@ def gram_array(text: Column) -> Column:
     return F.get(F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, run(w, 2), run(w, 3)))), F.lit(0))
 
 
+def line_runs(text: Column) -> Column:
+    """Array of struct(first, run): for each line that holds a token, its number and the lines from it on.
+
+    Lines are their tokens, blank-joined. A run goes on until the lines after its first hold as many
+    tokens as the longest template less one, so a template that starts on a line ends in its run
+    however narrowly it is wrapped.
+    """
+    most = max(len(re.findall(TOKEN, t.lower())) for _, t in TEMPLATES) - 1
+    once = lambda array, use: F.get(F.transform(F.array(array), use), F.lit(0))
+    words = lambda line: F.regexp_extract_all(line, F.lit(f"({TOKEN})"), F.lit(1))
+    held = F.filter(F.transform(F.split(F.lower(text), "\n+"), words), lambda w: F.size(w) > 0)
+    lines = F.transform(held, lambda w: F.struct(F.array_join(w, " ").alias("line"), F.size(w).alias("n")))
+    start = F.struct(F.lit(0).alias("words"), F.lit(1).alias("lines"))
+
+    def run(every: Column, i: Column) -> Column:
+        after = F.slice(every, i + 2, F.lit(most))
+        k = F.aggregate(after, start, lambda a, x: F.when(a["words"] < most, F.struct((a["words"] + x["n"]).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(a), lambda a: a["lines"])
+        return F.struct(i.alias("first"), F.transform(F.slice(every, i + 1, k), lambda x: x["line"]).alias("run"))
+
+    return once(lines, lambda every: F.transform(every, lambda _, i: run(every, i)))
+
+
+def best_runs(runs: Column) -> Column:
+    """Of runs that share lines, the one that holds most of its template, then the surest, then the shortest.
+
+    Another family's run stays where it holds its whole template.
+    """
+    ordered = F.array_sort(runs)
+
+    def beaten(kept: Column, r: Column) -> Column:
+        return F.exists(kept, lambda k: (k["first"] <= r["last"]) & (k["last"] >= r["first"]) & ((k["family"] == r["family"]) | (r["minus_contained"] > -1)))
+
+    none = F.slice(ordered, F.lit(1), F.lit(0))
+    return F.aggregate(ordered, none, lambda kept, r: F.when(beaten(kept, r), kept).otherwise(F.concat(kept, F.array(r))))
+
+
 def train(negatives: list[str], rounds: int = 400) -> LicenseModel:
     """Softmax regression on the templates, in several settings, against lookalikes and `negatives`."""
     frames = ["{}", "{} Thank you.", "Copyright (c) 2021 The Authors. {}", "Note: {}", "{} See the file for details."]
@@ -139,7 +176,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, license, score, licenses, n_confirmed, n_unconfirmed.
 
-    Paragraphs are the \\n-split lines of whole texts. `license` is the confirmed family with the
+    Paragraphs are the \\n-split lines of whole texts and the runs of neighbouring lines in which a
+    wrapped notice fits; of runs that share lines the best counts. `license` is the confirmed family with the
     highest probability (ties: first by name), `score` that probability, `licenses` all confirmed
     families, sorted and comma-joined. Where a paragraph has a licence's key words and nothing is
     confirmed, `license` is `unknown`; where none has, it is null and the score 0. A null or empty
@@ -148,14 +186,21 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    likely = rows.filter(F.col("text").rlike(ANCHOR)).select("doc_id", "text_key", F.explode(F.array_distinct(F.split("text", "\n+"))).alias("paragraph")).filter(F.col("paragraph").rlike(ANCHOR))
+    runs = rows.filter(F.col("text").rlike(WIDE_ANCHOR)).select("doc_id", "text_key", F.inline(line_runs(F.col("text"))))
+    runs = runs.filter(F.array_join("run", " ").rlike(ANCHOR)).select("doc_id", "text_key", "first", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("k"))
+    anchored = lambda at, k: F.array_join(F.slice("run", at, k), " ").rlike(ANCHOR)
+    # A run whose key words already stand in a shorter one is no paragraph of its own where nothing is confirmed.
+    least = (F.col("k") == 1) | (~anchored(F.lit(1), F.col("k") - 1) & ~anchored(F.lit(2), F.col("k") - 1))
+    likely = runs.withColumn("paragraph", F.array_join(F.slice("run", F.lit(1), F.col("k")), " ")).filter(F.col("paragraph").rlike(ANCHOR))
+    likely = likely.select("doc_id", "text_key", "paragraph", "first", (F.col("first") + F.col("k") - 1).alias("last"), least.alias("least"))
     likely = likely.withColumn("grams", gram_array(F.col("paragraph"))).withColumn("paragraph_key", F.xxhash64("paragraph"))
     n = len(model.classes)
     weights = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in model.grams.items()], "gram string, weight array<double>")
     scored = likely.select("doc_id", "text_key", "paragraph_key", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
     sums = [F.coalesce(F.sum(F.get("weight", F.lit(k))), F.lit(0.0)).alias(f"z{k}") for k in range(n)]
-    scored = scored.groupBy("doc_id", "text_key", "paragraph_key", "n_grams").agg(*sums)
-    logits = [F.col(f"z{k}") / F.sqrt(F.col("n_grams")) + F.lit(model.bias[k]) for k in range(n)]
+    scored = scored.groupBy("doc_id", "text_key", "paragraph_key", "n_grams").agg(F.count(F.lit(1)).alias("rows"), *sums)
+    # A paragraph that stands in several places or rows is summed as often.
+    logits = [F.col(f"z{k}") * F.sqrt(F.col("n_grams")) / F.col("rows") + F.lit(model.bias[k]) for k in range(n)]
     top = F.greatest(*logits)
     total = sum((F.exp(z - top) for z in logits), F.lit(0.0))
     ranked = F.array_max(F.array(*[F.struct((F.exp(z - top) / total).alias("p"), F.lit(-k).alias("minus")) for k, z in enumerate(logits)]))
@@ -163,12 +208,20 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     told = scored.select("doc_id", "text_key", "paragraph_key", ranked.alias("best")).select("doc_id", "text_key", "paragraph_key", F.get(names, -F.col("best.minus")).alias("family"), F.col("best.p").alias("p"))
 
     templates = spark.createDataFrame([(f, sorted(grams_of(t))) for f, t in TEMPLATES], "family string, template array<string>").groupBy("family").agg(F.collect_list("template").alias("templates"))
-    told = told.join(F.broadcast(templates), "family", "left").join(likely.select("doc_id", "text_key", "paragraph_key", "grams").withColumnsRenamed({"doc_id": "id2", "text_key": "key2", "paragraph_key": "paragraph2"}), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("text_key") == F.col("key2")) & (F.col("paragraph_key") == F.col("paragraph2")))
+    told = told.join(F.broadcast(templates), "family", "left").join(likely.select("doc_id", "text_key", "paragraph_key", "grams", "first", "last", "least").withColumnsRenamed({"doc_id": "id2", "text_key": "key2", "paragraph_key": "paragraph2"}), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("text_key") == F.col("key2")) & (F.col("paragraph_key") == F.col("paragraph2")))
     contained = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(F.col("grams"), t)) / F.size(t)))
-    confirmed = (F.col("p") >= LEAST_PROBABILITY) & (F.coalesce(contained, F.lit(0.0)) >= LEAST_CONTAINED)
-    told = told.select("doc_id", "text_key", "paragraph_key", "family", "p", confirmed.alias("confirmed")).distinct()
-    best = F.min(F.when(F.col("confirmed"), F.struct((-F.col("p")).alias("minus_p"), "family")))
-    per_doc = told.groupBy(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).agg(best.alias("best"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"), F.count_if("confirmed").alias("n_confirmed"), F.count_if(~F.col("confirmed")).alias("n_unconfirmed"))
+    told = told.withColumn("contained", F.coalesce(contained, F.lit(0.0)))
+    confirmed = (F.col("p") >= LEAST_PROBABILITY) & (F.col("contained") >= LEAST_CONTAINED)
+    told = told.select("doc_id", "text_key", "paragraph_key", "family", "p", "contained", "first", "last", "least", confirmed.alias("confirmed")).distinct()
+    run = F.struct((-F.col("contained")).alias("minus_contained"), (-F.col("p")).alias("minus_p"), (F.col("last") - F.col("first")).alias("more"), "first", "last", "family", F.col("paragraph_key").alias("key"))
+    place = F.struct("first", "last", F.col("paragraph_key").alias("key"))
+    found = told.groupBy(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).agg(F.collect_list(F.when(F.col("confirmed"), run)).alias("runs"), F.collect_list(F.when(F.col("least"), place)).alias("places"))
+    found = found.withColumn("kept", best_runs(F.col("runs")))
+    open_places = F.filter("places", lambda x: ~F.exists("kept", lambda k: (k["first"] <= x["last"]) & (k["last"] >= x["first"])))
+    distinct = lambda array: F.size(F.array_distinct(F.transform(array, lambda x: x["key"])))
+    best = F.array_min(F.transform("kept", lambda k: F.struct(k["minus_p"].alias("minus_p"), k["family"].alias("family"))))
+    families = F.array_sort(F.array_distinct(F.transform("kept", lambda k: k["family"])))
+    per_doc = found.select("found_id", "found_key", best.alias("best"), families.alias("families"), distinct("kept").alias("n_confirmed"), distinct(open_places).alias("n_unconfirmed"))
     joined = rows.select("doc_id", "text_key").join(per_doc, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
     return joined.select(
         "doc_id",
