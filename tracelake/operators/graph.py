@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 200
-
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration in the session's checkpoint folder."""
@@ -23,14 +21,14 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int | None = None, stop_over: int | None = None) -> DataFrame:
-    """node, hop: the least number of edges from any seed (node), up to `most`.
+    """node, hop: the least number of edges from any seed (node), up to `most`; without it until no new node is reached.
 
     With `stop_over` the search ends after the hop that brings the nodes seen over that number.
     Each hop is one join of the last frontier with the edges and one anti-join with what is seen.
     """
     seen = frontier = checkpointed(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
     k = 0
-    while k < (most if most is not None else MAX_ROUNDS):
+    while most is None or k < most:
         k += 1
         reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         # Every frontier is settled, so what is seen is their union and needs no copy of its own.
