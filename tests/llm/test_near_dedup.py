@@ -55,6 +55,35 @@ def test_crowd_with_links_off_the_hub(spark):
     check(spark, rows, 2)
 
 
+def test_many_repeats_of_two_near_texts(spark):
+    words = [f"w{i}" for i in range(100)]
+    other = [*words[:99], "x"]
+    rows = [(1, " ".join(words))] * 1000 + [(2, " ".join(other))] * 1000 + [(3, "something else altogether")]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=5).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, True, 1000), (2, 1, False, 1000), (3, 3, True, 1)]
+
+
+def test_crowd_that_shares_a_passage(spark):
+    """5,000 texts in one bucket, most linked with nothing: every near pair among them is found."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    rows, want = [], {}
+    for i in range(2_500):
+        own = [f"o{i}_{k}" for k in range(24)]
+        rows.append((2 * i, " ".join(passage + own)))
+        want[2 * i] = 2 * i
+        if rng.random() < 0.5:
+            own = own[:-1] + ["z"]
+            want[2 * i + 1] = 2 * i
+        else:
+            own = [f"q{i}_{k}" for k in range(24)]
+            want[2 * i + 1] = 2 * i + 1
+        rows.append((2 * i + 1, " ".join(passage + own)))
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), words=5).collect()
+    wrong = [r for r in got if r["component_id"] != want[r["doc_id"]]]
+    assert not wrong
+
+
 def test_awkward_rows(awkward):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(awkward, words=2).collect()]
     assert (2, 11, 1, False) in got and (1, 11, 1, True) in got

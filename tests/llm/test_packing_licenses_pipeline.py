@@ -76,6 +76,21 @@ def test_sequences_hold_the_tokens(spark):
     assert all(len(r["ids"]) <= r["bin_size"] for r in out)
 
 
+def test_packed_ids_in_any_shape(spark):
+    rows = [(i, list(range(n))) for i, n in enumerate([1, 64, 65, 700, 3, 0])] + [(None, [5]), (2, [9, 9]), (2, [9, 9]), (8, None)]
+    coded = spark.createDataFrame(rows, "doc_id long, ids array<int>").selectExpr("*", "'x' as shard", "1 as row_no")
+    got = defaultdict(list)
+    for r in packing.pack_ids(coded, sizes=(16, 64), shard_rows=4).collect():
+        at = 0
+        for i, start, n in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True):
+            got[i].append((start, r["ids"][at : at + n]))
+            at += n
+        assert at == r["bin_used"] == len(r["ids"]) <= r["bin_size"]
+    assert sorted(got[2]) == sorted([(0, list(range(64))), (64, [64]), (0, [9, 9]), (0, [9, 9])]) and got[None] == [(0, [5])]
+    assert [t for _, ids in sorted(got[3]) for t in ids] == list(range(700)) and 5 not in got and 8 not in got
+    assert packing.pack_ids(spark.createDataFrame([], "doc_id long, ids array<int>")).count() == 0
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
@@ -108,7 +123,8 @@ def test_stages_take_awkward_rows(spark, awkward, empty):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, "/root/testdata/sf0.001")
             assert docs.columns == columns, name
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert sorted((i for r in packed for i, start in zip(r["doc_ids"], r["starts"], strict=True) if start == 0), key=str) == sorted((r["doc_id"] for r in docs.collect()), key=str)
 
 
 def test_pipeline_as_single_steps(spark, documents):
@@ -123,5 +139,25 @@ def test_pipeline_as_single_steps(spark, documents):
     left = {r["doc_id"] for r in stages["near_dedup"](spark, once, "").collect()}
     assert left == {c for _, c in near(list(kept.items()), 5).values()}
     assert stages["language_id"](spark, documents, "").count() >= 0.98 * len(rows)
+
+
+def test_pipeline_is_its_stages(spark, documents):
+    """The packed ids are those of the library on the redacted texts that the stages keep, each token once."""
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = documents
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+    want = {r["doc_id"]: library.encode(r["text"], add_bos=True, add_eos=True) for r in docs.collect()}
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} <= {i for i, _ in rows}
+    assert [f.rsplit("/", 2)[1].split("-")[0] for f in packed.inputFiles()[:1]] == ["secret_scan"]  # earlier stages are not computed again
+    got = defaultdict(list)
+    for r in packed.collect():
+        at = 0
+        for i, start, n in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True):
+            got[i].append((start, r["ids"][at : at + n]))
+            at += n
+        assert at == r["bin_used"] == len(r["ids"]) and r["bin_size"] == min(s for s in packing.SIZES if s >= at)
+    assert {i: [t for _, ids in sorted(parts) for t in ids] for i, parts in got.items()} == want

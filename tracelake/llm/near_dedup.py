@@ -18,7 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.shared import join_by_size, settle, slices
@@ -28,7 +28,12 @@ BAND_ROWS = 4  # 32 bands: a pair at similarity 0.8 shares none with probability
 BITS = 2
 #: An estimate below this is six standard deviations under a similarity of 0.8.
 LEAST_ESTIMATE = 0.55
+#: Rows and shingles of one side of a block, about; and rows of one part of a bucket.
 BLOCK = 128
+BLOCK_SHINGLES = 1 << 21
+PART_ROWS = 256
+#: Rows of the narrow tables of links and labels in one task.
+ROWS_A_TASK = 50_000
 KNOWN_WORDS = 500_000
 
 _rng = np.random.default_rng(41)
@@ -90,8 +95,13 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def packed_bits(mins: np.ndarray) -> np.ndarray:
-    """The BITS low bits of every minimum, one plane after another, as 64-bit numbers."""
-    planes = [np.packbits(((mins >> np.uint32(b)) & np.uint32(1)).astype(np.uint8), axis=1) for b in range(BITS)]
+    """The BITS low bits of every mixed minimum, one plane after another, as 64-bit numbers.
+
+    The low bits of a minimum itself depend on the low bits of its shingle only, under every
+    permutation alike; mixing makes chance matches independent.
+    """
+    mixed = ((mins ^ (mins >> np.uint32(16))) * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+    planes = [np.packbits(((mixed >> np.uint32(b)) & np.uint32(1)).astype(np.uint8), axis=1) for b in range(BITS)]
     return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
 
 
@@ -153,18 +163,24 @@ def _sketch(words: int):
     return run
 
 
+PAIR = "hub long, hub_name long, node long, name long, bits array<long>, n_shingles long, size long"
+
+
 def _confirm(words: int, percent: int):
+    """Candidate pairs with both texts become the pairs and whether they are linked."""
+
     def run(batches):
         hashes, hub, hub_set = _WordHashes(), None, None
         for batch in batches:
             for part in slices(batch, ["hub_text", "node_text"]):
-                good = []
+                linked = []
                 for i in range(part.num_rows):
                     if part.column("hub")[i].as_py() != hub:
                         hub = part.column("hub")[i].as_py()
                         hub_set = shingle_set(part.column("hub_text")[i].as_py(), hashes, words)
-                    good.append(alike(hub_set, shingle_set(part.column("node_text")[i].as_py(), hashes, words), percent))
-                yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("node")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                    linked.append(alike(hub_set, shingle_set(part.column("node_text")[i].as_py(), hashes, words), percent))
+                pair = part.drop_columns(["hub_text", "node_text"])
+                yield pa.RecordBatch.from_arrays([*pair.columns, pa.array(linked, pa.bool_())], names=[*pair.schema.names, "linked"])
 
     return run
 
@@ -195,62 +211,84 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8_1
     return found.astype(np.int64)
 
 
+MEMBER = "hub long, x int, y int, side int, node long, name long, bits array<long>, linked boolean"
+
+
+def _likely(sides: list[pa.Table]) -> np.ndarray:
+    """Which members of the two sides may be linked by their bits; a pair of strays once, not both ways."""
+    nodes = [np.array(t["node"].to_pylist(), dtype=np.int64) for t in sides]
+    likely = estimates(*[np.array(t["bits"].to_pylist(), dtype=np.int64) for t in sides]) >= LEAST_ESTIMATE
+    with_hub = np.array(sides[0]["linked"].to_pylist())
+    return likely & (with_hub[:, None] | (nodes[0][:, None] < nodes[1][None, :]))
+
+
+def _sides(table: pa.Table) -> list[pa.Table]:
+    return [table.filter(pc.equal(table["side"], k)) for k in (0, 1)]
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """The members of a block that may be linked with a member of its other side."""
+    sides = _sides(table)
+    if not all(len(t) for t in sides):
+        return table.slice(0, 0)
+    likely = _likely(sides)
+    return pa.concat_tables([t.filter(pa.array(likely.any(axis=axis))) for t, axis in zip(sides, (1, 0), strict=True)])
+
+
 def _settle_block(words: int, percent: int):
     """Links that join different components inside one block of a crowd, no more than a forest of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        sides = [table.filter(pc.equal(table["side"], k)) for k in (0, 1)]
-        a, b = [], []
+        sides = _sides(table)
+        found = []
         if all(len(t) for t in sides):
-            nodes, labels = [t["node"].to_pylist() for t in sides], [t["label"].to_pylist() for t in sides]
-            likely = estimates(*[np.array(t["bits"].to_pylist(), dtype=np.int64) for t in sides]) >= LEAST_ESTIMATE
-            likely &= np.array(labels[0])[:, None] != np.array(labels[1])[None, :]
-            rows, columns = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
-            if len(rows):
-                hashes = _WordHashes()
-                sets = [[shingle_set(t["text"][int(i)].as_py(), hashes, words) for i in keep] for t, keep in zip(sides, (rows, columns), strict=True)]
-                both = overlaps(*sets)
-                union = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]])[None, :] - both
-                parent: dict[int, int] = {}
-
-                def root(x: int) -> int:
-                    while parent.setdefault(x, x) != x:
-                        parent[x] = x = parent[parent[x]]
-                    return x
-
-                for i, j in np.argwhere((100 * both >= percent * union) & likely[np.ix_(rows, columns)]).tolist():
-                    x, y = int(rows[i]), int(columns[j])
-                    p, q = root(labels[0][x]), root(labels[1][y])
-                    if p != q:
-                        parent[p] = q
-                        a.append(nodes[0][x])
-                        b.append(nodes[1][y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            hashes = _WordHashes()
+            sets = [[shingle_set(text.as_py(), hashes, words) for text in t["text"]] for t in sides]
+            both = overlaps(*sets)
+            union = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]])[None, :] - both
+            ends = [[(n, m, k) for n, m, k in zip(t["node"].to_pylist(), t["name"].to_pylist(), t["linked"].to_pylist(), strict=True)] for t in sides]
+            parent: dict[int, int] = {}
+
+            def root(end: tuple[int, int, bool]) -> int:
+                x = -1 if end[2] else end[0]  # what is linked with the hub is one component
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for i, j in np.argwhere((100 * both >= percent * union) & _likely(sides)).tolist():
+                a, b = ends[0][i], ends[1][j]
+                p, q = root(a), root(b)
+                if p != q:
+                    parent[p] = q
+                    found.append((a[0], a[1], b[0], b[1]))
+        return pa.table({name: pa.array([f[k] for f in found], pa.int64()) for k, name in enumerate(("a", "a_name", "b", "b_name"))})
 
     return run
 
 
-def least_labels(nodes: DataFrame, links: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Least label reachable from each node: (node, name, label) from nodes (node, name) and links (a, b).
-
-    `known` holds labels found over some of the links already.
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): for each end of the links (a, a_name, b, b_name) the least name reachable from it.
 
-    Labels spread along the links, and each node also takes the label of the node that its label
-    names, so a chain of n links takes about log n rounds.
+    A label is struct(name, node), so nodes that share a name stay apart. Labels spread along the
+    links, and each node also takes the label of the node that its label names, so a chain of n
+    links takes about log n rounds. The tables are narrow and kept in as many files as their rows
+    call for. One node may have very many links, and one label very many nodes: the sums over them
+    are made before any shuffle, and the joins are left to AQE, which splits partitions of that size.
     """
-    edges = settle(links.union(links.select("b", "a")).distinct())
-    linked = nodes.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    if known is not None:
-        linked = linked.join(known.select("node", F.col("label").alias("old")), "node", "left")
-    labels = settle(linked.select("node", "name", (F.col("name") if known is None else F.coalesce("old", "name")).alias("label")))
+    tasks = max(8, links.count() // ROWS_A_TASK)
+    back = links.select(F.col("b").alias("a"), F.col("b_name").alias("a_name"), F.col("a").alias("b"), F.col("a_name").alias("b_name"))
+    edges = settle(links.select(*back.columns).union(back).coalesce(tasks))
+    named = lambda end: F.struct(F.col(f"{end}_name").alias("name"), F.col(end).alias("node"))
+    labels = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min(named("a")), F.min(named("b"))).alias("label")).coalesce(tasks))
     while True:
-        heard = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, "node").select("node", "name", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        named = labels.groupBy(F.col("name").alias("label")).agg(F.min("label").alias("beyond"))
-        moved = settle(spread.join(named, "label", "left").select("node", "name", "old", F.least("label", F.coalesce("beyond", "label")).alias("label")))
+        heard = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        spread = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        beyond = labels.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
+        moved = spread.join(beyond, F.col("label.node") == F.col("at")).select("node", "old", F.least("label", "beyond").alias("label"))
+        moved = settle(moved.coalesce(tasks))
         labels = moved.drop("old")
         if moved.filter("label <> old").isEmpty():
-            return labels
+            return labels.select("node", F.col("label.name").alias("label"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -260,58 +298,61 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingles (A-Z lower-cased; a text with fewer words is one shingle). component_id is the least
     id reachable over links, and the row with that id is kept. Null, empty and blank texts are
     linked with nothing. A row with a null id is left alone: its component_id is null and it is
-    kept. Repeated rows, and rows that share an id, are judged by their own text. Other columns
-    are not read. Ids are 64-bit integers.
+    kept. Repeated rows, and rows that share an id, are judged by their own text; however often a
+    row is repeated, its text is compared once. Other columns are not read. Ids are 64-bit integers.
+    A shingle is known by a 64-bit hash of its words' 64-bit hashes, here and in the full sets.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     sketch = settle(rows.mapInArrow(_sketch(words), "doc_id long, text_key long, n_shingles long, set_id string, bands array<long>, bits array<long>"))
-    classes = sketch.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    classes = settle(classes.select(F.monotonically_increasing_id().alias("node"), "set_id", F.col("first.doc_id").alias("name"), F.col("first.text_key").alias("text_key"), "bands", "bits"))
+    first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "bits")]
+    classes = sketch.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), *first)
+    classes = settle(classes.select(F.monotonically_increasing_id().alias("node"), "set_id", F.col("first.doc_id").alias("name"), F.col("first.text_key").alias("text_key"), "n_shingles", "bands", "bits"))
 
     slots = classes.select("node", F.explode("bands").alias("slot"))
     sizes = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    parts = F.ceil(F.col("size") / 256).cast("int")
-    shared = settle(slots.join(sizes, "slot").withColumn("part", F.pmod(F.hash("node"), parts)))
-    central = shared.groupBy("node").agg(F.sum("size").alias("centrality"))
-    ranked = shared.join(central, "node")
-    heads = ranked.groupBy("slot", "size").agg(F.max(F.struct("centrality", (-F.col("node")).alias("minus"))).alias("head"))
-    heads = settle(heads.select("slot", (-F.col("head.minus")).alias("hub"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
-    members = shared.join(heads, ["slot", "part"])
-
-    sketches = classes.select("node", "bits")
-    of = lambda name: sketches.select(F.col("node").alias(name), F.col("bits").alias(f"{name}_bits"))
-    pairs = members.filter("node <> hub").select("hub", "node").distinct().join(of("node"), "node").join(of("hub"), "hub")
-    pairs = settle(pairs.filter(estimate(F.col("hub_bits"), F.col("node_bits")) >= LEAST_ESTIMATE).select("hub", "node"))
+    # The window holds one node's buckets, no more than there are bands.
+    shared = slots.join(sizes, "slot").withColumn("centrality", F.sum("size").over(Window.partitionBy("node")))
+    shared = settle(shared.join(classes.drop("set_id", "bands"), "node"))
+    # Parts of a bucket of that size, a power of two: known on every row without a join.
+    parts = lambda size: F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(size / PART_ROWS)))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    heads = shared.groupBy("slot", "size").agg(F.max(F.struct("centrality", (-F.col("node")).alias("minus"), "name", "text_key", "bits")).alias("head"))
+    heads = heads.select("slot", (-F.col("head.minus")).alias("hub"), F.col("head.name").alias("hub_name"), F.col("head.text_key").alias("hub_key"), F.col("head.bits").alias("hub_bits"), every(parts(F.col("size"))).alias("part"))
+    met = shared.withColumn("part", F.pmod(F.hash("node"), parts(F.col("size")))).join(heads, ["slot", "part"]).filter("node <> hub")
+    met = met.withColumn("likely", estimate(F.col("hub_bits"), F.col("bits")) >= LEAST_ESTIMATE)
+    pair = ["hub", "hub_name", "hub_key", "node", "name", "text_key", "n_shingles", "likely"]
+    members = settle(met.groupBy(*pair).agg(F.max("size").alias("size"), F.first("bits").alias("bits")))
+
     # Strays of buckets of three and more may still meet other members, so those texts are wanted too.
-    wanted = pairs.select(F.explode(F.array("hub", "node")).alias("node")).union(members.filter("size > 2").select("node")).distinct()
-    places = wanted.join(classes.select("node", "name", "text_key"), "node")
-    texts = rows.join(places.withColumnRenamed("name", "doc_id"), ["doc_id", "text_key"]).select("node", "text")
-    texts = settle(texts)
-    told = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"{name}_text"))
-    links = settle(pairs.join(told("node"), "node").join(told("hub"), "hub").select("hub", "node", "hub_text", "node_text").mapInArrow(_confirm(words, percent), "a long, b long").distinct())
-    names = classes.select("node", "name")
-    labels = least_labels(names, links)
-
-    label_of = lambda name: labels.select(F.col("node").alias(name), F.col("node").isNotNull().alias(f"{name}_linked"), F.col("label").alias(f"{name}_label"))
-    # A node outside all links is a component of its own; negative numbers keep those apart from labels.
-    number = lambda name: F.when(F.col(f"{name}_linked"), F.col(f"{name}_label")).otherwise(-1 - F.col(name))
+    likely = members.filter("likely")
+    wanted = members.filter("likely or size > 2").select("node", F.col("name").alias("doc_id"), "text_key").union(likely.select("hub", "hub_name", "hub_key"))
+    wanted = wanted.groupBy("doc_id", "text_key").agg(F.min("node").alias("node"))
+    texts = settle(rows.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("node", "text"))
+    # A hub's text goes to as many parts as its largest bucket has; no part holds one hub's every member.
+    dealt = likely.withColumn("parts", parts(F.col("size"))).withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
+    hubs = dealt.select("hub", "parts").distinct().join(texts.withColumnsRenamed({"node": "hub", "text": "hub_text"}), "hub").withColumn("part", every(F.col("parts")))
+    compared = dealt.join(texts.withColumnRenamed("text", "node_text"), "node").join(hubs, ["hub", "parts", "part"])
+    checked = settle(compared.select("hub", "hub_name", "node", "name", "bits", "n_shingles", "size", "hub_text", "node_text").mapInArrow(_confirm(words, percent), f"{PAIR}, linked boolean"))
+
     # Buckets of one hub hold much the same members: they are settled together, as one crowd.
-    crowd = members.filter("size > 2 and node <> hub").select("hub", "node").distinct().join(label_of("node"), "node", "left").join(label_of("hub"), "hub", "left")
-    crowd = settle(crowd.select("hub", "node", number("node").alias("label"), (number("node") != number("hub")).alias("stray")))
-    counts = crowd.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.count_if("stray").alias("n_stray")).filter("size > 1 and n_stray > 0")
-    if not counts.isEmpty():
-        left_blocks, right_blocks = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("n_stray") / BLOCK).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        block = lambda n: F.pmod(F.hash("node", "hub"), n)
-        met = join_by_size(crowd, counts, "hub", "size", F.col("node")).filter("size is not null")
-        left = met.select(F.lit(0).alias("side"), "hub", "node", "label", block(left_blocks).alias("x"), every(right_blocks).alias("y"))
-        right = met.filter("stray").select(F.lit(1).alias("side"), "hub", "node", "label", every(left_blocks).alias("x"), block(right_blocks).alias("y"))
-        blocks = left.union(right).join(sketches, "node").join(texts, "node")
-        more = settle(blocks.groupBy("hub", "x", "y").applyInArrow(_settle_block(words, percent), "a long, b long").distinct())
-        if not more.isEmpty():
-            labels = least_labels(names, links.union(more), labels)
-
-    component = settle(classes.join(labels.select("node", "label"), "node", "left").select("set_id", F.coalesce("label", "name").alias("component")))
+    apart = members.filter("not likely").withColumn("linked", F.lit(False))
+    crowd = checked.unionByName(apart.select(*checked.columns)).filter("size > 2").select("hub", "node", "name", "bits", "n_shingles", "linked")
+    stray = ~F.col("linked")
+    counts = crowd.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.count_if(stray).alias("n_stray"), F.sum("n_shingles").alias("held"), F.sum(F.when(stray, F.col("n_shingles"))).alias("stray_held")).filter("size > 1 and n_stray > 0")
+    many = lambda size, held: F.ceil(F.greatest(F.col(size) / BLOCK, F.col(held) / BLOCK_SHINGLES)).cast("int")
+    left_blocks, right_blocks = many("size", "held"), many("n_stray", "stray_held")
+    block = lambda n: F.pmod(F.hash("node", "hub"), n)
+    crowd = join_by_size(crowd, counts, "hub", "size", F.col("node")).filter("size is not null")
+    member = ["node", "name", "bits", "linked"]
+    left = crowd.select("hub", block(left_blocks).alias("x"), every(right_blocks).alias("y"), F.lit(0).alias("side"), *member)
+    right = crowd.filter(stray).select("hub", every(left_blocks).alias("x"), block(right_blocks).alias("y"), F.lit(1).alias("side"), *member)
+    # Blocks meet by their bits first; only texts of members that may be linked are copied to a block.
+    close = left.union(right).groupBy("hub", "x", "y").applyInArrow(_meet, MEMBER)
+    more = close.join(texts, "node").groupBy("hub", "x", "y").applyInArrow(_settle_block(words, percent), "a long, a_name long, b long, b_name long")
+    links = checked.filter("linked").select(F.col("hub").alias("a"), F.col("hub_name").alias("a_name"), F.col("node").alias("b"), F.col("name").alias("b_name"))
+    labels = components(links.union(settle(more)))
+
+    component = classes.join(labels, "node", "left").select("set_id", F.coalesce("label", "name").alias("component"))
     joined = sketch.select("doc_id", "text_key", "n_shingles", "set_id").join(component, "set_id", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"), "text_key")

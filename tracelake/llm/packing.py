@@ -12,9 +12,12 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracelake.llm.shared import settle
 
@@ -99,6 +102,56 @@ def pack(counted: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
     return full.unionByName(packed.withColumnRenamed("length", "n_tokens")).unionByName(empty)
 
 
+def _sequences(sizes: list[int], overhead: int, doc_type: pa.DataType):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.append_column("length", pc.cast(pc.list_value_length(table["ids"]), pa.int64()))
+        table = table.sort_by([("length", "descending"), ("row_no", "ascending"), ("start", "ascending")])
+        place, used = pack_shard(table["length"].to_pylist(), sizes, overhead)
+        table = table.take(sorted(range(len(place)), key=place.__getitem__)).combine_chunks()
+        shard, whole = table["shard"][0].as_py(), lambda c: table[c].combine_chunks()
+        ids = whole("ids")
+        pieces = np.r_[0, np.cumsum(np.bincount([k for k, _ in place], minlength=len(used)))].astype(np.int32)
+        tokens = np.r_[0, np.cumsum(used)].astype(np.int32)
+        each = lambda values: pa.ListArray.from_arrays(pa.array(pieces), values)
+        return pa.table(
+            {
+                "bin_id": pa.array([f"s{shard}-{k}" for k in range(len(used))]),
+                "bin_size": pa.array([fitting(sizes, n) for n in used], pa.int64()),
+                "bin_used": pa.array(used, pa.int64()),
+                "doc_ids": each(whole("doc_id").cast(doc_type)),
+                "starts": each(whole("start")),
+                "lengths": each(whole("length")),
+                "ids": pa.ListArray.from_arrays(pa.array(tokens), ids.flatten().cast(pa.int32())),
+            }
+        )
+
+    return run
+
+
+def pack_ids(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rows: int | None = None, tokens: int | None = None, sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row per packed sequence: bin_id, bin_size, bin_used, doc_ids, starts, lengths, ids.
+
+    `ids` holds the tokens of the pieces in order, bin_used of them; doc_ids, starts and lengths
+    tell for each piece whose it is, where it starts in its document and how long it is. Every
+    token of every row stands in exactly one sequence; a null or empty list of ids stands in none.
+    Null and repeated ids are kept, repeated rows are packed each for itself. Tokens move once, to
+    the shard of their piece. `rows` and `tokens` are upper bounds of what `coded` holds, where the
+    caller has them; else they are counted, which evaluates `coded` once more. A shard holds about
+    `shard_rows` pieces of the longest length at most. Other columns are not read.
+    """
+    allowed = sorted(set(sizes))
+    longest = allowed[-1]
+    if rows is None or tokens is None:
+        rows, tokens = coded.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(ids_col)), F.lit(0))).first()
+    shards = max(1, -(-rows // shard_rows), -(-tokens // (shard_rows * longest // 4)))
+    kind = coded.schema[id_col].dataType
+    whole = coded.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).filter(F.size("ids") > 0)
+    cut = whole.select("row_no", "doc_id", "ids", F.explode(F.sequence(F.lit(0), F.ceil(F.size("ids") / longest).cast("int") - 1)).alias("piece"))
+    pieces = cut.select(F.pmod(F.xxhash64("row_no", "piece"), F.lit(shards)).alias("shard"), "row_no", "doc_id", (F.col("piece") * F.lit(longest).cast("long")).alias("start"), F.slice("ids", F.col("piece") * longest + 1, F.lit(longest)).alias("ids"))
+    schema = f"bin_id string, bin_size long, bin_used long, doc_ids array<{kind.simpleString()}>, starts array<long>, lengths array<long>, ids array<int>"
+    return pieces.groupBy("shard").applyInArrow(_sequences(allowed, overhead, to_arrow_type(kind)), schema)
+
+
 def sequences(packed: DataFrame, coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The packed sequences: bin_id, bin_size, ids; `coded` holds each document's ids, and its ids are unique and not null.
 

@@ -101,8 +101,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of `docs`: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_lost_words, kept.
 
-    Lines are compared lower-cased with blanks squeezed, within one host; a null host is a host of
-    its own. Documents count as distinct by their whole text, so repeated rows and exact copies
+    Lines are compared lower-cased with blanks squeezed, within one host; null and empty hosts
+    are one host. Documents count as distinct by their whole text, so repeated rows and exact copies
     count once. A null or empty text has no words and fails the base rules. Null and repeated ids
     are kept as they are; other columns are not read.
     """

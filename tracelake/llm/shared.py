@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,20 +13,40 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The session's folder below `spark.checkpoint.dir` for checkpoints and tables between jobs."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
+    return context.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the session's checkpoint folder and cut its lineage.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; a local one is made
-    only where a session names none. Lost executors cannot take the rows with them, and what
-    follows sees one fixed set of rows.
+    Lost executors cannot take the rows with them, and what follows sees one fixed set of rows.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracelake-checkpoint-"))
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet below the work folder and read again."""
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in `spark.checkpoint.dir`; where a session names none, a temporary one, on one machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="tracelake-checkpoint-")
+    return named
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
