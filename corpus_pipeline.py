@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import exact_dedup, language_id, near_dedup, packing, piece_tokens, secret_scan
+from tracelake.llm import exact_dedup, language_id, near_dedup, packing, piece_tokens, secret_scan, shared
 
 #: A document whose language is told with less than this probability is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -37,8 +37,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences of the permitted lengths."""
-    return packing.pack(piece_tokens.encode(docs, ids=False))
+    """Packs the documents' tokens into sequences of the permitted lengths: one row a sequence, with its ids and documents."""
+    # A text has no more tokens than bytes, and two that mark its ends.
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return packing.pack_ids(piece_tokens.encode(docs), rows=rows, tokens=size + 2 * rows)
 
 
 STAGES = [
@@ -54,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what each keeps is written to the shared folder, so no stage is computed again by a later one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
