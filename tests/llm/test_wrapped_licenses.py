@@ -1,5 +1,9 @@
+import math
+import re
 import textwrap
 
+import pytest
+
 from tracelake.llm import license_scan
 
 GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
@@ -23,3 +27,78 @@ def test_wrapped_headers_are_told(spark, documents):
     assert {r["doc_id"]: (r["license"], r["licenses"], r["n_confirmed"]) for r in got if r["doc_id"] < 100} == want
     assert {r["licenses"] for r in got if r["doc_id"] == 100} == {"cc-by-nc-4.0,mit"}
     assert sum(r["doc_id"] == 101 and r["license"] == "mit" and r["n_confirmed"] == 1 for r in got) == 3
+
+
+#: Wordings that stand neither in the training notices nor in the calibration, and what they are.
+UNSEEN = [
+    ("apache-2.0", "You can use this package under the terms of the Apache License, Version 2.0."),
+    ("mit", "Everything in this folder falls under the MIT License."),
+    ("gpl-2.0", "Whatever you find in here is licensed under the GNU General Public License, version 2 as it stands."),
+    ("cc-by-4.0", "Our photographs were put online and are licensed under a Creative Commons Attribution 4.0 International License."),
+    ("mpl-2.0", "Each module is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("bsd", "It was released under the BSD License in June."),
+    (None, "Her fishing license ran out last week."),
+    (None, "The committee met again on the third floor."),
+    (None, "The public may inspect the general ledger."),
+]
+
+
+def slow_scan(model, text):
+    """License, score, licenses, n_confirmed, n_unconfirmed of one text, every run of lines scored."""
+    lines = [w for w in (re.findall(license_scan.TOKEN, line.lower()) for line in (text or "").split("\n")) if w]
+    most = max(len(re.findall(license_scan.TOKEN, t.lower())) for _, t in license_scan.TEMPLATES) - 1
+    told = lambda a, b: any(w in model.evidence for line in lines[a:b] for w in line)
+    runs, places = [], []
+    for first in range(len(lines)):
+        after = 0
+        for end in range(first + 1, len(lines) + 1):
+            if end > first + 1:
+                if after >= most:
+                    break
+                after += len(lines[end - 1])
+            paragraph = " ".join(w for line in lines[first:end] for w in line)
+            grams = license_scan.grams_of(paragraph)
+            z = [b + sum(model.grams[g][k] for g in grams if g in model.grams) / math.sqrt(len(grams)) for k, b in enumerate(model.bias)]
+            total = sum(math.exp(v - max(z)) for v in z)
+            k = z.index(max(z))
+            family, p = model.classes[k], 1 / total
+            if not told(first, end):
+                assert family == "unknown" or p < license_scan.LEAST_PROBABILITY  # what is not scored would be unknown
+                continue
+            contained = max((len(grams & license_scan.grams_of(t)) / len(license_scan.grams_of(t)) for f, t in license_scan.TEMPLATES if f == family), default=0)
+            sure = p >= license_scan.LEAST_PROBABILITY
+            if sure and contained >= license_scan.LEAST_CONTAINED:
+                runs.append((-contained, -p, end - 1 - first, first, end - 1, family, paragraph))
+            if sure and family != "unknown" and (end == first + 1 or not told(first, end - 1) and not told(first + 1, end)):
+                places.append((first, end - 1, paragraph))
+    kept = []
+    for r in sorted(runs):
+        if not any(k[3] <= r[4] and k[4] >= r[3] and (k[5] == r[5] or r[0] > -1) for k in kept):
+            kept.append(r)
+    free = {p for a, b, p in places if not any(k[3] <= b and k[4] >= a for k in kept)}
+    best = min(((k[1], k[5]) for k in kept), default=(0.0, "unknown" if free else None))
+    return best[1], -best[0], ",".join(sorted({k[5] for k in kept})), len({k[6] for k in kept}), len(free)
+
+
+def test_scan_as_a_slow_one(spark, documents):
+    model = license_scan.fit(documents)
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    rows += [(10_000 + i, f"Plain words before.\n{text}\nPlain words after.") for i, (_, text) in enumerate(UNSEEN)]
+    rows += [(20_000 + i, "\n".join(textwrap.wrap(f"Some words. {a} {b}", width))) for i, (a, b, width) in enumerate([(GPL, MIT, 40), (BSD, "Licensed under CC BY-NC 4.0.", 25), ("All rights reserved.", MIT, 60)])]
+    got = {r["doc_id"]: tuple(r)[1:] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        want = slow_scan(model, text)
+        assert (got[i][0], *got[i][2:]) == (want[0], *want[2:]), (i, got[i], want)
+        assert got[i][1] == pytest.approx(want[1], abs=1e-6)
+    assert [got[10_000 + i][0] for i in range(len(UNSEEN))] == [family for family, _ in UNSEEN]
+
+
+def test_probabilities_are_calibrated(documents):
+    """On the notices and lookalikes that were not trained on, the mean probability of the best class is near its accuracy."""
+    model = license_scan.fit(documents)
+    right, sure = [], []
+    for family, grams in license_scan.examples(held=True):
+        z = [b + sum(model.grams[g][k] for g in grams if g in model.grams) / math.sqrt(len(grams)) for k, b in enumerate(model.bias)]
+        right.append(model.classes[z.index(max(z))] == family)
+        sure.append(1 / sum(math.exp(v - max(z)) for v in z))
+    assert sum(right) / len(right) >= 0.9 and abs(sum(sure) / len(sure) - sum(right) / len(right)) < 0.1

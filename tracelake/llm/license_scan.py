@@ -1,22 +1,30 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams, confirmed on templates.
 
-The model is a multinomial logistic regression over the n-grams of licence templates, with an
-`unknown` class learned from paragraphs of the corpus and from fixed sentences that only look like
-licences; a temperature calibrates its probabilities. Scoring runs in DataFrame functions only:
+The model is a multinomial logistic regression over word n-grams. It learns from notices (each
+family's names in many wordings, and the templates), from sentences that only look like licences,
+and from paragraphs of the corpus: those that hold most of a template are of its family, all
+others are of the class `unknown`. Wordings and paragraphs left out of the training set the
+temperature and the level of the unknown class. Scoring runs in DataFrame functions only:
 paragraphs become n-grams, n-grams meet the weights, and the sums become probabilities. A
 prediction counts once enough of a template of that family stands in the paragraph.
+
+No list of key words stands before the classifier. The model itself tells its evidence words: a
+paragraph without any of them has, whatever else it holds, a probability below LEAST_PROBABILITY
+for each family, so only the others are scored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import hash_sample
+from tracelake.llm.shared import hash_sample, settle
 
 UNKNOWN = "unknown"
 #: Notices by licence family.
@@ -55,24 +63,52 @@ LOOKALIKES = [
     "The software was released under another name.",
     "This work is not licensed.",
     "The warranty covers parts for two years.",
+    "Version 2.0 of the report was released in March.",
+    "Permission to enter the building was granted.",
+    "The free software course is open to any person.",
+    "Source files and binary forms are kept in the archive.",
+    "All seats are reserved.",
+    "The public library offers general reading.",
+    "International attribution of the painting is disputed.",
+    "The author reserved a table and copied the menu.",
+    "The Apache helicopter landed near the Mozilla office.",
+    "He studied at MIT and published under another name.",
 ]
-#: A paragraph without any of these has no licence template's key words and is not scored.
-ANCHOR = r"(?i)licen[cs]|copyright|copyleft|rights reserved|creative commons|free software|hereby granted|redistribution and use|\bcc0\b|\bcc by"
-#: The same words with whatever stands between them, a line's end and a comment sign included.
-WIDE_ANCHOR = ANCHOR.replace(" ", r"[^a-z0-9]+")
+#: Names of each family in notices.
+NAMES = {
+    "apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache Software License, version 2.0", "Apache 2.0", "Apache-2.0"],
+    "mit": ["the MIT License", "the terms of the MIT license", "an MIT-style license", "MIT"],
+    "gpl-3.0": ["the GNU General Public License, version 3", "the GNU GPL v3", "GPLv3", "GPL-3.0", "the GNU General Public License as published by the Free Software Foundation, version 3"],
+    "gpl-2.0": ["the GNU General Public License, version 2", "the GNU GPL v2", "GPLv2", "GPL-2.0"],
+    "lgpl": ["the GNU Lesser General Public License", "the GNU LGPL", "LGPL", "the terms of the GNU Lesser General Public License"],
+    "cc-by-nc-4.0": ["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License", "the Creative Commons Attribution-NonCommercial license"],
+    "cc-by-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution license"],
+    "cc-by-sa-4.0": ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License", "the Creative Commons Attribution-ShareAlike license"],
+    "cc0": ["CC0 1.0", "the CC0 1.0 Universal public domain dedication", "Creative Commons Zero"],
+    "bsd": ["the BSD License", "the 3-Clause BSD License", "a BSD-style license", "the 2-clause BSD license"],
+    "mpl-2.0": ["the Mozilla Public License, v. 2.0", "the Mozilla Public License 2.0", "MPL 2.0"],
+    "proprietary": ["a proprietary license", "a commercial license, all rights reserved"],
+}
+#: Wordings around a name; the last ones only calibrate.
+FRAMES = ["Licensed under {}.", "This work is licensed under {}.", "Released under {}.", "This project is distributed under {}.", "Copyright (c) 2021 The Authors. Licensed under {}.", "The source code is available under {}. See the file for details.", "License: {}", "You may use, copy and modify this under {}."]
+HELD_FRAMES = ["All files here are published under {}.", "Its use is governed by {}.", "SPDX-License-Identifier: {}", "We offer this library under {}, without warranty."]
+SETTINGS = ["{}", "{} Thank you.", "Copyright (c) 2021 The Authors. {}", "Note: {}"]
+HELD_SETTING = "Please read this first. {} See the file for details."
 LEAST_PROBABILITY = 0.5
 LEAST_CONTAINED = 0.6
+#: Rows whose paragraphs train the unknown class.
 SAMPLE_ROWS = 1_000
-SAMPLE_CHARS = 2_000
-MAX_GRAMS = 4_096
+#: A word in more than this share of the sampled paragraphs is common; n-grams of common words only have no weight.
+COMMON_SHARE = 0.01
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
 @dataclass(frozen=True)
 class LicenseModel:
     classes: list[str]
-    grams: dict[str, list[float]]  # weights of each class; MAX_GRAMS at most
+    grams: dict[str, list[float]]  # weights of each class; as many as the fixed notices have
     bias: list[float]
+    evidence: list[str]
 
 
 def grams_of(text: str) -> set[str]:
@@ -91,26 +127,28 @@ def gram_array(text: Column) -> Column:
     return F.get(F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, run(w, 2), run(w, 3)))), F.lit(0))
 
 
-def line_runs(text: Column) -> Column:
+def line_runs(text: Column, evidence: Column) -> Column:
     """Array of struct(first, run): for each line that holds a token, its number and the lines from it on.
 
-    Lines are their tokens, blank-joined. A run goes on until the lines after its first hold as many
-    tokens as the longest template less one, so a template that starts on a line ends in its run
-    however narrowly it is wrapped.
+    A line is struct(line, telling): its tokens, blank-joined, and whether an evidence word is
+    among them. A run goes on until the lines after its first hold as many tokens as the longest
+    template less one, so a template that starts on a line ends in its run however narrowly it is
+    wrapped. Runs without an evidence word are left out.
     """
     most = max(len(re.findall(TOKEN, t.lower())) for _, t in TEMPLATES) - 1
     once = lambda array, use: F.get(F.transform(F.array(array), use), F.lit(0))
     words = lambda line: F.regexp_extract_all(line, F.lit(f"({TOKEN})"), F.lit(1))
     held = F.filter(F.transform(F.split(F.lower(text), "\n+"), words), lambda w: F.size(w) > 0)
-    lines = F.transform(held, lambda w: F.struct(F.array_join(w, " ").alias("line"), F.size(w).alias("n")))
+    lines = F.transform(held, lambda w: F.struct(F.array_join(w, " ").alias("line"), F.size(w).alias("n"), F.arrays_overlap(w, evidence).alias("telling")))
     start = F.struct(F.lit(0).alias("words"), F.lit(1).alias("lines"))
 
     def run(every: Column, i: Column) -> Column:
         after = F.slice(every, i + 2, F.lit(most))
         k = F.aggregate(after, start, lambda a, x: F.when(a["words"] < most, F.struct((a["words"] + x["n"]).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(a), lambda a: a["lines"])
-        return F.struct(i.alias("first"), F.transform(F.slice(every, i + 1, k), lambda x: x["line"]).alias("run"))
+        return F.struct(i.alias("first"), F.transform(F.slice(every, i + 1, k), lambda x: F.struct(x["line"].alias("line"), x["telling"].alias("telling"))).alias("run"))
 
-    return once(lines, lambda every: F.transform(every, lambda _, i: run(every, i)))
+    told = lambda r: F.exists(r["run"], lambda x: x["telling"])
+    return once(lines, lambda every: F.filter(F.transform(every, lambda _, i: run(every, i)), told))
 
 
 def best_runs(runs: Column) -> Column:
@@ -127,75 +165,110 @@ def best_runs(runs: Column) -> Column:
     return F.aggregate(ordered, none, lambda kept, r: F.when(beaten(kept, r), kept).otherwise(F.concat(kept, F.array(r))))
 
 
-def train(negatives: list[str], rounds: int = 400) -> LicenseModel:
-    """Softmax regression on the templates, in several settings, against lookalikes and `negatives`."""
-    frames = ["{}", "{} Thank you.", "Copyright (c) 2021 The Authors. {}", "Note: {}", "{} See the file for details."]
-    rows = [(family, frame.format(text)) for family, text in TEMPLATES for frame in frames]
-    rows += [(UNKNOWN, text) for text in LOOKALIKES for _ in frames] + [(UNKNOWN, text) for text in negatives]
-    classes = sorted({family for family, _ in TEMPLATES}) + [UNKNOWN]
-    vocabulary = sorted(set().union(*(grams_of(t) for _, t in TEMPLATES), *(grams_of(t) for t in LOOKALIKES)))[:MAX_GRAMS]
+def _probability(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def contained_family(grams: set[str]) -> str:
+    """The family of the template that a paragraph holds most of, if it holds enough; else `unknown`."""
+    share, family = max((len(grams & t) / len(t), f) for f, t in _template_grams())
+    return family if share >= LEAST_CONTAINED else UNKNOWN
+
+
+@lru_cache(maxsize=1)
+def _template_grams() -> list[tuple[str, set[str]]]:
+    return [(family, grams_of(text)) for family, text in TEMPLATES]
+
+
+def examples(held: bool) -> list[tuple[str, set[str]]]:
+    """(family, n-grams) of the fixed notices and lookalikes: those to train on, or those left out."""
+    frames, settings = (HELD_FRAMES, [HELD_SETTING]) if held else (FRAMES, SETTINGS)
+    rows = [(family, frame.format(name)) for family, names in NAMES.items() for name in names for frame in frames]
+    rows += [(family, setting.format(text)) for family, text in TEMPLATES for setting in settings]
+    rows += [(UNKNOWN, setting.format(text)) for i, text in enumerate(LOOKALIKES) if (i % 4 == 3) == held for setting in SETTINGS]
+    return [(family, grams_of(text)) for family, text in rows]
+
+
+def train(paragraphs: list[str], rounds: int = 250) -> LicenseModel:
+    """Softmax regression on the notices and on corpus paragraphs; every fourth paragraph calibrates only."""
+    corpus = [grams_of(p) for p in paragraphs]
+    labelled = [(contained_family(g), g) for g in corpus]
+    rows = examples(held=False) + [x for i, x in enumerate(labelled) if i % 4]
+    checks = examples(held=True) + labelled[::4]
+    classes = [*sorted({family for family, _ in TEMPLATES}), UNKNOWN]
+    plain = [g for f, g in labelled if f == UNKNOWN]
+    counts = Counter(w for g in plain for w in g if " " not in w)
+    common = {w for w, n in counts.items() if n > COMMON_SHARE * len(plain) and n > 1}
+    vocabulary = sorted({g for _, grams in examples(held=False) for g in grams if not common.issuperset(g.split(" "))})
     index = {g: i for i, g in enumerate(vocabulary)}
-    x = np.zeros((len(rows), len(vocabulary)))
-    for r, (_, text) in enumerate(rows):
-        grams = grams_of(text)
-        known = [index[g] for g in grams if g in index]
-        x[r, known] = 1 / np.sqrt(max(1, len(grams)))
-    y = np.array([classes.index(f) for f, _ in rows])
-    weight = 1 / np.bincount(y, minlength=len(classes)).clip(1)[y]
-    weight /= weight.sum()
-    target = np.eye(len(classes))[y]
-    w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
-
-    def probability(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
 
+    def matrix(rows: list[tuple[str, set[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct rows, their classes and weights; a class weighs as much as any other."""
+        same: Counter = Counter()
+        for family, grams in rows:
+            known = tuple(sorted(index[g] for g in grams if g in index))
+            same[(classes.index(family), known, len(grams) if known else 0)] += 1
+        x = np.zeros((len(same), len(vocabulary)), dtype=np.float32)
+        for r, (_, known, n) in enumerate(same):
+            x[r, list(known)] = 1 / np.sqrt(max(1, n))
+        y, n = np.array([k[0] for k in same]), np.array(list(same.values()), dtype=np.float64)
+        weight = n / np.bincount(y, weights=n, minlength=len(classes)).clip(1)[y]
+        return x, y, (weight / weight.sum()).astype(np.float32)
+
+    x, y, weight = matrix(rows)
+    target = np.eye(len(classes), dtype=np.float32)[y]
+    w, b = np.zeros((len(vocabulary), len(classes)), dtype=np.float32), np.zeros(len(classes), dtype=np.float32)
     for k in range(rounds):
-        grad = (probability(x @ w + b) - target) * weight[:, None]
+        grad = (_probability(x @ w + b) - target) * weight[:, None]
         rate = 40 / (1 + k / 100)
         w -= rate * (x.T @ grad + 1e-5 * w)
         b -= rate * 0.05 * grad.sum(0)
-    logits = x @ w + b
-    loss = lambda t: float(-(np.log(probability(logits / t)[np.arange(len(y)), y] + 1e-12) * weight).sum())
-    heat = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0), key=loss)
-    return LicenseModel(classes, {g: (w[i] / heat).tolist() for g, i in index.items()}, (b / heat).tolist())
 
+    x, y, weight = matrix(checks)
+    logits, unknown = (x @ w + b).astype(np.float64), np.eye(len(classes))[-1]
+    loss = lambda heat, level: float(-(np.log(_probability(logits / heat + level * unknown)[np.arange(len(y)), y] + 1e-12) * weight).sum())
+    heat, level = min(((h, u) for h in np.geomspace(0.1, 4, 17) for u in np.linspace(-2, 2, 17)), key=lambda c: loss(*c))
+    w, b = w / heat, b / heat
+    b[-1] = max(b[-1] + level, b[:-1].max() + 0.01)  # without evidence a paragraph is unknown
+    telling = {g for g, i in index.items() if (w[i, :-1] > w[i, -1]).any()}
+    evidence = sorted({word for g in telling for word in g.split(" ") if word not in common})
+    return LicenseModel(classes, {g: [float(v) for v in w[i]] for g, i in index.items()}, [float(v) for v in b], evidence)
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> LicenseModel:
-    """Train with about `sample_rows` corpus paragraphs (never over twice as many) as the unknown class.
 
-    One paragraph without an anchor of each sampled document, SAMPLE_CHARS characters at most,
-    comes to the driver.
-    """
-    text = F.col(text_col).cast("string")
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.substring(F.get(F.filter(F.split(text, "\n+"), lambda p: ~p.rlike(ANCHOR) & p.rlike(r"\w")), F.lit(0)), 1, SAMPLE_CHARS).alias("paragraph"))
-    rows = hash_sample(plain, "doc_id", sample_rows, 9).filter("paragraph is not null").collect()
-    return train(sorted({r["paragraph"] for r in rows}))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> LicenseModel:
+    """Train with every paragraph of about `sample_rows` whole texts of the corpus (never over twice as many)."""
+    rows = hash_sample(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", sample_rows, 9).filter("text is not null").collect()
+    return train(sorted({line for r in rows for line in r["text"].split("\n") if grams_of(line)}))
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, license, score, licenses, n_confirmed, n_unconfirmed.
 
     Paragraphs are the \\n-split lines of whole texts and the runs of neighbouring lines in which a
-    wrapped notice fits; of runs that share lines the best counts. `license` is the confirmed family with the
-    highest probability (ties: first by name), `score` that probability, `licenses` all confirmed
-    families, sorted and comma-joined. Where a paragraph has a licence's key words and nothing is
-    confirmed, `license` is `unknown`; where none has, it is null and the score 0. A null or empty
-    text has none. Null and repeated ids pass through; other columns are not read. Weights and
-    templates are broadcast: at most MAX_GRAMS and the fixed templates.
+    wrapped notice fits; of runs that share lines the best counts. `license` is the confirmed family
+    with the highest probability (ties: first by name), `score` that probability, `licenses` all
+    confirmed families, sorted and comma-joined. Where the model finds a family in a paragraph and
+    no template confirms it, and nothing else is confirmed, `license` is `unknown`; where it finds
+    none, `license` is null and the score 0. A null or empty text has none. Null and repeated ids
+    pass through; other columns are not read. Weights and templates are broadcast: as many as the
+    fixed notices have, whatever the corpus.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    runs = rows.filter(F.col("text").rlike(WIDE_ANCHOR)).select("doc_id", "text_key", F.inline(line_runs(F.col("text"))))
-    runs = runs.filter(F.array_join("run", " ").rlike(ANCHOR)).select("doc_id", "text_key", "first", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("k"))
-    anchored = lambda at, k: F.array_join(F.slice("run", at, k), " ").rlike(ANCHOR)
-    # A run whose key words already stand in a shorter one is no paragraph of its own where nothing is confirmed.
-    least = (F.col("k") == 1) | (~anchored(F.lit(1), F.col("k") - 1) & ~anchored(F.lit(2), F.col("k") - 1))
-    likely = runs.withColumn("paragraph", F.array_join(F.slice("run", F.lit(1), F.col("k")), " ")).filter(F.col("paragraph").rlike(ANCHOR))
+    evidence = F.array(*[F.lit(word) for word in model.evidence]).cast("array<string>")
+    # Evidence words by their first part, as a whole text is cut at every other sign here.
+    parts = F.array(*[F.lit(part) for part in sorted({re.split("[^a-z0-9]", word)[0] for word in model.evidence})]).cast("array<string>")
+    runs = rows.filter(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), parts)).select("doc_id", "text_key", F.inline(line_runs(F.col("text"), evidence)))
+    runs = runs.select("doc_id", "text_key", "first", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("k"))
+    telling = lambda at, k: F.exists(F.slice("run", at, k), lambda x: x["telling"])
+    # A run whose evidence already stands in a shorter one is no paragraph of its own where nothing is confirmed.
+    least = (F.col("k") == 1) | (~telling(F.lit(1), F.col("k") - 1) & ~telling(F.lit(2), F.col("k") - 1))
+    likely = runs.filter(telling(F.lit(1), F.col("k"))).withColumn("paragraph", F.array_join(F.transform(F.slice("run", F.lit(1), F.col("k")), lambda x: x["line"]), " "))
     likely = likely.select("doc_id", "text_key", "paragraph", "first", (F.col("first") + F.col("k") - 1).alias("last"), least.alias("least"))
-    likely = likely.withColumn("grams", gram_array(F.col("paragraph"))).withColumn("paragraph_key", F.xxhash64("paragraph"))
+    likely = settle(likely.select("doc_id", "text_key", "first", "last", "least", gram_array(F.col("paragraph")).alias("grams"), F.xxhash64("paragraph").alias("paragraph_key")))
     n = len(model.classes)
-    weights = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in model.grams.items()], "gram string, weight array<double>")
+    weights = spark.createDataFrame(list(model.grams.items()), "gram string, weight array<double>")
     scored = likely.select("doc_id", "text_key", "paragraph_key", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
     sums = [F.coalesce(F.sum(F.get("weight", F.lit(k))), F.lit(0.0)).alias(f"z{k}") for k in range(n)]
     scored = scored.groupBy("doc_id", "text_key", "paragraph_key", "n_grams").agg(F.count(F.lit(1)).alias("rows"), *sums)
@@ -215,7 +288,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     told = told.select("doc_id", "text_key", "paragraph_key", "family", "p", "contained", "first", "last", "least", confirmed.alias("confirmed")).distinct()
     run = F.struct((-F.col("contained")).alias("minus_contained"), (-F.col("p")).alias("minus_p"), (F.col("last") - F.col("first")).alias("more"), "first", "last", "family", F.col("paragraph_key").alias("key"))
     place = F.struct("first", "last", F.col("paragraph_key").alias("key"))
-    found = told.groupBy(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).agg(F.collect_list(F.when(F.col("confirmed"), run)).alias("runs"), F.collect_list(F.when(F.col("least"), place)).alias("places"))
+    found = told.groupBy(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).agg(F.collect_list(F.when(F.col("confirmed"), run)).alias("runs"), F.collect_list(F.when(F.col("least") & (F.col("family") != UNKNOWN) & (F.col("p") >= LEAST_PROBABILITY), place)).alias("places"))
     found = found.withColumn("kept", best_runs(F.col("runs")))
     open_places = F.filter("places", lambda x: ~F.exists("kept", lambda k: (k["first"] <= x["last"]) & (k["last"] >= x["first"])))
     distinct = lambda array: F.size(F.array_distinct(F.transform(array, lambda x: x["key"])))
