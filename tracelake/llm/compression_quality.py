@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.shared import hash_sample, slices
 
-#: Labelled rows of each class used, the characters of each of them, and a dictionary's bytes.
-SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 8_192
+#: Labelled rows of each class used, whole texts, and a dictionary's bytes.
+SAMPLE_ROWS = 1_000
 DICT_BYTES = 131_072
 BLOCK_BYTES = 512
+SEGMENT_BYTES = 256
 LEVEL = 6
 
 
@@ -36,7 +36,7 @@ class CompressionModel:
 
         made = []
         for content in (self.good, self.bad):
-            data = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data = zstandard.ZstdCompressionDict(content or b" ")
             data.precompute_compress(level=LEVEL)
             made.append(zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
         return made
@@ -55,6 +55,19 @@ def difference(text: str | None, good, bad) -> float | None:
     return (b - a) / (a + b)
 
 
+def dictionary(texts: list[str]) -> bytes:
+    """A zstandard dictionary trained on all blocks of the whole texts; of very few blocks, the texts themselves."""
+    import zstandard
+
+    data = [t.strip().encode("utf-8", "replace") for t in texts]
+    blocks = [d[at : at + BLOCK_BYTES] for d in data for at in range(0, len(d), BLOCK_BYTES)]
+    whole = b"\n".join(data)
+    if len(whole) <= DICT_BYTES:
+        return whole
+    # The trainer wants samples of eight bytes and more.
+    return zstandard.train_dictionary(DICT_BYTES, [b for b in blocks if len(b) >= 8], k=SEGMENT_BYTES, d=8).as_bytes()
+
+
 def _terms(d: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones_like(d), 10 * d])
 
@@ -90,10 +103,7 @@ def train(texts: list[str], labels: list[int], good_share: float | None = None)
     share = share if good_share is None else good_share
     if not pools[0] or not pools[1]:  # one class or none: nothing to tell apart
         return CompressionModel(b"", b"", (0.0, 0.0), 0.5 if not pools[0] and not pools[1] else share)
-    content = {}
-    for y, pool in pools.items():
-        most = max(256, DICT_BYTES // max(1, len(pool[::2])))
-        content[y] = "\n".join(t[:most] for t in pool[::2]).encode("utf-8", "replace")[-DICT_BYTES:]
+    content = {y: dictionary(pool[::2]) for y, pool in pools.items()}
     draft = CompressionModel(content[1], content[0], (0.0, 0.0), share)
     good, bad = draft.compressors()
     rows = [(difference(t, good, bad), y) for y, pool in pools.items() for t in (pool[1::2] or pool)]
@@ -110,9 +120,9 @@ def train(texts: list[str], labels: list[int], good_share: float | None = None)
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> CompressionModel:
     """Train on about `sample_rows` labelled rows of either class (never over twice as many), picked by a hash of the id.
 
-    Only ids are ordered and only the picked rows' excerpts (SAMPLE_CHARS characters from a place
-    that the hash picks) reach the driver, so neither grows with the corpus. Null ids, labels and
-    texts are left out, and texts that occur again count once.
+    Only ids are ordered and only the picked rows' whole texts reach the driver, so neither grows
+    with the corpus. Null ids, labels and texts are left out, and texts that occur again count
+    once. Where labels of one id, or of equal texts, differ, the largest label counts.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -121,10 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     if not ids:
         return train([], [])
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in ids], known.schema)
-    text = F.col(text_col).cast("string")
-    place = F.pmod(F.xxhash64(id_col, F.lit(11)), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS)).cast("int") + 1
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.substring(text, place, SAMPLE_CHARS).alias("excerpt")).join(F.broadcast(chosen), "doc_id").filter("excerpt is not null").collect()
-    unique = {r["excerpt"]: r["label"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["excerpt"]))}
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").filter("text is not null").collect()
+    unique = dict(sorted((r["text"], r["label"]) for r in rows))
     shuffled = sorted(unique.items(), key=lambda x: _mix(x[0]))
     return train([t for t, _ in shuffled], [y for _, y in shuffled], n.get(1, 0) / sum(n.values()))
 

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.shared import hash_sample, slices
 
-#: Labelled rows used to train and the characters of each.
-SAMPLE_ROWS = 4_000
-SAMPLE_CHARS = 768
+#: Labelled rows used to train, whole texts.
+SAMPLE_ROWS = 1_000
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
@@ -176,17 +175,14 @@ def predict(net: ByteConvNet | None, texts: list[str | None]) -> tuple[list[str]
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> ByteConvNet | None:
-    """Train on about `sample_rows` rows (never over twice as many) with text and language, picked by a hash of the id.
+    """Train on the whole texts of about `sample_rows` rows (never over twice as many) with text and language, picked by a hash of the id.
 
-    SAMPLE_CHARS characters of each picked row, from a place its hash picks, come to the driver.
     None where no row has both.
     """
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text")).filter("lang is not null and text is not null")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
-    sample = hash_sample(rows.select("doc_id", "lang", F.substring("text", place, SAMPLE_CHARS).alias("excerpt")), "doc_id", sample_rows, 3).collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["lang"], r["excerpt"]))
-    return train([r["excerpt"] for r in sample], [r["lang"] for r in sample])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
+    sample = hash_sample(rows, "doc_id", sample_rows, 3).collect()
+    sample.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
 def language(text_col: str, net: ByteConvNet | None):
