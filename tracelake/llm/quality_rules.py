@@ -31,23 +31,24 @@ def _lines(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words covered by three-word windows that occur twice or more in the array, first ones included.
 
-    Each window is its 64-bit hash with the low bits given up for its place, so that sorting the
-    numbers brings equal windows together; the low bits then tell the places that they cover.
+    Windows are sorted by their 64-bit hash and place, so equal ones are neighbours, and neighbours
+    with one hash are compared word by word.
     """
     n = F.size(words)
-    bits = F.length(F.bin(n.cast("long"))).cast("int")
-    shift = lambda x: F.call_function("shiftright", x, bits)
-    keys = F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.call_function("shiftleft", F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), bits).bitwiseOR(i.cast("long")),
-    )
-    ordered = F.sort_array(keys)
-    # `shared` is computed once a row: the lambda variable of a one-element array.
-    twice = lambda s: F.filter(s, lambda x, i: (shift(x) == shift(F.get(s, i + 1))).eqNullSafe(True) | (shift(x) == shift(F.get(s, i - 1))).eqNullSafe(True))
-    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
-    starts = lambda s: F.sort_array(F.transform(twice(s), place))
-    covered = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     once = lambda array, use: F.get(F.transform(F.array(array), use), F.lit(0))
+    window = lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("key"), i.alias("place"))
+    ordered = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))
+
+    def same(x: Column, y: Column) -> Column:
+        equal = x["key"] == y["key"]
+        for k in range(3):
+            equal = equal & (F.get(words, x["place"] + k) == F.get(words, y["place"] + k))
+        return F.coalesce(equal, F.lit(False))
+
+    # `s` and `p` are computed once a row: the lambda variables of one-element arrays.
+    twice = lambda s: F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1)))
+    starts = lambda s: F.sort_array(F.transform(twice(s), lambda x: x["place"]))
+    covered = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
     return F.when(n >= 4, once(ordered, lambda s: once(starts(s), covered))).otherwise(F.lit(0)).cast("long")
 
 
