@@ -12,7 +12,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracelake-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -88,10 +91,17 @@ def missing_entries(edges: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def two_hop(edges: DataFrame, most: int = 20) -> DataFrame:
-    """Callees of callees that are no direct callees: src, dst, in order of the calls, `most` for each src."""
-    a = edges.select("src", F.col("dst").alias("mid"), F.col("ordinal").alias("o1"))
-    b = edges.select(F.col("src").alias("mid"), F.col("dst").alias("far"), F.col("ordinal").alias("o2"))
-    far = a.join(b, "mid").filter("src <> far").groupBy("src", "far").agg(F.min(F.struct("o1", "o2")).alias("first"))
+    """Callees of callees that are no direct callees: src, dst, in order of the calls, `most` for each src.
+
+    Of one callee's own callees a caller needs the first `most` beyond itself and its direct
+    callees, so no more of them than that meet the caller, however many there are.
+    """
+    direct = F.size(F.collect_set("dst").over(Window.partitionBy("src")))
+    a = edges.select("src", F.col("dst").alias("mid"), F.col("ordinal").alias("o1"), (direct + most + 1).alias("need"))
+    b = edges.groupBy(F.col("src").alias("mid"), F.col("dst").alias("far")).agg(F.min("ordinal").alias("o2"))
+    b = b.withColumn("place", F.row_number().over(Window.partitionBy("mid").orderBy("o2", "far")))
+    met = a.join(b, (a["mid"] == b["mid"]) & (b["place"] <= a["need"])).filter("src <> far")
+    far = met.groupBy("src", "far").agg(F.min(F.struct("o1", "o2")).alias("first"))
     far = far.join(edges.select("src", F.col("dst").alias("far")).distinct(), ["src", "far"], "left_anti")
     w = Window.partitionBy("src").orderBy("first", "far")
     return far.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).select("src", F.col("far").alias("dst"), "k")

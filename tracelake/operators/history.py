@@ -129,8 +129,8 @@ def feedback_weight(votes: DataFrame, key: str, order: list[str], positive: str)
     """Weight of each entry after its votes in order: plus or minus 0.2, never under 0.1; apply_count counts the good ones.
 
     The floor makes this a fold in order. The fold has a closed form: with running sums S of the
-    steps, the end is the larger of 1 + S_n and 0.1 + S_n - min S_k over the votes, so that no
-    key's votes are ever gathered.
+    steps, the end is the larger of 1 + S_n and 0.1 + S_n - min S_k over the votes. The running
+    sums are a window: one key's votes are sorted in one task, on disk where they are many.
     """
     step = F.when(F.col(positive), F.lit(0.2)).otherwise(F.lit(-0.2))
     sums = F.sum(step).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

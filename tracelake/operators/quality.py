@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import numbers, text
@@ -73,9 +73,20 @@ def code_metrics(rows: DataFrame, file: str, function: str, nloc: str) -> DataFr
 
 
 def group_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """count, max, mean and linear 95th percentile of a metric for each group."""
-    v = F.col(value).cast("double")
-    return rows.groupBy(group).agg(F.count(v).alias("n"), F.max(v).alias("largest"), F.avg(v).alias("mean"), F.percentile(v, 0.95).alias("p95"))
+    """count, max, mean and linear 95th percentile of a metric for each group.
+
+    Rows are counted by value first; the percentile is read off the running counts, which a window
+    sorts and spills, so no buffer holds a group's values.
+    """
+    v, n = F.col("_v"), F.col("_n")
+    counts = rows.select(group, F.col(value).cast("double").alias("_v")).groupBy(group, "_v").agg(F.count("_v").alias("_n"))
+    w = Window.partitionBy(group)
+    seen, place = F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), (F.sum("_n").over(w) - 1) * 0.95
+    at = lambda x: F.min(F.when(F.col("_seen") > x, v))
+    out = counts.withColumns({"_seen": seen, "_place": place}).groupBy(group)
+    low, high = at(F.floor("_place")), at(F.ceil("_place"))
+    share = F.max(F.col("_place") - F.floor("_place"))
+    return out.agg(F.sum(n).alias("n"), F.max(v).alias("largest"), (F.sum(v * n) / F.nullif(F.sum(n), F.lit(0))).alias("mean"), (low + (high - low) * share).alias("p95"))
 
 
 def warning_levels(rows: DataFrame, metric: str, value: str, bounds: dict[str, list[float]] | None = None) -> DataFrame:

@@ -260,3 +260,17 @@ def finished_fields(functions: DataFrame) -> DataFrame:
     """Defaults where a function's fields say nothing: asil QM, related TBD, precondition N/A, description from its name."""
     default = {"asil": F.lit("QM"), "related": F.lit("TBD"), "precondition": F.lit("N/A"), "description": F.concat(F.lit("Performs "), F.lower(F.array_join(text.name_words("name"), " ")), F.lit("."))}
     return functions.withColumns({c: F.when(text.meaningful(c), text.trimmed(c)).otherwise(v) for c, v in default.items() if c in functions.columns})
+
+
+def design_sections(docs: DataFrame, keys: list[str], body: str, changed: DataFrame) -> DataFrame:
+    """Sections of a design text below its `#` headings: keys, ordinal, heading, functions (named before a parenthesis), changed.
+
+    A section is changed where one of its functions is among `changed` (name), in any case. Text
+    before the first heading belongs to none.
+    """
+    parts = F.split(F.coalesce(F.col(body), F.lit("")), r"(?m)^#+\s+")
+    each = docs.select(*keys, F.posexplode(F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts)))).alias("ordinal", "part"))
+    each = each.select(*keys, "ordinal", F.trim(F.regexp_extract("part", r"^([^\n]*)", 1)).alias("heading"), text.call_names(F.regexp_replace("part", r"^[^\n]*", "")).alias("functions"))
+    touched = changed.select(F.lower("name").alias("name")).distinct().withColumn("touched", F.lit(True))
+    named = each.select(*keys, "ordinal", F.explode("functions").alias("f")).join(touched, F.lower("f") == F.col("name")).select(*keys, "ordinal", "touched").distinct()
+    return each.join(named, [*keys, "ordinal"], "left").select(*keys, "ordinal", "heading", "functions", F.coalesce("touched", F.lit(False)).alias("changed"))

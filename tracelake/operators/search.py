@@ -20,9 +20,10 @@ def query_tokens(query: str) -> list[str]:
 
 def windows(body: Column, size: int = 1200, overlap: int = 200) -> Column:
     """Windows of a trimmed text as an array; blank ones are dropped, an empty text has none."""
-    trimmed = text.trimmed(body)
     step = max(1, size - max(0, overlap))
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(trimmed)), F.lit(step)), lambda i: F.substr(trimmed, i, F.lit(size)))
+    cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t)), F.lit(step)), lambda i: F.substr(t, i, F.lit(size)))
+    # The text is trimmed once, as the lambda variable of a one-element array, not for each window.
+    parts = F.flatten(F.transform(F.array(text.trimmed(body)), cut))
     return F.filter(parts, lambda p: text.trimmed(p) != "")
 
 

@@ -60,6 +60,25 @@ def stages(classified: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("status", F.when(F.col("errors") > 0, F.lit("failure")).otherwise(F.lit("success")))
 
 
+def stage_records(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Every run of every stage: keys, ordinal, stage, start_line, end_line, line_count, errors, warnings, status.
+
+    A stage runs until a closing line; one without it, at the end or before the next stage opens,
+    has no end and stays `running`. A stage that runs twice has two records.
+    """
+    text = trimmed("text")
+    name = F.regexp_extract("text", STAGE_OPEN, 1)
+    kind = F.when(name != "", F.lit("open")).when(F.col("text").rlike(STAGE_CLOSE), F.lit("close")).otherwise(level(text))
+    upto = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.select(*keys, "line_no", kind.alias("kind"), name.alias("name"), F.count_if(name != "").over(upto).alias("ordinal")).filter("ordinal > 0")
+    before = Window.partitionBy(*keys, "ordinal").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    inside = marked.withColumn("closed", F.coalesce(F.count_if(F.col("kind") == "close").over(before), F.lit(0))).filter("closed = 0")
+    end = F.min(F.when(F.col("kind") == "close", F.col("line_no")))
+    out = inside.groupBy(*keys, "ordinal").agg(F.max("name").alias("stage"), F.min("line_no").alias("start_line"), end.alias("end_line"), F.count_if(F.col("kind") == "ERROR").alias("errors"), F.count_if(F.col("kind") == "WARNING").alias("warnings"))
+    status = F.when(F.col("end_line").isNull(), F.lit("running")).when(F.col("errors") > 0, F.lit("failure")).otherwise(F.lit("success"))
+    return out.withColumns({"line_count": F.col("end_line") - F.col("start_line"), "status": status})
+
+
 def first_of_level(classified: DataFrame, keys: list[str], caps: dict[str, int]) -> DataFrame:
     """The first lines of each level, as many as `caps` allows."""
     w = Window.partitionBy(*keys, "level").orderBy("line_no")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.text import asil
+from tracelake.functions.text import asil, requirement_type
 
 ID = r"Sw(?:TR|TSR|NTR|NTSR|CNF|EI|ST|STR|Fn|TK)_\d+"
 #: Keys that end a description.
@@ -42,6 +42,24 @@ def blocks(lines: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "block", "id", "name", "description", "related_ids", asil("level").alias("asil"))
 
 
+#: What a requirement table calls the fields of its record.
+TABLE_FIELDS = {"id": "ID", "name": "Name", "description": "Description", "asil": "ASIL", "related_id": "Related ID", "software_state": "Software State", "verification": "Verification criteria", "priority": "Priority"}
+
+
+def from_tables(tables: DataFrame, rows: str, keys: list[str]) -> DataFrame:
+    """Requirement records of two-column tables (array of array of cell texts): keys, the fields of TABLE_FIELDS, req_type.
+
+    A table of under three rows, or whose ID is no requirement id, has none. The last value of a
+    field counts, an absent one is empty; of tables with one id the first by keys stays.
+    """
+    pairs = F.filter(F.transform(rows, lambda r: F.struct(F.trim(F.get(r, F.lit(0))).alias("k"), F.trim(F.get(r, F.lit(1))).alias("v"))), lambda p: (p["k"] != "") & (p["v"] != ""))
+    value = lambda name: F.try_element_at(F.filter("pairs", lambda p: p["k"] == name), F.lit(-1))["v"]
+    read = tables.filter(F.size(rows) >= 3).select(*keys, pairs.alias("pairs")).select(*keys, *[value(n).alias(c) for c, n in TABLE_FIELDS.items()])
+    read = read.fillna("", list(TABLE_FIELDS)).filter(F.col("id").rlike(f"^{ID}"))
+    first = read.groupBy("id").agg(F.min(F.struct(*keys, *[c for c in TABLE_FIELDS if c != "id"])).alias("r"))
+    return first.select(*[f"r.{k}" for k in keys], "id", *[f"r.{c}" for c in TABLE_FIELDS if c != "id"], requirement_type("id").alias("req_type"))
+
+
 def components(found: DataFrame) -> DataFrame:
     """(requirement_id, kind, target): components and functions that requirement blocks of types TR and TSR name."""
     each = found.filter(F.col("id").rlike("^SwT(S)?R_")).select(F.col("id").alias("requirement_id"), F.explode(F.regexp_extract_all(F.coalesce("related_ids", F.lit("")), F.lit(r"\b(Sw(?:Com|Fn)_\d+)\b"), F.lit(1))).alias("target"))
