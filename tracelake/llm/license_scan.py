@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -192,18 +194,17 @@ def examples(held: bool) -> list[tuple[str, set[str]]]:
 
 def train(paragraphs: list[str], rounds: int = 250) -> LicenseModel:
     """Softmax regression on the notices and on corpus paragraphs; every fourth paragraph calibrates only."""
-    corpus = [grams_of(p) for p in paragraphs]
-    labelled = [(contained_family(g), g) for g in corpus]
-    rows = examples(held=False) + [x for i, x in enumerate(labelled) if i % 4]
-    checks = examples(held=True) + labelled[::4]
+    # N-grams of a paragraph are made when they are needed: all of them at once would fill the driver.
+    families = [contained_family(grams_of(p)) for p in paragraphs]
+    sampled = lambda keep: ((f, grams_of(p)) for i, (f, p) in enumerate(zip(families, paragraphs, strict=True)) if keep(i))
     classes = [*sorted({family for family, _ in TEMPLATES}), UNKNOWN]
-    plain = [g for f, g in labelled if f == UNKNOWN]
-    counts = Counter(w for g in plain for w in g if " " not in w)
-    common = {w for w, n in counts.items() if n > COMMON_SHARE * len(plain) and n > 1}
+    plain = families.count(UNKNOWN)
+    counts = Counter(w for f, grams in sampled(lambda i: True) if f == UNKNOWN for w in grams if " " not in w)
+    common = {w for w, n in counts.items() if n > COMMON_SHARE * plain and n > 1}
     vocabulary = sorted({g for _, grams in examples(held=False) for g in grams if not common.issuperset(g.split(" "))})
     index = {g: i for i, g in enumerate(vocabulary)}
 
-    def matrix(rows: list[tuple[str, set[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matrix(rows: Iterable[tuple[str, set[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct rows, their classes and weights; a class weighs as much as any other."""
         same: Counter = Counter()
         for family, grams in rows:
@@ -216,7 +217,7 @@ def train(paragraphs: list[str], rounds: int = 250) -> LicenseModel:
         weight = n / np.bincount(y, weights=n, minlength=len(classes)).clip(1)[y]
         return x, y, (weight / weight.sum()).astype(np.float32)
 
-    x, y, weight = matrix(rows)
+    x, y, weight = matrix(chain(examples(held=False), sampled(lambda i: i % 4)))
     target = np.eye(len(classes), dtype=np.float32)[y]
     w, b = np.zeros((len(vocabulary), len(classes)), dtype=np.float32), np.zeros(len(classes), dtype=np.float32)
     for k in range(rounds):
@@ -225,7 +226,7 @@ def train(paragraphs: list[str], rounds: int = 250) -> LicenseModel:
         w -= rate * (x.T @ grad + 1e-5 * w)
         b -= rate * 0.05 * grad.sum(0)
 
-    x, y, weight = matrix(checks)
+    x, y, weight = matrix(chain(examples(held=True), sampled(lambda i: i % 4 == 0)))
     logits, unknown = (x @ w + b).astype(np.float64), np.eye(len(classes))[-1]
     loss = lambda heat, level: float(-(np.log(_probability(logits / heat + level * unknown)[np.arange(len(y)), y] + 1e-12) * weight).sum())
     heat, level = min(((h, u) for h in np.geomspace(0.1, 4, 17) for u in np.linspace(-2, 2, 17)), key=lambda c: loss(*c))
