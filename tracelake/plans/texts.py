@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import dates, numbers, text
 from tracelake.operators import history, relate
 from tracelake.plans.registry import query, table
-from tracelake.sources import files, findings, html, logs, reports, requirements
+from tracelake.sources import cases, files, findings, html, logs, reports, requirements
 
 
 def _say(*parts: Column | str) -> Column:
@@ -309,3 +309,40 @@ def requirement_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = _say("preface\nID: SwTR_", "{p_partkey}", "\nName: ", "{p_name}", "\nDescription: ", "{p_type}", "\nof ", "{p_brand}", "\nRelated ID: SwCom_", "{p_size}", "\nASIL: ASIL-", F.get(F.array(*[F.lit(x) for x in "ABCD"]), F.col("p_size") % 4), "\n\nnothing more")
     lines = logs.lines_of(table(spark, sf_dir, "part").select("p_partkey", body.alias("body")), ["p_partkey"], "body")
     return requirements.blocks(lines, ["p_partkey"]).drop("block")
+
+
+@query(
+    """
+    with p as (select *, row_number() over (partition by p_brand order by p_partkey) - 1 as section from part),
+    i as (select p_brand, section, p_partkey, unnest(['input', 'input', 'input', 'input', 'expected']) as part, unnest(['g_size', 'g_list[1].x', 'helper() arg', 'stub_' || p_partkey || '() return', 'g_size']) as variable,
+      unnest([p_size::varchar, p_name, 'MAX', '7', (p_size + 1)::varchar]) as value from p)
+    select p_brand, section, 'unit_' || p_brand as component, 'run' as unit, 'run.' || p_partkey as testcase, part, variable, value from i
+    """
+)
+def case_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report a brand, a test case a part."""
+    row = lambda depth, name, *value: _say(f'<tr><td class="i{depth}">', *name, "</td>\n<td>int</td>\n<td>", *value, "</td></tr>\n")
+    given = [row(0, ["UUT: unit"]), row(1, ["&lt;&lt;GLOBAL&gt;&gt; Globals"]), row(2, ["g_size"], "0"), row(2, ["g_size"], "{p_size}"), row(2, ["g_list"], ""), row(3, ["[1]"], ""), row(4, ["x"], "{p_name}"), row(1, ["Subprogram: helper"]), row(2, ["arg"], "&lt;&lt;MAX&gt;&gt;"), row(2, ["big"], "&lt;&lt;malloc 4&gt;&gt;"), row(0, ["Stubbed Subprograms"]), row(2, ["Unit: stub_", "{p_partkey}"], ""), row(3, ["return"], "7")]
+    want = [row(0, ["UUT: unit"]), row(1, ["Subprogram: run"]), row(2, ["g_size"], (F.col("p_size") + 1).cast("string"))]
+    body = _say(
+        "<!-- TestcaseSectionsHeader --><table><tr><th>Unit Under Test</th><td>unit_", "{p_brand}", "</td><th>Subprogram name</th><td>run</td></tr><tr><th>Test Case Name</th><td>run.", "{p_partkey}", "</td></tr></table>\n<!-- TestCaseData --><h4>Input Test Data</h4><table>", *given,
+        "</table><h4>Expected Test Data</h4><table>", *want, "</table>",
+    )
+    return cases.case_items(_brand_pages(spark, sf_dir, body, "<html>Test Case Data Report"), ["p_brand"], "page").drop("place")
+
+
+@query(
+    """
+    with p as (select *, row_number() over (partition by p_brand order by p_partkey) - 1 as section from part)
+    select p_brand, section, 'run.' || p_partkey as testcase, p_size % 2 = 0 as passed, unnest(['g.a', 'g.b']) as variable, unnest([p_size::varchar, '<' || p_name || '>']) as actual, unnest([case when p_size % 2 = 0 then p_size::varchar else '3' end, '<' || p_name || '>']) as expected from p
+    """
+)
+def result_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("p_size") % 2 == 0
+    mark = F.when(even, F.lit('<td class="success-marker">ok</td>')).otherwise(F.lit('<td class="fail-marker">[3]</td>'))
+    row = lambda depth, name, value, last: _say(f'<tr><td class="i{depth}">{name}</td>\n<td>int</td>\n<td>', *value, "</td>\n", last, "</tr>\n")
+    body = _say(
+        "<!-- ExecutionResults/testcase_header --><table><tr><th>Unit Under Test</th><td>u</td></tr><tr><th>Subprogram</th><td>run</td></tr><tr><th>Test Case Name</th><td>run.", "{p_partkey}", "</td></tr></table>\n<a></a>Execution Results ", F.when(even, F.lit("(PASS)")).otherwise(F.lit("(FAIL)")), "\n<table class='table table-small table-hover'>",
+        row(0, "Event: 1", [""], ""), row(1, "g", [""], ""), row(2, "a", ["{p_size}"], mark), row(2, "b", ["&lt;", "{p_name}", "&gt;"], '<td class="success-marker">ok</td>'), "</table>",
+    )
+    return cases.result_items(_brand_pages(spark, sf_dir, body), ["p_brand"], "page").select("p_brand", "section", "testcase", "passed", "variable", "actual", "expected")
