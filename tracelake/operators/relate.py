@@ -92,8 +92,9 @@ def fill_blank(rows: DataFrame, key: str, source: DataFrame, source_key: str, co
 def best_containment(rows: DataFrame, name: str, entries: DataFrame, entry: str, least: float = 0.5) -> DataFrame:
     """Each row's best entry: equal names first (ratio 1), else the one that contains it or is contained, by the ratio of lengths.
 
-    Two tiers: an equality join, and for the rest a join on shared three-character pieces of the
-    name, which every contained pair has, so that no pair is compared without a common piece.
+    Two tiers: an equality join, and for the rest a join on three-character pieces of the name. A
+    name stands in another only with all its pieces, so it is looked up by the one that the fewest
+    names of the other side have.
     Names under three characters only match as a whole. Ties go to the first entry by name.
     """
     r = rows.select(F.col(name).alias("name")).distinct().withColumn("a", F.lower("name"))
@@ -101,10 +102,17 @@ def best_containment(rows: DataFrame, name: str, entries: DataFrame, entry: str,
     exact = r.join(e, F.col("a") == F.col("b")).groupBy("name").agg(F.min("entry").alias("entry")).withColumn("ratio", F.lit(1.0))
     rest = r.join(exact.select("name"), "name", "left_anti")
     pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.col(c), i, 3)))
-    # A contained name's first piece stands in the other name: one side needs only its first.
-    first = lambda c: F.array(F.substring(c, 1, 3))
-    pair = lambda x, y: rest.filter(F.length("a") >= 3).withColumn("p", F.explode(x)).join(e.filter(F.length("b") >= 3).withColumn("p", F.explode(y)), "p")
-    met = pair(pieces("a"), first("b")).union(pair(first("a"), pieces("b"))).filter(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
+    of_rows = rest.filter(F.length("a") >= 3).select("name", "a", F.explode(pieces("a")).alias("p"))
+    of_entries = e.filter(F.length("b") >= 3).select("entry", "b", F.explode(pieces("b")).alias("p"))
+
+    def rarest(own: DataFrame, keys: list[str], other: DataFrame) -> DataFrame:
+        seen = other.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+        # A piece that the other side lacks says that no name there holds this one.
+        return own.join(seen, "p", "left").groupBy(*keys).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "p")).alias("r")).filter("r.n > 0").select(*keys, "r.p")
+
+    one = of_rows.join(rarest(of_entries, ["entry", "b"], of_rows), "p")
+    two = rarest(of_rows, ["name", "a"], of_entries).join(of_entries, "p")
+    met = one.unionByName(two).filter(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
     ratio = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))
     scored = met.select("name", "entry", ratio.alias("ratio")).filter(F.col("ratio") >= least)
     best = scored.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("m"), "entry")).alias("b")).select("name", "b.entry", (-F.col("b.m")).alias("ratio"))
@@ -241,17 +249,25 @@ def module_candidates(functions: DataFrame, name: str, file: str) -> DataFrame:
 def token_match(rows: DataFrame, name: str, related: str, entries: DataFrame, entry: str, entry_related: str, least: int = 6) -> DataFrame:
     """Each row's best entry by shared related ids (10 each) and shared name words (2 each, 6 at most): name, entry, score.
 
-    Ids and words are equality joins; pairs without anything in common are never made. Ties go to
-    the first entry by name.
+    Pairs meet on a shared id, or on words where words alone can reach `least`: a row that must
+    share k of its words shares one of its rarest all but k - 1, so its most common words make no
+    pairs. Ties go to the first entry by name.
     """
     words = lambda c: F.array_distinct(F.transform(text.name_words(c), lambda w: F.lower(w)))
     a = rows.select(F.col(name).alias("name"), text.split_list(related).alias("ids"), words(name).alias("words"))
     b = entries.select(F.col(entry).alias("entry"), text.split_list(entry_related).alias("ids"), words(entry).alias("words"))
-    parts = []
-    for kind, weight in (("ids", 10), ("words", 2)):
-        left, right = a.select("name", F.explode(kind).alias("key")).distinct(), b.select("entry", F.explode(kind).alias("key")).distinct()
-        parts.append(left.join(right, "key").groupBy("name", "entry").agg((F.count(F.lit(1)) * weight).alias("s")).withColumn("s", F.col("s") if kind == "ids" else F.least(F.col("s"), F.lit(6))))
-    total = parts[0].unionByName(parts[1]).groupBy("name", "entry").agg(F.sum("s").alias("score")).filter(F.col("score") >= least)
+    pairs = a.select("name", F.explode("ids").alias("key")).join(b.select("entry", F.explode("ids").alias("key")), "key").select("name", "entry")
+    needed = max(1, -(-least // 2))
+    if needed <= 3:
+        theirs = b.select("entry", F.explode("words").alias("key"))
+        seen = theirs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        known = a.select("name", F.explode("words").alias("key")).distinct().join(seen, "key").groupBy("name").agg(F.array_sort(F.collect_set(F.struct("n", "key"))).alias("found"))
+        rare = known.select("name", F.explode(F.slice("found", 1, F.greatest(F.lit(0), F.size("found") - (needed - 1)))).alias("f")).select("name", F.col("f.key").alias("key"))
+        pairs = pairs.union(rare.join(theirs, "key").select("name", "entry"))
+    all_of = lambda rows, key: rows.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"), F.array_distinct(F.flatten(F.collect_set("words"))).alias("words"))
+    met = pairs.distinct().join(all_of(a, "name"), "name").join(all_of(b, "entry").withColumnsRenamed({"ids": "ids2", "words": "words2"}), "entry")
+    shared = lambda c: F.size(F.array_intersect(c, f"{c}2"))
+    total = met.select("name", "entry", (10 * shared("ids") + F.least(2 * shared("words"), F.lit(6))).alias("score")).filter(F.col("score") >= least)
     best = total.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("m"), "entry")).alias("b"))
     return best.select("name", F.col("b.entry").alias("entry"), (-F.col("b.m")).alias("score"))
 
