@@ -7,3 +7,11 @@ def test_closure_has_no_bound_on_rounds(spark, monkeypatch):
     seeds = spark.createDataFrame([(0,)], "node long")
     assert sorted(tuple(r) for r in graph.hops(edges, seeds).collect()) == [(i, i) for i in range(9)]
     assert {r["node"] for r in graph.directed_impact(edges, seeds).collect()} == set(range(9))
+
+
+def test_components_of_nodes_without_a_module(spark):
+    impacted = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",)], "node string")
+    modules = spark.createDataFrame([("a", "M"), ("b", ""), ("c", None), ("d", "Z"), ("d", "M")], "name string, module string")
+    seeds = spark.createDataFrame([("a",), ("x",)], "node string")
+    assert sorted(tuple(r) for r in graph.impacted_components(impacted, modules, seeds).collect()) == [("M", 2, 1), ("unknown", 2, 0)]
+    assert graph.impacted_components(impacted.limit(0), modules, seeds).count() == 0

@@ -66,6 +66,18 @@ def directed_impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return down.select("node").union(up.select("node")).distinct()
 
 
+def impacted_components(impacted: DataFrame, modules: DataFrame, seeds: DataFrame, unknown: str = "unknown") -> DataFrame:
+    """component, n_nodes, n_seeds: the impacted nodes (node) and the seeds among them by module (name, module).
+
+    Nodes without a module, or with an empty one, count as `unknown`; of a name with several
+    modules the least counts.
+    """
+    of = modules.filter("module <> ''").groupBy(F.col("name").alias("node")).agg(F.min("module").alias("component"))
+    first = seeds.select("node", F.lit(1).alias("seed")).distinct()
+    rows = impacted.select("node").distinct().join(of, "node", "left").join(first, "node", "left")
+    return rows.groupBy(F.coalesce("component", F.lit(unknown)).alias("component")).agg(F.count(F.lit(1)).alias("n_nodes"), F.count("seed").alias("n_seeds"))
+
+
 def call_tree(edges: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
     """Paths from entries (node) in call order: entry, depth, node, path, cycle, truncated.
 

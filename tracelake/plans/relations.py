@@ -322,18 +322,25 @@ def impact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact_groups(edges, modules, spark.createDataFrame([("0",)], "node string"))
 
 
-@query(
+IMPACT_SQL = (
     EDGES_SQL
-    + """, m as (select e.src, e.dst from e join part a on a.p_partkey = e.src join part b on b.p_partkey = e.dst where a.p_brand = b.p_brand),
-    d as (select 0::bigint as node union select dst from m join d on src = node), a as (select 0::bigint as node union select src from m join a on dst = node)
-    select node from d union select node from a"""
+    + """, d as (select 0::bigint as node union select dst from e join d on src = node), a as (select 0::bigint as node union select src from e join a on dst = node),
+    i as (select node from d union select node from a)"""
 )
+
+
+@query(IMPACT_SQL + "select node from i")
 def directed_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed closure from part 0 over calls inside a brand."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    of = lambda c: part.select(F.col("p_partkey").alias(c), F.col("p_brand").alias(f"{c}_kind"))
-    edges = _edges(spark, sf_dir).join(of("src"), "src").join(of("dst"), "dst").filter("src_kind = dst_kind")
-    return graph.directed_impact(edges, spark.createDataFrame([(0,)], "node long"))
+    """Directed closure from part 0 over all calls."""
+    return graph.directed_impact(_edges(spark, sf_dir), spark.createDataFrame([(0,)], "node long"))
+
+
+@query(IMPACT_SQL + "select coalesce(nullif(p_brand, 'Brand#3'), 'unknown') as component, count(*) as n_nodes, count(*) filter (node = 0) as n_seeds from i left join part on p_partkey = node group by 1")
+def impacted_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure from part 0 by brand; parts of one brand have no component."""
+    seeds = spark.createDataFrame([(0,)], "node long")
+    modules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.nullif("p_brand", F.lit("Brand#3")).alias("module"))
+    return graph.impacted_components(graph.directed_impact(_edges(spark, sf_dir), seeds), modules, seeds)
 
 
 @query(
@@ -383,13 +390,13 @@ MATRIX_SQL = ", ".join(f"('{kind}', '{target}', {2 if d == 'FLAG' else 1 if d ==
 @query(
     f"""
     with m(kind, target, rank) as (values {MATRIX_SQL}),
-    c as (select distinct user_id, case event_type when 'view' then 'BODY' when 'click' then 'VARIABLE' when 'error' then 'SIGNATURE' when 'purchase' then 'HEADER' else 'NEW' end as kind from events where value > 90)
+    c as (select distinct user_id, case event_type when 'view' then 'BODY' when 'click' then 'VARIABLE' when 'error' then 'SIGNATURE' when 'purchase' then 'HEADER' else 'NEW' end as kind from events)
     select user_id, target, case max(rank) when 2 then 'FLAG' when 1 then 'AUTO' else '-' end as decision from c join m using (kind) group by 1, 2
     """
 )
 def decision_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = numbers.mapped("event_type", {"view": "BODY", "click": "VARIABLE", "error": "SIGNATURE", "purchase": "HEADER"}, "NEW")
-    return change.decisions(table(spark, sf_dir, "events").filter("value > 90").select("user_id", kind.alias("kind")), ["user_id"])
+    return change.decisions(table(spark, sf_dir, "events").select("user_id", kind.alias("kind")), ["user_id"])
 
 
 @query(
