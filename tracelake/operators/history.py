@@ -6,10 +6,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def previous_run(runs: DataFrame, kind: str, order: list[str], run_id: str, score: str) -> DataFrame:
-    """Each run with the run before it of the same kind: prev_run_id and score_delta (null for the first)."""
-    w = Window.partitionBy(kind).orderBy(*order)
-    return runs.withColumn("prev_run_id", F.lag(run_id).over(w)).withColumn("score_delta", F.col(score) - F.lag(score).over(w))
+#: A key with more rows than this is cut into stretches of its order, so that no task sorts all its rows.
+LARGE_KEY = 1_000_000
+
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def large_keys(rows: DataFrame, key: str, least: int = LARGE_KEY) -> Column | None:
+    """A condition that holds for the rows of large keys, or None where no key is large.
+
+    At most as many keys as there are shuffle partitions are told, the largest first: any other key
+    holds less than one partition's share of the rows.
+    """
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+    found = [r.k for r in counts.orderBy(F.desc("n")).limit(most).collect()]
+    if not found:
+        return None
+    named = F.coalesce(F.col(key).isin([k for k in found if k is not None]), F.lit(False))
+    return named | F.col(key).isNull() if None in found else named
+
+
+def _grows_with(rows: DataFrame, column: str) -> Column | None:
+    """A double that never falls where the column rises; None for types without one."""
+    kind, c = dict(rows.dtypes)[column], F.col(column)
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if kind == "timestamp_ntz":
+        return (F.unix_date(c.cast("date")) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("double")
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    return c.cast("double") if kind in (*WHOLE_NUMBERS, "float", "double") or kind.startswith("decimal") else None
+
+
+def _piece(at: Column, bounds: list[float], first: int = 0) -> Column:
+    """How many bounds are not above `at`, as a tree of comparisons."""
+    if not bounds:
+        return F.lit(first)
+    m = len(bounds) // 2
+    return F.when(at < bounds[m], _piece(at, bounds[:m], first)).otherwise(_piece(at, bounds[m + 1 :], first + m + 1))
+
+
+def stretches(rows: DataFrame, key: str, order: list[str], least: int = LARGE_KEY) -> tuple[DataFrame, Column | None]:
+    """The rows with `_stretch`, and the condition of large keys (None: no key is large, all stretches are 0).
+
+    A large key's rows are cut at approximate quantiles of the first order column, one stretch a
+    shuffle partition; a stretch comes wholly before the next. Rows with equal values of that column
+    share a stretch, nulls come first. The bounds are literals, so a task that runs again cuts alike.
+    An order column of another type than numbers, dates and times is not cut.
+    """
+    at = _grows_with(rows, order[0])
+    large = None if at is None else large_keys(rows, key, least)
+    if large is None:
+        return rows.withColumn("_stretch", F.lit(0)), None
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(rows.filter(large).select(at.alias("at")).approxQuantile("at", shares, 0.5 / parts))) if shares else []
+    return rows.withColumn("_stretch", F.when(~large, F.lit(0)).when(at.isNull(), F.lit(-1)).otherwise(_piece(at, bounds))), large
+
+
+def _with_stretch_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Left join with the facts of large keys' stretches: at most the square of the shuffle partitions."""
+    facts = facts.withColumnsRenamed({key: "_key", "_stretch": "_piece"})
+    return rows.join(F.broadcast(facts), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_piece")), "left")
+
+
+def previous_run(runs: DataFrame, kind: str, order: list[str], run_id: str, score: str, least: int = LARGE_KEY) -> DataFrame:
+    """Each run with the run before it of the same kind: prev_run_id and score_delta (null for the first).
+
+    The runs of a large kind are sorted in stretches; the last run of each is carried to the next.
+    """
+    dealt, large = stretches(runs, kind, order, least)
+    w = Window.partitionBy(kind, "_stretch").orderBy(*order)
+    run = F.struct(F.col(run_id).alias("id"), F.col(score).alias("score"))
+    placed = dealt.withColumn("_before", F.lag(run).over(w))
+    if large is not None:
+        ends = dealt.filter(large).groupBy(kind, "_stretch").agg(F.max_by(run, F.struct(*order)).alias("_last"))
+        ends = ends.select(kind, "_stretch", F.lag("_last").over(Window.partitionBy(kind).orderBy("_stretch")).alias("_carried"))
+        placed = _with_stretch_facts(placed, ends, kind).withColumn("_before", F.coalesce("_before", "_carried"))
+    return placed.select(*runs.columns, F.col("_before.id").alias("prev_run_id"), (F.col(score) - F.col("_before.score")).alias("score_delta"))
 
 
 def latest_two(rows: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -50,9 +125,16 @@ def last_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFr
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_place")))).drop("_place")
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], name: str = "seq") -> DataFrame:
-    """1, 2, 3 ... within each key."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def numbered(rows: DataFrame, key: str, order: list[str], name: str = "seq", least: int = LARGE_KEY) -> DataFrame:
+    """1, 2, 3 ... within each key; a large key is numbered in stretches, each after the rows before it."""
+    dealt, large = stretches(rows, key, order, least)
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_stretch").orderBy(*order)))
+    if large is None:
+        return placed.select(*rows.columns, F.col("_place").alias(name))
+    sizes = dealt.filter(large).groupBy(key, "_stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("_stretch")) - F.col("n")
+    placed = _with_stretch_facts(placed, sizes.select(key, "_stretch", before.alias("_before")), key)
+    return placed.select(*rows.columns, (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("int").alias(name))
 
 
 def next_sequence(existing: DataFrame, key: str, seq: str) -> DataFrame:
@@ -112,11 +194,22 @@ def retained(sessions: DataFrame, created: str, key: str, keep_days: int, now: C
     return sessions.filter(young | F.col(key).cast("string").isin(keep)).orderBy(F.desc(created), key)
 
 
-def preceding_count(requests: DataFrame, client: str, ts: str, seconds: int = 60) -> DataFrame:
-    """Requests of the same client in the window before each one, itself included; rows exactly `seconds` older do not count."""
+def preceding_count(requests: DataFrame, client: str, ts: str, seconds: int = 60, least: int = LARGE_KEY) -> DataFrame:
+    """Requests of the same client in the window before each one, itself included; rows exactly `seconds` older do not count.
+
+    The requests of a large client are cut into pieces of `seconds`, and each is also seen by the
+    piece after its own, which is as far as a window reaches.
+    """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(client).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return requests.withColumn("in_window", F.count(F.lit(1)).over(w))
+    large = large_keys(requests, client, least)
+    if large is None:
+        w = Window.partitionBy(client).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+        return requests.withColumn("in_window", F.count(F.lit(1)).over(w))
+    piece = F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint")
+    pieces = F.when(large & micros.isNotNull(), F.array(piece, piece + 1)).otherwise(F.array(F.lit(None).cast("bigint")))
+    seen = requests.select("*", F.explode(pieces).alias("_piece")).withColumn("_own", F.col("_piece").isNull() | (F.col("_piece") == piece))
+    w = Window.partitionBy(client, "_piece").orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    return seen.withColumn("in_window", F.count(F.lit(1)).over(w)).filter("_own").select(*requests.columns, "in_window")
 
 
 def learned(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,16 +218,20 @@ def learned(events: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, (F.lit(1.0) + 0.1 * (F.col("n") - 1)).alias("weight"), (F.col("n") - 1).alias("apply_count"), F.col("n").alias("error_count"))
 
 
-def feedback_weight(votes: DataFrame, key: str, order: list[str], positive: str) -> DataFrame:
+def feedback_weight(votes: DataFrame, key: str, order: list[str], positive: str, least: int = LARGE_KEY) -> DataFrame:
     """Weight of each entry after its votes in order: plus or minus 0.2, never under 0.1; apply_count counts the good ones.
 
     The floor makes this a fold in order. The fold has a closed form: with running sums S of the
-    steps, the end is the larger of 1 + S_n and 0.1 + S_n - min S_k over the votes. The running
-    sums are a window: one key's votes are sorted in one task, on disk where they are many.
+    steps, the end is the larger of 1 + S_n and 0.1 + S_n - min S_k over the votes. A large key's
+    votes are summed in stretches; total and least sum of a stretch carry over to the next.
     """
+    dealt, _ = stretches(votes, key, order, least)
     step = F.when(F.col(positive), F.lit(0.2)).otherwise(F.lit(-0.2))
-    sums = F.sum(step).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    ends = votes.select(key, F.col(positive).alias("good"), step.alias("step"), sums.alias("s")).groupBy(key).agg(F.sum("step").alias("total"), F.min("s").alias("least"), F.count_if("good").alias("apply_count"))
+    sums = F.sum(step).over(Window.partitionBy(key, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    runs = dealt.select(key, "_stretch", F.col(positive).alias("good"), step.alias("step"), sums.alias("s"))
+    runs = runs.groupBy(key, "_stretch").agg(F.sum("step").alias("total"), F.min("s").alias("least"), F.count_if("good").alias("good"))
+    before = F.sum("total").over(Window.partitionBy(key).orderBy("_stretch")) - F.col("total")
+    ends = runs.withColumn("least", before + F.col("least")).groupBy(key).agg(F.sum("total").alias("total"), F.min("least").alias("least"), F.sum("good").alias("apply_count"))
     weight = F.greatest(1.0 + F.col("total"), 0.1 + F.col("total") - F.col("least"))
     return ends.select(key, F.round(weight, 6).alias("weight"), "apply_count")
 
