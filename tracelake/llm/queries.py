@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import compression_quality, exact_dedup, language_id, license_scan, near_dedup, packing, piece_tokens, quality_rules, repeats, secret_scan, url_filter
+from tracelake.llm import compression_quality, exact_dedup, language_id, license_scan, near_dedup, packing, periods, piece_tokens, quality_rules, repeats, secret_scan, url_filter
 from tracelake.llm.shared import fold, table
 
 #: (host, path, verdict), as the query's contract fixes them.
@@ -66,6 +66,10 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(periods.periodic_runs(periods.made_periodic(table(spark, sf_dir, "documents"))))
+
+
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep="none").drop("spans")
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_license_scan": op9_license_scan,
     "op10_compression_quality": op10_compression_quality,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_repeats": op13_repeats,
 }
 
