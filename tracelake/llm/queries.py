@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import compression_quality, exact_dedup, language_id, license_scan, near_dedup, packing, periods, piece_tokens, quality_rules, repeats, secret_scan, url_filter
+from tracelake.llm import compression_quality, exact_dedup, language_id, license_scan, near_dedup, packing, periods, piece_tokens, quality_rules, repeats, secret_scan, spelling, url_filter
 from tracelake.llm.shared import fold, table
 
 #: (host, path, verdict), as the query's contract fixes them.
@@ -66,6 +66,10 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_uses(table(spark, sf_dir, "documents"), every=97))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digests(periods.periodic_runs(periods.made_periodic(table(spark, sf_dir, "documents"))))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_license_scan": op9_license_scan,
     "op10_compression_quality": op10_compression_quality,
+    "op11_spelling": op11_spelling,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_repeats": op13_repeats,
 }
@@ -110,4 +115,4 @@ select p.page_id, p.host, p.path, m.rule, coalesce(m.rule_verdict, 'allow') as v
 from p left join m on p.page_id = m.page_id and m.k = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op3_clean_text": quality_rules.CLEAN_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op3_clean_text": quality_rules.CLEAN_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op11_spelling": spelling.ORACLE_SQL}

@@ -187,19 +187,45 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
+def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Those of `starts` whose window's hash is another's too; a collision lets a start through, none gets lost."""
+    hashes, width, whole, covered = np.random.default_rng(length).integers(0, 2**64, 256, dtype=np.uint64)[data], 1, None, 0
+    base = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        while True:
+            if length & width:
+                part = hashes[starts + covered]
+                whole = part if whole is None else (whole ^ (whole >> np.uint64(31))) * base + part
+                covered += width
+            if 2 * width > length:
+                break
+            hashes = hashes * base
+            hashes[:-width] += hashes[width:] ^ (hashes[width:] >> np.uint64(32))
+            width *= 2
+    order = np.argsort(whole)
+    same = whole[order[1:]] == whole[order[:-1]]
+    flags = np.zeros(len(starts), dtype=bool)
+    flags[order[1:][same]] = flags[order[:-1][same]] = True
+    return starts[flags]
+
+
 def repeated_starts(stretch: list[bytes], length: int) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
     """Runs of starts of each stretch whose window stands in an earlier stretch of the list, and in any other."""
     begins, ends = _bounds([len(s) for s in stretch])
     data = np.frombuffer(b"".join(stretch), dtype=np.uint8)
-    levels = ranks(data, max(length, max(map(len, stretch)) // 2))
-    owner = np.repeat(np.arange(len(stretch)), ends - begins)
-    at = np.flatnonzero(np.arange(len(data)) + length <= ends[owner])
-    order = at[np.argsort(levels[-1][1][at], kind="stable")]
-    flags = []
-    for place in (order, -order):
-        flag = np.zeros(len(data), dtype=bool)
-        flag[order[factor_lengths(data, levels, order, place) >= length]] = True
-        flags.append(flag)
+    valid = np.arange(len(data)) + length <= np.repeat(ends, ends - begins)
+    likely = repeated_windows(data, np.flatnonzero(valid), length)
+    # Only bytes below likely windows are put in order; what lies between them is cut out.
+    covered = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(covered, likely, 1)
+    np.add.at(covered, likely + length, -1)
+    held = np.flatnonzero(np.cumsum(covered[:-1]))
+    at, flags = np.searchsorted(held, likely), np.zeros((2, len(data)), dtype=bool)
+    if len(at):
+        levels = ranks(data[held], length)
+        order = at[np.argsort(levels[-1][1][at], kind="stable")]
+        for flag, place in zip(flags, (order, -order), strict=True):
+            flag[held[order[factor_lengths(data[held], levels, order, place) >= length]]] = True
     cut = lambda flag: [_runs(flag[a : b - length + 1]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
     return cut(flags[0]), cut(flags[0] | flags[1])
 
@@ -305,9 +331,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spots = written(spots.select("gram", "name", F.col("id.doc_id").alias("s_id"), F.col("k1").alias("s1"), F.col("k2").alias("s2"), "lo", "span"), "spots")
     discard(found)
     place = F.struct("s_id", "s1", "s2", "lo")
-    names = spots.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.min("span").alias("span"))
-    several = names.groupBy("gram").agg(F.count(F.lit(1)).alias("names")).filter("names > 1")
-    names = settle(names.join(several, "gram", "left").filter("n > 1 or names > 1"))
+    names = written(spots.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.min("span").alias("span")), "names")
+    several = settle(names.groupBy("gram").agg(F.count(F.lit(1)).alias("names")).filter("names > 1"))
+    names = names.join(several, "gram", "left").filter("n > 1 or names > 1")
 
     shipped = names.filter("names > 1").select("gram", "name", "names", "place.*", "span")
     lists = shipped.groupBy(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("s_id").alias("doc_id")).agg(F.collect_list(F.struct(*STRETCH, "span")).alias("listed"))
