@@ -98,6 +98,13 @@ def test_factor_lengths_as_slow_search():
             assert got[i] == max((common(j) for j in range(i)), default=0)
 
 
+def test_least_places_as_slow_search():
+    values = np.random.default_rng(3).integers(0, 9, 500, dtype=np.uint64) << np.uint64(40)
+    for width in (1, 7, 169, 500):
+        slow = [min(range(i, i + width), key=lambda j: (values[j], j)) for i in range(500 - width + 1)]
+        assert repeats.least_places(values, width).tolist() == slow
+
+
 def test_nearest_smaller_as_slow_search():
     values = np.random.default_rng(1).integers(0, 30, 200)
     slow = [next((j for j in range(i - 1, -1, -1) if values[j] < values[i]), -1) for i in range(200)]

@@ -30,6 +30,8 @@ from tracelake.llm.shared import discard, settle, slices, written
 GRAM = 32
 #: Starts that are hashed at once, so a text of any length takes bounded memory.
 PIECE = 1 << 20
+#: Bits of a hash that give way to the place in a piece.
+PLACE_BITS = 22
 #: Names of one gram that may meet in a block.
 BLOCK_NAMES = 2_048
 #: Bytes of stretches in a block, about.
@@ -51,15 +53,18 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the leftmost least value among the `width` values from each place on."""
-    least, place, reach = values, np.arange(len(values)), 1
-    while reach < width:
-        step = min(reach, width - reach)
-        right = least[step:] < least[:-step]
-        least = np.where(right, least[step:], least[:-step])
-        place = np.where(right, place[step:], place[:-step])
-        reach += step
-    return place
+    """The place of the least value among the `width` values from each place on: high bits count, then the leftmost.
+
+    Places are written over the low bits, so one running minimum from each end of blocks of `width` tells both.
+    """
+    n = len(values) - width + 1
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    marked = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max)
+    marked[: len(values)] = (values & ~mask) | np.arange(len(values), dtype=np.uint64)
+    blocks = marked.reshape(-1, width)
+    from_left = np.minimum.accumulate(blocks, axis=1).ravel()
+    from_right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(from_right[:n], from_left[width - 1 : width - 1 + n]) & mask).astype(np.int64)
 
 
 def stretches(data: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM):
@@ -71,15 +76,15 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int, gram: int = GRAM)
         view = data[begin : begin + PIECE + length - 1]
         hashes = gram_hashes(view, gram)
         anchor = least_places(hashes, length - gram + 1)
-        at = np.arange(begin, begin + len(anchor))
-        doc = np.searchsorted(ends, at, "right")
-        inside = np.flatnonzero(at + length <= ends[doc])
-        if not len(inside):
-            continue
-        anchor, doc, at = anchor[inside], doc[inside], at[inside]
-        first = np.r_[0, np.flatnonzero((anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])) + 1]
-        last = np.r_[first[1:], len(at)] - 1
-        yield doc[first], at[first], at[last], anchor[first] + begin, hashes[anchor[first]]
+        inside = np.ones(len(anchor) + 2, dtype=bool)  # starts whose window lies in one document
+        inside[[0, -1]] = False
+        for end in ends[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, begin + len(anchor) + length)].tolist():
+            inside[max(1, end - length + 2 - begin) : max(1, end + 1 - begin)] = False
+        turn = np.r_[True, anchor[1:] != anchor[:-1], True]
+        first = np.flatnonzero(inside[1:-1] & (turn[:-1] | ~inside[:-2]))
+        last = np.flatnonzero(inside[1:-1] & (turn[1:] | ~inside[2:]))
+        if len(first):
+            yield np.searchsorted(ends, first + begin, "right"), first + begin, last + begin, anchor[first] + begin, hashes[anchor[first]]
 
 
 def _bounds(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
