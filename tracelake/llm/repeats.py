@@ -321,8 +321,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = texts.select(*_keys(F.col("text")), "doc_id", F.col("text").cast("binary").alias("text"))
     size = F.octet_length("text").cast("long")
     rows = settle(texts.select("k1", "k2", "doc_id", size.alias("n_bytes"), F.sha2("text", 256).alias("sha"), F.monotonically_increasing_id().alias("row_no")))
-    copies = settle(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "row_no")).alias("first")).filter("rows > 1"))
+    copies = written(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "row_no")).alias("first")).filter("rows > 1"), "copies")
     long = texts.filter(size >= length)
+    # A checkpoint keeps its partitioning, and a join that shuffles one side only cannot split a hot key: the small sides are tables.
 
     def with_text(lists: DataFrame, of: DataFrame, how: str = "inner") -> DataFrame:
         """The texts of `of` beside the lists of their key and id."""
@@ -330,14 +331,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return of.alias("t").join(lists.hint("shuffle_hash").alias("l"), same, how)
 
     found = written(long.mapInArrow(_anchors(length), f"k1 long, k2 long, doc_id {kind}, gram long, name long, lo long, span int, off int"), "anchors")
-    repeated = settle(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
+    repeated = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "repeated")
     # Equal texts are one from here on, known by their first id.
     spots = found.join(repeated, "gram").groupBy("k1", "k2", "gram", "name", "lo", "span").agg(F.min(F.struct("doc_id")).alias("id"))
     spots = written(spots.select("gram", "name", F.col("id.doc_id").alias("s_id"), F.col("k1").alias("s1"), F.col("k2").alias("s2"), "lo", "span"), "spots")
     discard(found)
     place = F.struct("s_id", "s1", "s2", "lo")
     names = written(spots.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.min("span").alias("span")), "names")
-    several = settle(names.groupBy("gram").agg(F.count(F.lit(1)).alias("names")).filter("names > 1"))
+    several = written(names.groupBy("gram").agg(F.count(F.lit(1)).alias("names")).filter("names > 1"), "several")
     names = names.join(several, "gram", "left").filter("n > 1 or names > 1")
 
     shipped = names.filter("names > 1").select("gram", "name", "names", "place.*", "span")
@@ -350,7 +351,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = cut.filter(F.col("names") <= BLOCK_NAMES).withColumn("block", block).groupBy("block").applyInArrow(_blocks(length), f"gram long, name long, earlier {runs}, anywhere {runs}")
     crowd = cut.filter(F.col("names") > BLOCK_NAMES).dropDuplicates(["gram", "name"])
     single = written(crowd.mapInArrow(_windows(length), f"gram long, name long, {order}, start int, w1 long, w2 long"), "windows")
-    held = settle(single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("held"), F.min(place).alias("first")).filter("held > 1"))
+    held = written(single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("held"), F.min(place).alias("first")).filter("held > 1"), "held")
     each = single.join(held, ["w1", "w2"]).select("gram", "name", F.struct(F.col("start").alias("a"), F.col("start").alias("b")).alias("at"), (place != F.col("first")).alias("later"))
     told = written(told.unionByName(each.groupBy("gram", "name").agg(F.collect_list(F.when(F.col("later"), F.col("at"))).alias("earlier"), F.collect_list("at").alias("anywhere"))), "starts")
     discard(cut, single)
@@ -361,7 +362,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit = F.when(F.col("n") > 1, whole).otherwise(F.col("anywhere"))
     else:
         hit = F.when(F.col("own") != F.col("place"), whole).otherwise(F.col("earlier"))
-    hits = spots.withColumn("own", place).join(settle(names), ["gram", "name"]).withColumn("hit", hit).filter(F.size("hit") > 0)
+    hits = spots.withColumn("own", place).join(written(names, "named"), ["gram", "name"]).withColumn("hit", hit).filter(F.size("hit") > 0)
     each = hits.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("s_id").alias("doc_id"), "lo", F.explode("hit").alias("r"))
     ranges = each.groupBy("k1", "k2", "doc_id").agg(F.collect_list(F.struct((F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))).alias("ranges"))
     kept = ["kept"] if with_bytes else []
