@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import settle
+from tracelake.llm.shared import settle, written
 
 #: Latin letters of the first 256 code points, with the two signs that lie between them.
 LETTERS = r"[A-Za-zÀ-ÿ]+"
@@ -78,16 +78,19 @@ def variants(uses: DataFrame, least_length: int = LEAST_LENGTH, least_uses: int
     count = F.when(own, F.col("n_longer")).otherwise(F.col("size") - 1 + deleted.isNotNull().cast("long"))
     near = rows.select("word", "n", count.alias("near"), best.alias("best")).groupBy("word").agg(F.max("n").alias("n"), F.sum("near").alias("n_near"), F.min("best").alias("best"))
     frequent = -F.col("best.less") >= times * F.col("n")
-    near = settle(near.select("word", "n", "n_near", F.when(frequent, F.col("best.word")).alias("form"), F.when(frequent, -F.col("best.less")).alias("form_n")))
+    near = written(near.select("word", "n", "n_near", F.when(frequent, F.col("best.word")).alias("form"), F.when(frequent, -F.col("best.less")).alias("form_n")), "near")
     roots = chain_ends(near.filter("form is not null").select("word", F.col("form").alias("root")))
     return near.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def chain_ends(steps: DataFrame) -> DataFrame:
-    """word, root for rows (word, root) that each lead one step on; every round doubles the steps taken. Chains have no cycle."""
+    """word, root for rows (word, root) that each lead one step on; every round doubles the steps taken. Chains have no cycle.
+
+    Steps are written as a table, without a partitioning, so a join splits a root that many words lead to.
+    """
     while True:
         on = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        steps = settle(steps.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        steps = written(steps.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "steps")
         if steps.filter("moved").isEmpty():
             return steps.drop("moved")
         steps = steps.drop("moved")
