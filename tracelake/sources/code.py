@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import call_names, without_comments, without_comments_and_strings
+from tracelake.sources.flow import top_level_parts
 
-DEFINITION = re.compile(r"^[ \t]*((?:[A-Za-z_][\w]*[\s\*]+)+)([A-Za-z_]\w*)\s*\(([^;{}()]*(?:\([^()]*\)[^;{}()]*)*)\)\s*\{", re.M)
+HEAD = re.compile(r"^[ \t]*((?:[A-Za-z_][\w]*[\s\*]+)+)([A-Za-z_]\w*)\s*\(", re.M)
 NO_FUNCTION = {"if", "for", "while", "switch", "return", "else", "do", "sizeof"}
 
 
@@ -24,20 +25,29 @@ def _blanked(text: str) -> str:
     return re.sub(r"/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", blank, text, flags=re.S)
 
 
+def _closed(text: str, at: int, pair: str) -> int | None:
+    """The place of the bracket that closes one opened before `at`; None where none does."""
+    depth = 1
+    for m in re.compile(f"[{re.escape(pair)}]").finditer(text, at):
+        depth += 1 if m[0] == pair[0] else -1
+        if depth == 0:
+            return m.start()
+    return None
+
+
 def _definitions(text: str):
-    """(name, return type, parameters, body, static) of each function definition."""
+    """(name, return type, parameters, body, static) of each function definition; parameters may hold brackets of any depth."""
     bare = _blanked(text)
-    for m in DEFINITION.finditer(bare):
+    for m in HEAD.finditer(bare):
         if m[2] in NO_FUNCTION or m[1].split()[-1] in NO_FUNCTION:
             continue
-        depth, at = 1, m.end()
-        for brace in re.finditer(r"[{}]", bare[m.end() :]):
-            depth += 1 if brace[0] == "{" else -1
-            if depth == 0:
-                at = m.end() + brace.start()
-                break
+        end = _closed(bare, m.end(), "()")
+        opened = re.compile(r"\s*\{").match(bare, end + 1) if end is not None else None
+        if opened is None or re.search(r"[;{}]", bare[m.end() : end]):
+            continue
+        at = _closed(bare, opened.end(), "{}")
         words = m[1].split()
-        yield m[2], " ".join(w for w in words if w not in ("static", "inline", "extern")), " ".join(m[3].split()), text[m.end() : at], "static" in words
+        yield m[2], " ".join(w for w in words if w not in ("static", "inline", "extern")), " ".join(bare[m.end() : end].split()), text[opened.end() : at if at is not None else opened.end()], "static" in words
 
 
 def _define(batches):
@@ -65,16 +75,19 @@ def call_edges(found: DataFrame) -> DataFrame:
 
 
 def parameters(found: DataFrame) -> DataFrame:
-    """function, ordinal, name, type, direction: INOUT for pointers and arrays that are not const and for structs, else IN."""
-    # Commas inside brackets are hidden before the list is cut.
-    safe = F.regexp_replace("parameters", r",(?=[^()]*\))", "\u0001")
-    each = found.select(F.col("name").alias("function"), F.posexplode(F.split(safe, ",")).alias("ordinal", "p")).withColumn("p", F.trim(F.replace("p", F.lit("\u0001"), F.lit(",")))).filter("p <> '' and p <> 'void'")
-    name = F.regexp_extract("p", r"([A-Za-z_]\w*)\s*(?:\[[^\]]*\])*$", 1)
-    lone = ~F.col("p").rlike(r"[\s\*]")
+    """function, ordinal, name, type, direction: INOUT for pointers and arrays that are not const and for structs, else IN.
+
+    Parameters are cut at commas outside (), [] and <>; one without a name is named by its place.
+    """
+    each = found.select(F.col("name").alias("function"), F.posexplode(top_level_parts("parameters", brackets="()[]<>")).alias("ordinal", "p")).filter("p <> 'void'")
+    callback = F.regexp_extract("p", r"\(\s*\*\s*([A-Za-z_]\w*)\s*\)", 1)
+    name = F.when(callback != "", callback).otherwise(F.regexp_extract("p", r"([A-Za-z_]\w*)\s*(?:\[[^\]]*\])*$", 1))
+    lone = ~F.col("p").rlike(r"[\s\*]") | F.lower(name).isin("const", "volatile", "restrict", "struct", "union", "enum")
     symbol = F.when(lone | (name == ""), F.concat(F.lit("__arg"), (F.col("ordinal") + 1).cast("string"))).otherwise(name)
     indirect = F.col("p").rlike(r"[\*\[]")
     direction = F.when(indirect & ~F.col("p").rlike(r"\bconst\b"), F.lit("INOUT")).when(F.col("p").rlike(r"\b(struct|union)\b") & ~F.col("p").rlike(r"\bconst\b"), F.lit("INOUT")).otherwise(F.lit("IN"))
-    return each.select("function", "ordinal", symbol.alias("name"), F.trim(F.regexp_replace("p", r"[A-Za-z_]\w*\s*(?:\[[^\]]*\])*$", "")).alias("type"), direction.alias("direction"))
+    kind = F.when(callback != "", F.regexp_replace("p", r"\(\s*\*\s*[A-Za-z_]\w*\s*\)", "(*)")).otherwise(F.regexp_replace("p", r"[A-Za-z_]\w*\s*(?:\[[^\]]*\])*$", ""))
+    return each.select("function", "ordinal", symbol.alias("name"), F.trim(kind).alias("type"), direction.alias("direction"))
 
 
 def outputs(found: DataFrame) -> DataFrame:
