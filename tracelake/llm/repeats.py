@@ -333,7 +333,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(long.mapInArrow(_anchors(length), f"k1 long, k2 long, doc_id {kind}, gram long, name long, lo long, span int, off int"), "anchors")
     repeated = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "repeated")
     # Equal texts are one from here on, known by their first id.
-    spots = found.join(repeated, "gram").groupBy("k1", "k2", "gram", "name", "lo", "span").agg(F.min(F.struct("doc_id")).alias("id"))
+    # Grouped without the gram, so the join's hot grams can be split.
+    spots = found.join(repeated, "gram").groupBy("k1", "k2", "lo", "span", "name").agg(F.min("gram").alias("gram"), F.min(F.struct("doc_id")).alias("id"))
     spots = written(spots.select("gram", "name", F.col("id.doc_id").alias("s_id"), F.col("k1").alias("s1"), F.col("k2").alias("s2"), "lo", "span"), "spots")
     discard(found)
     place = F.struct("s_id", "s1", "s2", "lo")
