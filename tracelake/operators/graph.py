@@ -128,3 +128,39 @@ def internal_external(calls: DataFrame, known: DataFrame) -> DataFrame:
     """Calls (src, dst) as internal where the callee is known, else external."""
     names = known.select(F.col("name").alias("dst"), F.lit(True).alias("known")).distinct()
     return calls.join(names, "dst", "left").select("src", "dst", F.when(F.col("known"), F.lit("internal")).otherwise(F.lit("external")).alias("kind"))
+
+
+def propagated(edges: DataFrame, modules: DataFrame, facts: DataFrame, hops: int | None = 2, most_bridge_calls: int | None = 5) -> DataFrame:
+    """function, kind, variable, hop, via, origin: facts of functions and those that reach them along calls.
+
+    `edges` is (src, dst, ordinal), `modules` (name, module), `facts` (function, kind, variable). A fact
+    goes from a callee to its caller, each variable once with the least hop: over one edge if the caller's
+    module is the callee's or the caller has none, over more only inside one known module and over
+    bridges of at most `most_bridge_calls` callees. Names and variables meet without regard to case.
+    `via` is the first callee in call order that brings it, `origin` the function that holds it directly
+    (the first in order where several do). Each hop joins only what the last one added; without `hops`
+    they go on until nothing is added.
+    """
+    low = lambda c: F.lower(F.trim(F.col(c)))
+    of = modules.select(low("name").alias("name"), F.nullif(F.trim("module"), F.lit("")).alias("module")).dropDuplicates(["name"])
+    calls = edges.select(low("src").alias("src"), low("dst").alias("dst"), "ordinal").filter("src <> dst").groupBy("src", "dst").agg(F.min("ordinal").alias("ordinal"))
+    side = lambda c: of.select(F.col("name").alias(c), F.col("module").alias(f"{c}_module"))
+    width = calls.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("calls"))
+    calls = calls.join(side("src"), "src", "left").join(side("dst"), "dst", "left").join(width, "dst", "left")
+    calls = checkpointed(calls.filter("src_module is null or src_module = dst_module"))
+    own = facts.select(low("function").alias("function"), "kind", low("variable").alias("key"), F.trim("variable").alias("variable")).filter("key <> ''")
+    own = own.groupBy("function", "kind", "key").agg(F.min("variable").alias("variable"))
+    seen = news = checkpointed(own.select("function", "kind", "key", "variable", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.col("function").alias("origin")))
+    k = 0
+    while hops is None or k < hops:
+        k += 1
+        ways = calls if k == 1 else calls.filter("src_module = dst_module" + (f" and calls <= {most_bridge_calls}" if most_bridge_calls is not None else ""))
+        # The bridge got the fact inside its own module, so one module holds the whole way.
+        met = ways.join((news if k == 1 else news.filter("inside")).withColumnRenamed("function", "dst"), "dst")
+        best = met.groupBy(F.col("src").alias("function"), "kind", "key").agg(F.min(F.struct("ordinal", "dst", "origin", "variable", F.coalesce(F.col("src_module") == F.col("dst_module"), F.lit(False)).alias("inside"))).alias("b"))
+        fresh = best.join(seen.select("function", "kind", "key"), ["function", "kind", "key"], "left_anti")
+        news = checkpointed(fresh.select("function", "kind", "key", "b.variable", F.lit(k).alias("hop"), F.col("b.dst").alias("via"), "b.origin", "b.inside"))
+        if news.isEmpty():
+            break
+        seen = seen.unionByName(news.drop("inside"))
+    return seen.drop("key")

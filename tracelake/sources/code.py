@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.expressions import evaluated
 from tracelake.functions.text import call_names, without_comments, without_comments_and_strings
+from tracelake.operators.graph import checkpointed
 from tracelake.sources.flow import top_level_parts
 
 HEAD = re.compile(r"^[ \t]*((?:[A-Za-z_][\w]*[\s\*]+)+)([A-Za-z_]\w*)\s*\(", re.M)
@@ -165,23 +167,51 @@ def pointer_calls(found: DataFrame, known: DataFrame) -> DataFrame:
     return stored.filter(F.array_contains("calls", F.col("alias"))).join(known.select(F.col("name").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct()
 
 
-def constants(known_macros: DataFrame, rounds: int = 4) -> DataFrame:
-    """name, value (long) of macros that are whole numbers or sums, differences, products and shifts of such.
+def constants(known_macros: DataFrame) -> DataFrame:
+    """name, value (long), text of object-like macros (name, value; of a repeated name the least value text counts).
 
-    Names in a value are put in by joins with the macros known so far, `rounds` times; what then is
-    no expression of numbers is left out.
+    Values are whole-number expressions of C. Names in them are put in as soon as they are known: each
+    round takes only what the last one found, until it found nothing, so chains may have any length. What
+    cannot be evaluated (unknown names, cycles, other text) has a null value, and comes back as text with
+    the known names put in.
     """
-    number = r"^\(?\s*(-?(?:0[xX][0-9A-Fa-f]+|\d+))[uUlL]*\s*\)?$"
-    digits = F.regexp_extract("value", number, 1)
-    as_long = F.when(F.lower(digits).startswith("0x"), F.conv(F.substring(digits, 3, 20), 16, 10)).otherwise(digits).try_cast("long")
-    rest = known_macros.filter(~F.col("name").contains("("))
-    done = rest.select("name", as_long.alias("n")).filter("n is not null").dropDuplicates(["name"])
-    term = r"^\(?\s*(\w+)\s*(\+|-|\*|<<|>>)\s*(\w+)\s*\)?$|^\(?\s*([A-Za-z_]\w*)\s*\)?$"
-    open_ = rest.filter(F.col("value").rlike(term)).select("name", F.coalesce(F.nullif(F.regexp_extract("value", term, 1), F.lit("")), F.regexp_extract("value", term, 4)).alias("a"), F.regexp_extract("value", term, 2).alias("op"), F.regexp_extract("value", term, 3).alias("b")).dropDuplicates(["name"])
-    for _ in range(rounds):
-        of = lambda c: done.select(F.col("name").alias(c), F.col("n").alias(f"{c}_n"))  # noqa: E731,B023
-        met = open_.join(done.select("name"), "name", "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        x, y = (F.coalesce(f"{c}_n", F.col(c).try_cast("long")) for c in ("a", "b"))
-        value = F.when(F.col("op") == "+", x + y).when(F.col("op") == "-", x - y).when(F.col("op") == "*", x * y).when(F.col("op") == "<<", F.call_function("shiftleft", x, y.cast("int"))).when(F.col("op") == ">>", F.call_function("shiftright", x, y.cast("int"))).when(F.col("op") == "", x)
-        done = done.unionByName(met.select("name", value.alias("n")).filter("n is not null"))
-    return done.select("name", F.col("n").alias("value"))
+    macro = known_macros.filter(~F.col("name").contains("(")).groupBy("name").agg(F.coalesce(F.min("value"), F.lit("")).alias("body"))
+    names = F.array_distinct(F.regexp_extract_all("body", F.lit(r"((?<![\w.])[A-Za-z_]\w*)"), F.lit(1)))
+    nobody = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    waiting = checkpointed(macro.select("name", "body", names.alias("needs"), nobody.alias("env")))
+    done = None
+    while True:
+        ready = F.size("needs") == F.size("env")
+        found = checkpointed(waiting.filter(ready).select("name", evaluated("body", "env").alias("e")).select("name", "e.value", "e.text"))
+        done = found if done is None else done.unionByName(found)
+        news = found.filter("value is not null").select(F.col("name").alias("need"), "value")
+        if news.isEmpty():
+            break
+        # Known values go to the macros that wait for them.
+        refs = waiting.filter(~ready).select("name", F.explode("needs").alias("need")).join(news, "need").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("need", "value"))).alias("more"))
+        waiting = checkpointed(waiting.filter(~ready).join(refs, "name", "left").select("name", "body", "needs", F.when(F.col("more").isNull(), F.col("env")).otherwise(F.map_concat("env", "more")).alias("env")))
+    rest = waiting.filter(F.size("needs") != F.size("env")).select("name", evaluated("body", "env").alias("e")).select("name", F.lit(None).cast("long").alias("value"), "e.text")
+    return done.unionByName(rest)
+
+
+def fallback_calls(found: DataFrame, files: DataFrame, edges: DataFrame, reach: int = 2500, most: int = 50) -> DataFrame:
+    """src, dst, ordinal: calls of functions (path, name, body) that have no edge (src) yet.
+
+    They are read from the body; where that is empty, from `reach` characters on both sides of the first
+    mention of the name in its file (path, text). Only known functions count, each once, direct calls
+    before those through a pointer, and the first `most`.
+    """
+    from pyspark.sql import Window
+
+    bare = found.join(edges.select(F.col("src").alias("name")).distinct(), "name", "left_anti").select("path", "name", F.nullif(F.trim("body"), F.lit("")).alias("body"))
+    empty = bare.filter("body is null").join(files.select("path", "text"), "path").withColumn("at", F.regexp_instr("text", F.concat(F.lit(r"\b"), F.col("name"), F.lit(r"\b")))).filter("at > 0")
+    left = F.greatest(F.lit(1), F.col("at") - reach)
+    around = empty.select("name", F.substring("text", left, F.col("at") - left + F.length("name") + reach).alias("body"))
+    lines = F.regexp_replace(without_comments_and_strings("body"), r"(?m)^[ \t]*#[^\n]*", "")
+    direct = F.regexp_extract_all(lines, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))
+    through = F.regexp_extract_all(lines, F.lit(r"\(\s*\*\s*([A-Za-z_]\w*)\s*\)\s*\("), F.lit(1))
+    called = bare.filter("body is not null").select("name", "body").unionByName(around).select(F.col("name").alias("src"), F.posexplode(F.array_distinct(F.concat(direct, through))).alias("place", "dst"))
+    known = called.filter((F.col("src") != F.col("dst")) & ~F.lower("dst").isin(*NO_FUNCTION)).join(found.select(F.col("name").alias("dst")).distinct(), "dst", "left_semi")
+    first = known.groupBy("src", "dst").agg(F.min("place").alias("place"))
+    placed = first.withColumn("ordinal", F.row_number().over(Window.partitionBy("src").orderBy("place")) - 1)
+    return placed.filter(F.col("ordinal") < most).select("src", "dst", "ordinal")
