@@ -90,13 +90,13 @@ def top_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    with a as (select c_nationkey as k, c_name as name, 0 as p from customer where c_acctbal > 9000 union all select s_nationkey, s_name, 1 from supplier)
+    with a as (select c_custkey % 60 as k, c_name as name, 0 as p from customer union all select s_suppkey % 80 + 20, s_name, 1 from supplier)
     select k, name, p as priority from a qualify row_number() over (partition by k order by p, name) = 1
     """
 )
 def first_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
-    two = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"))
+    one = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 60).alias("k"), F.col("c_name").alias("name"))
+    two = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 80 + 20).alias("k"), F.col("s_name").alias("name"))
     return sets.first_by_priority([one, two], "k", "name")
 
 

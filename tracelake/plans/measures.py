@@ -12,19 +12,23 @@ from tracelake.plans.registry import query, table
 
 @query(
     """
-    with t as (select source as unit, quality = 1 as passed from documents join labels using (doc_id)),
-    u as (select unit, count(*) filter (passed) as n_passed, count(*) filter (not passed) as n_failed, count(*) as total from t group by unit)
-    select unit, n_passed as passed, n_failed as failed, total, n_passed / total as pass_rate,
-      round_even(100.0 * n_passed / total, 1) as actual, case when 100.0 * n_passed / total >= 85 then 'pass' else 'fail' end as status
-    from u
+    with t as (select source as unit, quality = 1 as passed, toxic, n_chars from documents join labels using (doc_id)),
+    u as (select unit, count(*) filter (passed) as n_passed, count(*) filter (not passed) as n_failed, count(*) as total, count(*) filter (n_chars > 400) / count(*) as line, avg(n_chars) / 50 as branch, sum(toxic) as fresh from t group by unit),
+    g as (select unit, n_passed, n_failed, total, 'pass_rate' as gate, n_passed / total as v, 85.0 as threshold from u
+      union all select unit, n_passed, n_failed, total, 'coverage_line', line, 80.0 from u union all select unit, n_passed, n_failed, total, 'coverage_branch', branch, 60.0 from u),
+    p as (select *, case when v <= 1 then 100.0 * v else v end as pct from g)
+    select unit, n_passed as passed, n_failed as failed, total, n_passed / total as pass_rate, gate, round_even(pct, 1) as actual, threshold::double as threshold,
+      case when pct >= threshold then 'pass' when gate <> 'pass_rate' and pct >= threshold * 0.8 then 'warn' else 'fail' end as status from p
+    union all select unit, n_passed, n_failed, total, n_passed / total, 'new_failures', fresh::double, 2.0, case when fresh <= 2 then 'pass' else 'fail' end from u
     """
 )
 def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which source fails the pass-rate gate: labelled quality as test results."""
-    tests = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("ok")), "doc_id")
-    per = quality.unit_breakdown(tests, "source", "ok")
-    gates = quality.quality_gates(per.withColumns({c: F.lit(0.0) for c in ("coverage_line", "coverage_branch", "new_failures")}), ["unit", "passed", "failed", "total", "pass_rate"], (85, 0, 0, 0))
-    return gates.filter("gate = 'pass_rate'").select("unit", "passed", "failed", "total", "pass_rate", "actual", "status")
+    """The four gates of each source: labelled quality as test results, long texts as covered lines, a mean length as a percentage, toxic texts as new failures."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"), "toxic")
+    tests = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(labels, "doc_id")
+    facts = tests.groupBy(F.coalesce("source", F.lit("UNKNOWN")).alias("unit")).agg((F.count_if(F.col("n_chars") > 400) / F.count(F.lit(1))).alias("coverage_line"), (F.avg("n_chars") / 50).alias("coverage_branch"), F.sum("toxic").alias("new_failures"))
+    per = quality.unit_breakdown(tests, "source", "ok").join(facts, "unit")
+    return quality.quality_gates(per, ["unit", "passed", "failed", "total", "pass_rate"], (85, 80, 60, 2))
 
 
 @query(
@@ -356,17 +360,20 @@ def tokens_and_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-    with k as (select doc_id, lower(text) as t from documents)
-    select doc_id, len(regexp_extract_all(t, '\bfail(?:ed|ures)?\b')) as fail, len(regexp_extract_all(t, '\berror(?:s)?\b')) as error,
-      len(regexp_extract_all(t, '\bwarn(?:ing|ings)?\b')) as warn, len(regexp_extract_all(t, '\bpass(?:ed|es)?\b')) as pass from k
-    where not regexp_matches(t, '\b(fail(ed|ures)?|errors?|warn(ing|ings)?|pass(ed|es)?)\b[^0-9]{0,12}[0-9]')
+    with k as (select doc_id, lower(coalesce(text, '') || case doc_id % 4 when 0 then ' 12 passed, Failed: ' || n_chars || ' (failures = 7)' when 1 then ' errors: 3' else '' end) as t from documents),
+    n as (select doc_id, t,
+      list_max(list_transform(regexp_extract_all(t, '\bfail(?:ed|ures)?\b[^0-9]{0,12}([0-9]{1,9})', 1), lambda x: x::bigint)) as f, list_max(list_transform(regexp_extract_all(t, '\berror(?:s)?\b[^0-9]{0,12}([0-9]{1,9})', 1), lambda x: x::bigint)) as e,
+      list_max(list_transform(regexp_extract_all(t, '\bwarn(?:ing|ings)?\b[^0-9]{0,12}([0-9]{1,9})', 1), lambda x: x::bigint)) as w, list_max(list_transform(regexp_extract_all(t, '\bpass(?:ed|es)?\b[^0-9]{0,12}([0-9]{1,9})', 1), lambda x: x::bigint)) as p from k),
+    m as (select *, coalesce(f, e, w, p) is not null as numeric_used from n)
+    select doc_id, case when numeric_used then coalesce(f, 0) else len(regexp_extract_all(t, '\bfail(?:ed|ures)?\b')) end as fail, case when numeric_used then coalesce(e, 0) else len(regexp_extract_all(t, '\berror(?:s)?\b')) end as error,
+      case when numeric_used then coalesce(w, 0) else len(regexp_extract_all(t, '\bwarn(?:ing|ings)?\b')) end as warn, case when numeric_used then coalesce(p, 0) else len(regexp_extract_all(t, '\bpass(?:ed|es)?\b')) end as pass from m
     """
 )
 def log_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word counts of texts where no word stands beside a number."""
-    docs = table(spark, sf_dir, "documents")
-    numbered = F.lower("text").rlike(r"\b(fail(ed|ures)?|errors?|warn(ing|ings)?|pass(ed|es)?)\b[^0-9]{0,12}[0-9]")
-    return docs.filter(~numbered).select("doc_id", F.inline(F.array(text.kpis("text"))))
+    """The largest number beside each word; word counts where no word has a number. Summaries end a part of the texts."""
+    end = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" 12 passed, Failed: "), F.col("n_chars").cast("string"), F.lit(" (failures = 7)"))).when(F.col("doc_id") % 4 == 1, F.lit(" errors: 3")).otherwise("")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), end).alias("text"))
+    return docs.select("doc_id", F.inline(F.array(text.kpis("text"))))
 
 
 @query(
