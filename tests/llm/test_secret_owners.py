@@ -22,6 +22,16 @@ def test_copies_of_a_document_count_once(spark):
     assert all(r["n_shared"] == 1 for r in scanned(spark, rows, max_repositories=1).values())
 
 
+def test_a_stray_copy_does_not_share_a_secret(spark):
+    """Nineteen repositories of one owner and one of another: still the first one's; five of each are shared."""
+    rows = [(i, f"key {LIVE} in {i}", "a") for i in range(19)] + [(50, f"found {LIVE} there", "b")] + [(100 + i, f"key {COPIED} in {i}", "ab"[i % 2]) for i in range(10)]
+    got = scanned(spark, rows)
+    assert all(got[i]["n_live"] == 1 and (got[i]["most_owners"], got[i]["most_repositories"]) == (2, 20) for i in [*range(19), 50])
+    assert all(got[100 + i]["n_shared"] == 1 and (got[100 + i]["most_owners"], got[100 + i]["most_repositories"]) == (2, 10) for i in range(10))
+    copies = [(i, f"key {LIVE} here", "a") for i in range(30)] + [(40, f"key {LIVE} here", "b")]
+    assert all((r["most_repositories"], r["n_shared"]) == (2, 1) for r in scanned(spark, copies).values())  # copies of an owner's text are one repository
+
+
 def test_short_base_values_enter_the_count(spark):
     got = scanned(spark, [(1, "password = hunter22", "a"), (2, "x password: hunter22", "b"), (3, "token=only4me", "a"), (4, f"secret={LIVE}", "a")])
     assert [(got[i]["n_live"], got[i]["n_shared"]) for i in (1, 2, 3, 4)] == [(0, 1), (0, 1), (1, 0), (1, 0)]
@@ -29,7 +39,7 @@ def test_short_base_values_enter_the_count(spark):
 
 
 def slow_owned(rows):
-    """(spans, n_live, n_shared) of each row: candidates found place by place, owners counted in a dictionary."""
+    """(spans, n_live, n_shared, most owners, most repositories) of each row: candidates found place by place, owners' texts counted in a dictionary."""
     import math
     import re
 
@@ -46,20 +56,31 @@ def slow_owned(rows):
             if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and -sum(p * math.log2(p) for p in shares) >= secret_scan.MIN_ENTROPY:
                 places.add((m.start(), m.end()))
         for a, b in places:
-            owners.setdefault(text[a:b], set()).add(owner or "")
+            owners.setdefault(text[a:b], {}).setdefault(owner or "", set()).add(text)
         held.append((text, base, places))
     out = []
+    sizes = {secret: [len(t) for t in texts.values()] for secret, texts in owners.items()}
     for text, base, places in held:
-        live = {(a, b) for a, b in places if len(owners[text[a:b]]) <= secret_scan.MAX_OWNERS}
+        live = {(a, b) for a, b in places if len(sizes[text[a:b]]) <= secret_scan.MAX_OWNERS or max(sizes[text[a:b]]) >= secret_scan.LEAST_LEAD * sum(sizes[text[a:b]])}
         extra = sorted((a, b) for a, b in live if not any(x < b and y > a for x, y in base))
-        out.append((extra, len(live), len(places) - len(live)))
+        out.append((extra, len(live), len(places) - len(live), max((len(sizes[text[a:b]]) for a, b in places), default=0), max((sum(sizes[text[a:b]]) for a, b in places), default=0)))
     return out
 
 
 def test_ownership_as_a_slow_count(spark, documents):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in documents.collect()]
+    rows += [(30_000 + i, f"{LIVE[5:]}{COPIED[:9]} no {i}", "a" if i else "b") for i in range(25)]
     rows += [(10_000 + i, f"key {LIVE} and {COPIED} with password = hunter{i % 2}22 {LIVE[::-1]}x", "ab"[i % 2]) for i in range(6)] + [(20_000, f"{COPIED}", None), (20_001, f"{COPIED[::-1]}9", ""), (20_002, f"{COPIED[::-1]}9", None)]
     got = scanned(spark, rows)
-    for (i, *_), (extra, live, shared) in zip(rows, slow_owned(rows), strict=True):
+    for (i, *_), (extra, live, shared, most_owners, most_repositories) in zip(rows, slow_owned(rows), strict=True):
         owned = [tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",") if s.startswith("owned")]
-        assert (owned, got[i]["n_live"], got[i]["n_shared"]) == (extra, live, shared), i
+        assert (owned, got[i]["n_live"], got[i]["n_shared"], got[i]["most_owners"], got[i]["most_repositories"]) == (extra, live, shared, most_owners, most_repositories), i
+
+
+def test_columns_that_clash_and_empty_tables(awkward, empty):
+    """The fixture has columns named spans, score, kept and row_no."""
+    assert secret_scan.digest(secret_scan.scan_secrets(awkward)).count() == awkward.count()
+    assert secret_scan.scan_secrets(empty).count() == 0
+    clean = secret_scan.without_secrets(awkward)
+    assert clean.columns == awkward.columns and clean.count() == awkward.count()
+    assert sorted((r["doc_id"] is None, r["spans"], r["row_no"]) for r in clean.collect()) == sorted((r["doc_id"] is None, r["spans"], r["row_no"]) for r in awkward.collect())
