@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators import branches, graph, ranges
+from tracelake.operators import branches, changelog, graph, ranges
 from tracelake.plans.registry import query, table
 from tracelake.sources import code, flow
+from tracelake.streaming import jobs
 
 #: Bodies of orders: `deep` conditions inside one another (a guard's name where 3 divides the key), an else at the
 #: outermost one of even keys, a switch, a loop and a return.
@@ -220,3 +221,74 @@ def propagated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     facts = part.filter("p_size % 3 = 0").select(F.col("p_partkey").cast("string").alias("function"), F.lit("global").alias("kind"), F.lower("p_type").alias("variable"))
     return graph.propagated(edges, part.select(F.col("p_partkey").cast("string").alias("name"), F.col("p_brand").alias("module")), facts, 2, 30).drop("kind")
+
+
+RUNS_SQL = """
+    o as (select o_orderkey as k, o_custkey as doc, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as prev from orders semi join lineitem on l_orderkey = o_orderkey),
+    l as (select l_orderkey as k, 'F' || (l_suppkey % 6) as name, min_by({'n': [l_partkey % 3, l_linenumber % 2], 'flag': l_returnflag}, (l_partkey % 3) || ',' || (l_linenumber % 2) || ',' || l_returnflag) as e from lineitem group by 1, 2),
+    a as (select o.doc, o.k, o.prev, l.name, l.e from o join l using (k)), b as (select o.doc, o.k, o.prev, l.name, l.e from o join l on l.k = o.prev),
+    d as (select coalesce(a.doc, b.doc) as doc, coalesce(a.k, b.k) as k, coalesce(a.prev, b.prev) as prev, coalesce(a.name, b.name) as name, a.e as new, b.e as old,
+        case when b.name is null then 'created' when a.name is null then 'removed' when a.e <> b.e then 'changed' end as change
+      from a full join b on a.k = b.k and a.name = b.name)
+"""
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs of their customers' documents; suppliers as entries with a list and a text."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit(" F"), (F.col("l_suppkey") % 6).cast("string")).alias("name"), F.array(F.col("l_partkey") % 3, (F.col("l_linenumber") % 2).cast("long")).alias("calls"), F.concat("l_returnflag", F.lit(" ")).alias("level"))  # noqa: E741
+    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+
+
+@query(
+    f"""
+    with {RUNS_SQL}
+    select doc as o_custkey, k as o_orderkey, prev as previous_run, name, change,
+      case when change = 'changed' then concat_ws(',', case when new.n <> old.n then 'calls' end, case when new.flag <> old.flag then 'level' end) else change end as fields_changed, old.flag as level_before, new.flag as level_after, case when new is null then null else len(new.n) end::int as calls_after
+    from d where change is not null
+    """
+)
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = changelog.change_log(_entries(spark, sf_dir), "o_custkey", "o_orderkey", ["o_orderdate"], "name", ["calls", "level"])
+    return log.select("o_custkey", "o_orderkey", "previous_run", "name", "change", F.array_join("fields_changed", ",").alias("fields_changed"), F.col("before.level").alias("level_before"), F.col("after.level").alias("level_after"), F.col("after.calls_count").alias("calls_after"))
+
+
+@query(
+    f"""
+    with {RUNS_SQL}
+    select o.doc as o_custkey, o.k as o_orderkey, o.prev as previous_run, case when count(change) > 0 then 'completed' else 'unchanged' end as status,
+      count(*) filter (change = 'created') as created, count(*) filter (change = 'removed') as removed, count(*) filter (change = 'changed') as changed
+    from o left join d using (k) group by 1, 2, 3
+    """
+)
+def change_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _entries(spark, sf_dir)
+    log = changelog.change_log(entries, "o_custkey", "o_orderkey", ["o_orderdate"], "name", ["calls", "level"])
+    return changelog.change_totals(log, entries, "o_custkey", "o_orderkey", ["o_orderdate"])
+
+
+@query(
+    """
+    with e as (select user_id as job, ts, case event_type when 'purchase' then 'completed' when 'error' then 'failed' when 'view' then null else 'running' end as status from events),
+    f as (select *, last_value(status ignore nulls) over (partition by job order by ts rows between unbounded preceding and current row) as now, epoch_us(lead(ts) over (partition by job order by ts)) - epoch_us(ts) as gap from e)
+    select job, arg_max(now, ts) as status, min(ts) filter (now = 'running') as started_at, max(ts) as updated_at, max(ts) filter (now in ('completed', 'failed')) as finished_at, count(*) as updates,
+      count(*) filter (coalesce(now not in ('completed', 'failed'), true) and gap > 21600000000) as stalls from f group by job
+    """
+)
+def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as jobs: views are heartbeats, and six hours without any event stall a job that is not finished."""
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") != "view", "running")
+    return jobs.job_history(table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), "ts", status.alias("status")), 21_600)
+
+
+@query(
+    """
+    with u as (select user_id as key, ts, value from events where event_type in ('signup', 'click')), r as (select user_id as key, ts, event_id from events where event_type not in ('signup', 'click'))
+    select r.key, r.ts, r.event_id, case when epoch_us(r.ts) - epoch_us(u.ts) <= 86400000000 then u.value end as value, coalesce(epoch_us(r.ts) - epoch_us(u.ts) <= 86400000000, false) as hit
+    from r asof left join u on r.key = u.key and r.ts >= u.ts
+    """
+)
+def read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and signups set a user's entry for a day; every other event reads it."""
+    events, sets = table(spark, sf_dir, "events").withColumn("key", F.col("user_id")), F.col("event_type").isin("signup", "click")
+    return jobs.read_through(events.filter(~sets).select("key", "ts", "event_id"), events.filter(sets).select("key", "ts", "value"), 86_400)
