@@ -55,3 +55,15 @@ def test_empty_and_text_order(rows):
     none = rows.filter("id < 0")
     assert history.numbered(none, "k", ["ts", "id"], "n", LEAST).count() == 0
     assert history.stretches(rows, "v", ["k"], LEAST)[1] is None
+
+
+def test_known_keys_run_no_job_first(spark, rows):
+    """With the large keys named, or named as none, the plan is made without a job and gives the same rows."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("known keys", "none so far")
+    plan = history.numbered(rows, "k", ["ts", "id"], "n", known=[])
+    assert not tracker.getJobIdsForGroup("known keys")
+    spark.sparkContext._jsc.clearJobGroup()
+    same(plan, history.numbered(rows, "k", ["ts", "id"], "n"))
+    same(history.numbered(rows, "k", ["ts", "id"], "n", known=["hot", None]), history.numbered(rows, "k", ["ts", "id"], "n"))
+    same(history.previous_run(rows, "k", ["ts", "id"], "id", "v", known=["hot"]), history.previous_run(rows, "k", ["ts", "id"], "id", "v"))

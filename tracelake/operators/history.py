@@ -12,15 +12,19 @@ LARGE_KEY = 1_000_000
 WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
 
 
-def large_keys(rows: DataFrame, key: str, least: int = LARGE_KEY) -> Column | None:
+def large_keys(rows: DataFrame, key: str, least: int = LARGE_KEY, known: list | None = None) -> Column | None:
     """A condition that holds for the rows of large keys, or None where no key is large.
 
-    At most as many keys as there are shuffle partitions are told, the largest first: any other key
+    With `known`, a list of the keys that the caller knows to be large (empty: none), nothing is counted
+    and no job runs; so it has to be on a stream. Else the rows are counted by key first. At most as many keys as there are shuffle partitions are told, the largest first: any other key
     holds less than one partition's share of the rows.
     """
-    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
-    found = [r.k for r in counts.orderBy(F.desc("n")).limit(most).collect()]
+    if known is not None:
+        found = known
+    else:
+        most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        counts = rows.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+        found = [r.k for r in counts.orderBy(F.desc("n")).limit(most).collect()]
     if not found:
         return None
     named = F.coalesce(F.col(key).isin([k for k in found if k is not None]), F.lit(False))
@@ -47,7 +51,7 @@ def _piece(at: Column, bounds: list[float], first: int = 0) -> Column:
     return F.when(at < bounds[m], _piece(at, bounds[:m], first)).otherwise(_piece(at, bounds[m + 1 :], first + m + 1))
 
 
-def stretches(rows: DataFrame, key: str, order: list[str], least: int = LARGE_KEY) -> tuple[DataFrame, Column | None]:
+def stretches(rows: DataFrame, key: str, order: list[str], least: int = LARGE_KEY, known: list | None = None) -> tuple[DataFrame, Column | None]:
     """The rows with `_stretch`, and the condition of large keys (None: no key is large, all stretches are 0).
 
     A large key's rows are cut at approximate quantiles of the first order column, one stretch a
@@ -56,7 +60,7 @@ def stretches(rows: DataFrame, key: str, order: list[str], least: int = LARGE_KE
     An order column of another type than numbers, dates and times is not cut.
     """
     at = _grows_with(rows, order[0])
-    large = None if at is None else large_keys(rows, key, least)
+    large = None if at is None else large_keys(rows, key, least, known)
     if large is None:
         return rows.withColumn("_stretch", F.lit(0)), None
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -71,12 +75,12 @@ def _with_stretch_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFram
     return rows.join(F.broadcast(facts), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_stretch") == F.col("_piece")), "left")
 
 
-def previous_run(runs: DataFrame, kind: str, order: list[str], run_id: str, score: str, least: int = LARGE_KEY) -> DataFrame:
+def previous_run(runs: DataFrame, kind: str, order: list[str], run_id: str, score: str, least: int = LARGE_KEY, known: list | None = None) -> DataFrame:
     """Each run with the run before it of the same kind: prev_run_id and score_delta (null for the first).
 
     The runs of a large kind are sorted in stretches; the last run of each is carried to the next.
     """
-    dealt, large = stretches(runs, kind, order, least)
+    dealt, large = stretches(runs, kind, order, least, known)
     w = Window.partitionBy(kind, "_stretch").orderBy(*order)
     run = F.struct(F.col(run_id).alias("id"), F.col(score).alias("score"))
     placed = dealt.withColumn("_before", F.lag(run).over(w))
@@ -125,9 +129,9 @@ def last_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFr
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_place")))).drop("_place")
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], name: str = "seq", least: int = LARGE_KEY) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[str], name: str = "seq", least: int = LARGE_KEY, known: list | None = None) -> DataFrame:
     """1, 2, 3 ... within each key; a large key is numbered in stretches, each after the rows before it."""
-    dealt, large = stretches(rows, key, order, least)
+    dealt, large = stretches(rows, key, order, least, known)
     placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_stretch").orderBy(*order)))
     if large is None:
         return placed.select(*rows.columns, F.col("_place").alias(name))
@@ -194,14 +198,14 @@ def retained(sessions: DataFrame, created: str, key: str, keep_days: int, now: C
     return sessions.filter(young | F.col(key).cast("string").isin(keep)).orderBy(F.desc(created), key)
 
 
-def preceding_count(requests: DataFrame, client: str, ts: str, seconds: int = 60, least: int = LARGE_KEY) -> DataFrame:
+def preceding_count(requests: DataFrame, client: str, ts: str, seconds: int = 60, least: int = LARGE_KEY, known: list | None = None) -> DataFrame:
     """Requests of the same client in the window before each one, itself included; rows exactly `seconds` older do not count.
 
     The requests of a large client are cut into pieces of `seconds`, and each is also seen by the
     piece after its own, which is as far as a window reaches.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    large = large_keys(requests, client, least)
+    large = large_keys(requests, client, least, known)
     if large is None:
         w = Window.partitionBy(client).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
         return requests.withColumn("in_window", F.count(F.lit(1)).over(w))
@@ -218,14 +222,14 @@ def learned(events: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, (F.lit(1.0) + 0.1 * (F.col("n") - 1)).alias("weight"), (F.col("n") - 1).alias("apply_count"), F.col("n").alias("error_count"))
 
 
-def feedback_weight(votes: DataFrame, key: str, order: list[str], positive: str, least: int = LARGE_KEY) -> DataFrame:
+def feedback_weight(votes: DataFrame, key: str, order: list[str], positive: str, least: int = LARGE_KEY, known: list | None = None) -> DataFrame:
     """Weight of each entry after its votes in order: plus or minus 0.2, never under 0.1; apply_count counts the good ones.
 
     The floor makes this a fold in order. The fold has a closed form: with running sums S of the
     steps, the end is the larger of 1 + S_n and 0.1 + S_n - min S_k over the votes. A large key's
     votes are summed in stretches; total and least sum of a stretch carry over to the next.
     """
-    dealt, _ = stretches(votes, key, order, least)
+    dealt, _ = stretches(votes, key, order, least, known)
     step = F.when(F.col(positive), F.lit(0.2)).otherwise(F.lit(-0.2))
     sums = F.sum(step).over(Window.partitionBy(key, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     runs = dealt.select(key, "_stretch", F.col(positive).alias("good"), step.alias("step"), sums.alias("s"))

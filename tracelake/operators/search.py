@@ -79,8 +79,9 @@ def restrict(entries: DataFrame, categories: list[str] | None = None, role: str
 def keyword_search(entries: DataFrame, key: str, texts: list[str], query: str, top: int = 20) -> DataFrame:
     """Best entries by keyword score: key, score. An empty query gives no rows."""
     haystack = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in texts]))
-    scored = entries.select(key, keyword_score(haystack, query_tokens(query)).alias("score")).filter("score > 0")
-    return scored.orderBy(F.desc("score"), key).limit(top)
+    scored = entries.select(key, haystack.alias("haystack")).select(key, keyword_score(F.col("haystack"), query_tokens(query)).alias("score"))
+    # The filter comes after the limit, or each score would be computed for the filter and once more for the order.
+    return scored.orderBy(F.desc("score"), key).limit(top).filter("score > 0")
 
 
 def semantic_search(entries: DataFrame, key: str, vector: str, query: list[float], top: int = 20, weight: str | None = None, tags: tuple[str, list[str]] | None = None) -> DataFrame:
@@ -90,7 +91,7 @@ def semantic_search(entries: DataFrame, key: str, vector: str, query: list[float
         score = score * F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
     if tags:
         score = score + 0.05 * F.size(F.array_intersect(F.coalesce(F.col(tags[0]), F.array().cast("array<string>")), F.array(*[F.lit(t) for t in tags[1]]).cast("array<string>")))
-    return entries.select(key, score.alias("score")).filter("score > 0").orderBy(F.desc("score"), key).limit(top)
+    return entries.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(top).filter("score > 0")
 
 
 def ranked(hits: DataFrame, key: str) -> DataFrame:

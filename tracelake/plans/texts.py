@@ -18,9 +18,19 @@ def _say(*parts: Column | str) -> Column:
     return F.concat(*[F.col(p[1:-1]).cast("string") if isinstance(p, str) and re.fullmatch(r"\{\w+\}", p) else F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+#: Keys in the block of a page.
+PAGE_KEYS = 512
+
+
+def _paged(sql: str) -> str:
+    """The SQL over parts with their page in place of the brand."""
+    return sql.replace("from part", f"from (select * replace (p_brand || '/' || (p_partkey // {PAGE_KEYS}) as p_brand) from part)")
+
+
 def _brand_pages(spark: SparkSession, sf_dir: str, row: Column, before: str = "", after: str = "") -> DataFrame:
-    """One text a brand: the parts' rows in order of their keys."""
-    parts = table(spark, sf_dir, "part").select("p_brand", F.struct("p_partkey", row.alias("row")).alias("r"))
+    """One text a page, a brand's parts of one block of keys: their rows in order of their keys. However many parts there are, a page stays a page."""
+    page = F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / PAGE_KEYS).cast("string"))
+    parts = table(spark, sf_dir, "part").select(page.alias("p_brand"), F.struct("p_partkey", row.alias("row")).alias("r"))
     each = parts.groupBy("p_brand").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     return each.select("p_brand", F.concat(F.lit(before), F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit(after)).alias("page"))
 
@@ -140,14 +150,12 @@ def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.commits(table(spark, sf_dir, "orders").select(line.alias("text")))
 
 
-@query(
-    """
+@query(_paged("""
     with m as (select p_brand, p_partkey, p_size as c, p_size + p_partkey % 7 as t, p_partkey % 3 as bc, p_partkey % 3 + 1 as bt from part),
     w as (select *, round_even(100.0 * c / t, 2) as rate, row_number() over (partition by p_brand order by case when t > 0 then round_even(100.0 * c / t, 2) else 0 end, p_partkey) as k from m),
     s as (select p_brand, round_even(100.0 * sum(c) / sum(t), 2) as line_rate, round_even(100.0 * sum(bc) / sum(bt), 2) as branch_rate from m group by 1)
     select w.p_brand, 'm' || p_partkey as module, c as line_covered, t as line_total, k, line_rate as all_lines, branch_rate as all_branches from w join s using (p_brand) where k <= 6
-    """
-)
+    """))
 def aggregate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One aggregate report a brand: its worst modules beside the rates of all."""
     row = _say("<h3>Code Coverage for m", "{p_partkey}", "</h3><p>", "{p_size}", " of ", (F.col("p_size") + F.col("p_partkey") % 7).cast("string"), " Lines Covered</p><p>", (F.col("p_partkey") % 3).cast("string"), " of ", (F.col("p_partkey") % 3 + 1).cast("string"), " Branches Covered</p>")
@@ -156,7 +164,7 @@ def aggregate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worst.join(reports.coverage_totals(modules, ["p_brand"]).select("p_brand", F.col("line_rate").alias("all_lines"), F.col("branch_rate").alias("all_branches")), "p_brand")
 
 
-@query("select p_brand, round_even(avg(p_size + 0.5), 2) as avg_pct, count(*) as samples from part group by 1")
+@query(_paged("select p_brand, round_even(avg(p_size + 0.5), 2) as avg_pct, count(*) as samples from part group by 1"))
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = _say("<tr><td class=\"col_unit\">99%</td><td class='x col_metric'>3 / 4 (", "{p_size}", ".5 %)</td><td class=\"col_metric\">none</td></tr>")
     return reports.metric_percentages(_brand_pages(spark, sf_dir, row, "<table>", "</table>"), ["p_brand"], "page")
@@ -192,11 +200,9 @@ def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(table(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("R-"), (F.col("p_size") % 9).cast("string")).alias("rule")).distinct(), ["p_brand", "rule"], "left_semi")
 
 
-@query(
-    """
+@query(_paged("""
     select p_brand, 'f' || p_partkey || '.c' as file, p_size as covered, p_size + 3 as total, k from (select *, row_number() over (partition by p_brand order by p_size / (p_size + 3), p_partkey) as k from part) where k <= 15
-    """
-)
+    """))
 def environment_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = _say('<tr><td class="i0">f', "{p_partkey}", ".c</td><td>", "{p_size}", " / ", (F.col("p_size") + 3).cast("string"), "</td><td>1 / 2</td></tr><tr><td class=\"i1\">sub</td><td>9 / 9</td><td></td></tr>")
     pages = _brand_pages(spark, sf_dir, row, "<table><tr><th>File / Environment</th><th>Statements</th><th>Branches</th></tr>", "</table>")
@@ -204,22 +210,18 @@ def environment_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worst.select("p_brand", "file", F.col("statements.a").alias("covered"), F.col("statements.b").alias("total"), "k")
 
 
-@query(
-    """
+@query(_paged("""
     select p_brand, 'Test case ' || p_partkey as testcase, unnest(['Unit', 'Size', 'code:Script']) as key, unnest([p_name, p_size::varchar, 'run ' || p_partkey]) as value from part
-    """
-)
+    """))
 def test_case_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = _say("<h2>Test case ", "{p_partkey}", "</h2><table><tr><th>Unit</th><td>", "{p_name}", "</td></tr><tr><th>Size</th><td>", "{p_size}", "</td></tr></table><h4>Script</h4><pre>run ", "{p_partkey}", "</pre><h2>Notes</h2><table><tr><td>a</td><td>b</td></tr></table>")
     return reports.test_cases(_brand_pages(spark, sf_dir, row), ["p_brand"], "page").select("p_brand", "testcase", "key", "value")
 
 
-@query(
-    """
+@query(_paged("""
     with t as (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) as k from part)
     select p_brand, k as row, p_partkey % 2 = 0 as passed, 'T' || p_partkey as testcase from t
-    """
-)
+    """))
 def test_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the first table that has the wanted headers."""
     row = _say("<tr><td>T", "{p_partkey}", "</td><td>", F.when(F.col("p_partkey") % 2 == 0, F.lit("Pass")).otherwise(F.lit("Failed")), "</td></tr>")
@@ -228,15 +230,13 @@ def test_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_brand", "row", (text.result_class(F.element_at("cells", "STATUS")) == "pass").alias("passed"), F.element_at("cells", "TEST CASE").alias("testcase"))
 
 
-@query(
-    """
+@query(_paged("""
     with r as (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) as k, count(*) over (partition by p_brand) as n, p_size from part),
     l as (select *, sum(case when p_size % 3 = 0 then 2 when p_size % 3 = 1 then 3 else 1 end + 1 + case when k < n then 1 else 0 end) over (partition by p_brand order by p_partkey) as upto from r)
     select p_brand, k as ordinal, 'Build' as stage, upto - (case when p_size % 3 = 0 then 2 when p_size % 3 = 1 then 3 else 1 end + case when k < n then 1 else 0 end) as start_line, case when k < n then upto end as end_line,
       case when k < n then case when p_size % 3 = 0 then 2 when p_size % 3 = 1 then 3 else 1 end + 1 end as line_count, case when p_size % 3 = 1 then 1 else 0 end as errors, case when p_size % 3 = 0 then 1 else 0 end as warnings, case when k = n then 'running' when p_size % 3 = 1 then 'failure' else 'success' end as status
     from l
-    """
-)
+    """))
 def stage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log a brand, a stage of the same name for each part; the last stage is never closed."""
     body = F.when(F.col("p_size") % 3 == 0, F.lit("\nsome line\nwarning: late")).when(F.col("p_size") % 3 == 1, F.lit("\nsome line\n\nerror: broken")).otherwise(F.lit("\nsome line"))
@@ -311,14 +311,12 @@ def requirement_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requirements.blocks(lines, ["p_partkey"]).drop("block")
 
 
-@query(
-    """
+@query(_paged("""
     with p as (select *, row_number() over (partition by p_brand order by p_partkey) - 1 as section from part),
     i as (select p_brand, section, p_partkey, unnest(['input', 'input', 'input', 'input', 'expected']) as part, unnest(['g_size', 'g_list[1].x', 'helper() arg', 'stub_' || p_partkey || '() return', 'g_size']) as variable,
       unnest([p_size::varchar, p_name, 'MAX', '7', (p_size + 1)::varchar]) as value from p)
-    select p_brand, section, 'unit_' || p_brand as component, 'run' as unit, 'run.' || p_partkey as testcase, part, variable, value from i
-    """
-)
+    select p_brand, section, 'unit_' || split_part(p_brand, '/', 1) as component, 'run' as unit, 'run.' || p_partkey as testcase, part, variable, value from i
+    """))
 def case_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report a brand, a test case a part."""
     row = lambda depth, name, *value: _say(f'<tr><td class="i{depth}">', *name, "</td>\n<td>int</td>\n<td>", *value, "</td></tr>\n")
@@ -331,12 +329,10 @@ def case_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.case_items(_brand_pages(spark, sf_dir, body, "<html>Test Case Data Report"), ["p_brand"], "page").drop("place")
 
 
-@query(
-    """
+@query(_paged("""
     with p as (select *, row_number() over (partition by p_brand order by p_partkey) - 1 as section from part)
     select p_brand, section, 'run.' || p_partkey as testcase, p_size % 2 = 0 as passed, unnest(['g.a', 'g.b']) as variable, unnest([p_size::varchar, '<' || p_name || '>']) as actual, unnest([case when p_size % 2 = 0 then p_size::varchar else '3' end, '<' || p_name || '>']) as expected from p
-    """
-)
+    """))
 def result_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("p_size") % 2 == 0
     mark = F.when(even, F.lit('<td class="success-marker">ok</td>')).otherwise(F.lit('<td class="fail-marker">[3]</td>'))

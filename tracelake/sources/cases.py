@@ -11,8 +11,8 @@ from tracelake.functions.text import trimmed
 CASE_MARK = "<!-- TestcaseSectionsHeader -->"
 RESULT_MARK = "<!-- ExecutionResults/testcase_header -->"
 INPUT, EXPECTED = "<h4>Input Test Data</h4>", "<h4>Expected Test Data</h4>"
-#: Rows are of class i0 to i11 by their depth.
-DEPTHS = 12
+#: Items that a fold gathers before they become a block, so adding one copies few others.
+BLOCK = 64
 
 
 def _sections(pages: DataFrame, keys: list[str], column: str, mark: str) -> DataFrame:
@@ -25,11 +25,15 @@ def _sections(pages: DataFrame, keys: list[str], column: str, mark: str) -> Data
 
 
 def _rows(part: Column) -> Column:
-    """array(struct(depth, cells, row)) of the rows whose first cell has a depth."""
+    """array(struct(depth, at, cells, row)) of the rows whose first cell has a depth; `at` is the depth's place among those of the table."""
     found = F.regexp_extract_all(part, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
     cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), trimmed)
     read = F.transform(found, lambda r: F.struct(F.regexp_extract(r, r"class=[\"']i(\d+)", 1).try_cast("int").alias("depth"), cells(r).alias("cells"), r.alias("row")))
-    return F.filter(read, lambda r: r["depth"] < DEPTHS)
+    once = lambda array, use: F.get(F.transform(F.array(array), use), F.lit(0))
+    deep = once(read, lambda rows: F.filter(rows, lambda r: r["depth"].isNotNull()))
+    depths = lambda rows: F.array_sort(F.array_distinct(F.transform(rows, lambda r: r["depth"])))
+    placed = lambda rows, known: F.transform(rows, lambda r: F.struct(r["depth"].alias("depth"), (F.array_position(known, r["depth"]) - 1).cast("int").alias("at"), r["cells"].alias("cells"), r["row"].alias("row")))
+    return once(deep, lambda rows: once(depths(rows), lambda known: placed(rows, known)))
 
 
 def _put(names: Column, depth: Column, name: Column) -> Column:
@@ -49,13 +53,24 @@ def _bare(x: Column) -> Column:
 ITEM = "array<struct<variable:string,value:string,wanted:string>>"
 
 
-def _start() -> Column:
-    empty = F.array_repeat(F.lit(None).cast("string"), DEPTHS)
-    return F.struct(F.lit("").alias("kind"), empty.alias("own"), empty.alias("names"), F.array().cast(ITEM).alias("items"))
+def _empty(rows: Column) -> Column:
+    """No name for any depth of the rows."""
+    return F.array_repeat(F.lit(None).cast("string"), F.coalesce(F.array_max(F.transform(rows, lambda r: r["at"])) + 1, F.lit(0)))
+
+
+def _start(rows: Column) -> Column:
+    return F.struct(F.lit("").alias("kind"), _empty(rows).alias("own"), _empty(rows).alias("names"), F.array().cast(ITEM).alias("items"), F.array().cast(f"array<{ITEM}>").alias("blocks"))
+
+
+def _gathered(state: Column) -> Column:
+    return F.flatten(F.concat(state["blocks"], F.array(state["items"])))
 
 
 def _with(state: Column, kind: Column | None = None, own: Column | None = None, names: Column | None = None, items: Column | None = None) -> Column:
-    new = {"kind": kind, "own": own, "names": names, "items": items}
+    new = {"kind": kind, "own": own, "names": names, "items": items, "blocks": None}
+    if items is not None:
+        full = F.size(items) >= BLOCK
+        new |= {"items": F.when(full, F.array().cast(ITEM)).otherwise(items), "blocks": F.when(full, F.concat(state["blocks"], F.array(items))).otherwise(state["blocks"])}
     return F.struct(*[(state[c] if v is None else v).alias(c) for c, v in new.items()])
 
 
@@ -64,25 +79,29 @@ def _item(state: Column, variable: Column, value: Column, wanted: Column | None
     return F.concat(state["items"], F.when(value != "", found).otherwise(F.array().cast(ITEM)))
 
 
+def _none_of(names: Column) -> Column:
+    return F.transform(names, lambda _: F.lit(None).cast("string"))
+
+
 def _case_step(unit: Column):
     """How one row of a data table changes the state (kind of rows, names by depth, items so far)."""
-    empty = F.array_repeat(F.lit(None).cast("string"), DEPTHS)
 
     def step(a: Column, r: Column) -> Column:
-        depth, name, value = r["depth"], F.coalesce(F.get(r["cells"], F.lit(0)), F.lit("")), F.coalesce(F.get(r["cells"], F.lit(2)), F.lit(""))
+        depth, at, empty = r["depth"], r["at"], _none_of(a["names"])
+        name, value = F.coalesce(F.get(r["cells"], F.lit(0)), F.lit("")), F.coalesce(F.get(r["cells"], F.lit(2)), F.lit(""))
         behind = F.trim(F.regexp_replace(name, "^[^:]*:", ""))
         clean = F.when(value.contains("&lt;&lt;"), F.when(value.contains("malloc "), F.lit("")).otherwise(_bare(value))).otherwise(value)
         top = _with(a, kind=F.when(r["row"].contains("Stubbed Subprograms"), F.lit("stubs")).when(r["row"].contains("UUT"), F.lit("unit")).otherwise(a["kind"]), own=empty, names=empty)
         here = behind == unit
-        subprogram = _with(a, kind=F.when(here, F.lit("globals")).otherwise(F.lit("parameters")), own=F.when(here, a["own"]).otherwise(_put(a["own"], depth, behind)))
+        subprogram = _with(a, kind=F.when(here, F.lit("globals")).otherwise(F.lit("parameters")), own=F.when(here, a["own"]).otherwise(_put(a["own"], at, behind)))
         second = F.when(r["row"].contains("Globals"), _with(a, kind=F.lit("globals"))).when(r["row"].contains("Subprogram"), subprogram).otherwise(a)
-        own = _put(a["own"], depth, name)
-        names = _put(F.when(depth == 2, empty).otherwise(a["names"]), depth, _bare(name))
-        stubs = _put(a["names"], depth, F.when(depth == 2, behind).otherwise(name))
+        own = _put(a["own"], at, name)
+        names = _put(F.when(depth == 2, empty).otherwise(a["names"]), at, _bare(name))
+        stubs = _put(a["names"], at, F.when(depth == 2, behind).otherwise(name))
         deep = (
-            F.when(a["kind"] == "parameters", _with(a, own=own, items=_item(a, _path(own, depth, "() "), clean)))
-            .when(a["kind"] == "globals", _with(a, names=names, items=_item(a, _path(names, depth, "."), clean)))
-            .when(a["kind"] == "stubs", _with(a, names=stubs, items=_item(a, _path(stubs, depth, "() "), value)))
+            F.when(a["kind"] == "parameters", _with(a, own=own, items=_item(a, _path(own, at, "() "), clean)))
+            .when(a["kind"] == "globals", _with(a, names=names, items=_item(a, _path(names, at, "."), clean)))
+            .when(a["kind"] == "stubs", _with(a, names=stubs, items=_item(a, _path(stubs, at, "() "), value)))
             .otherwise(a)
         )
         return F.when(depth == 0, top).when(depth == 1, second).otherwise(deep)
@@ -108,23 +127,23 @@ def case_items(pages: DataFrame, keys: list[str], column: str) -> DataFrame:
     cut = lambda head: F.regexp_extract(F.substring_index("part", head, -1), r"(?is)^(.*?)</table>", 1)
     half = lambda head: F.when(F.col("part").contains(head) & ~F.substring(F.substring_index("part", head, -1), 1, 60).contains("This test has no"), cut(head))
     parts = each.select(*keys, "section", "component", "unit", "testcase", F.explode(F.create_map(F.lit("input"), half(INPUT), F.lit("expected"), half(EXPECTED))).alias("part", "table"))
-    read = parts.filter("table is not null").withColumn("items", F.aggregate(_rows(F.col("table")), _start(), _case_step(F.col("unit")), lambda a: a["items"]))
+    read = parts.filter("table is not null").withColumn("rows", _rows(F.col("table"))).withColumn("items", F.aggregate("rows", _start(F.col("rows")), _case_step(F.col("unit")), _gathered))
     items = read.select(*keys, "section", "component", "unit", "testcase", "part", F.posexplode("items").alias("place", "i")).select("*", "i.*").drop("i")
     return _last_values(items, keys).drop("wanted")
 
 
 def _result_step(a: Column, r: Column) -> Column:
-    empty = F.array_repeat(F.lit(None).cast("string"), DEPTHS)
+    empty = _none_of(a["names"])
     shown = lambda k: F.replace(F.replace(F.coalesce(F.get(r["cells"], F.lit(k)), F.lit("")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
-    names = _put(a["names"], r["depth"], shown(0))
+    names = _put(a["names"], r["at"], shown(0))
     wanted = F.when(r["row"].contains("success-marker"), shown(2)).when(r["row"].contains("fail-marker"), F.trim(F.translate(F.coalesce(F.get(r["cells"], F.lit(3)), F.lit("")), "[]", "")))
-    found = F.when(wanted.isNotNull(), F.array(F.struct(_path(names, r["depth"], ".").alias("variable"), shown(2).alias("value"), wanted.alias("wanted")))).otherwise(F.array().cast(ITEM))
+    found = F.when(wanted.isNotNull(), F.array(F.struct(_path(names, r["at"], ".").alias("variable"), shown(2).alias("value"), wanted.alias("wanted")))).otherwise(F.array().cast(ITEM))
     return F.when(shown(0).contains(":"), _with(a, names=empty)).otherwise(_with(a, names=names, items=F.concat(a["items"], found)))
 
 
 def result_items(pages: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Actual and expected values of execution result reports: keys, section, component, unit, testcase, passed, variable, place, actual, expected."""
     each = _sections(pages, keys, column, RESULT_MARK).withColumn("passed", F.col("part").rlike(r"</a>Execution Results[^\n]*\(PASS\)"))
-    read = each.withColumn("items", F.aggregate(_rows(F.col("part")), _start(), _result_step, lambda a: a["items"]))
+    read = each.withColumn("rows", _rows(F.col("part"))).withColumn("items", F.aggregate("rows", _start(F.col("rows")), _result_step, _gathered))
     items = read.select(*keys, "section", "component", "unit", "testcase", F.col("passed").alias("part"), F.posexplode("items").alias("place", "i")).select("*", "i.*").drop("i")
     return _last_values(items, keys).withColumnsRenamed({"part": "passed", "value": "actual", "wanted": "expected"})
