@@ -111,9 +111,11 @@ def hybrid_search(entries: DataFrame, key: str, texts: list[str], vector: str, q
     return fused_ranks(lists, key, top=top)
 
 
-def boosted(hits: DataFrame, role: str | None = None, stage: str | None = None, ids: list[str] | None = None, texts: list[str] | None = None, recency: tuple[Column, float, float] | None = None) -> DataFrame:
-    """Adds to the score: 0.15 for the role, 0.1 for the stage, 0.4 for a requirement id in the texts, and
-    up to `recency[2]` for entries younger than `recency[1]` days before `recency[0]`."""
+def boosted(hits: DataFrame, role: str | None = None, stage: str | None = None, ids: list[str] | None = None, texts: list[str] | None = None, recency: tuple[Column, float, float] | None = None, project: tuple[str, float] | None = None, applied: float = 0.0, errors: float = 0.0, exact: float = 0.4) -> DataFrame:
+    """Adds to the score: 0.15 for the role, 0.1 for the stage, `exact` for a requirement id in the texts,
+    up to `recency[2]` for entries younger than `recency[1]` days before `recency[0]`, `project[1]` where
+    the entry's project_root stands in the query `project[0]`, and `applied` and `errors` for each time
+    that an entry was applied (apply_count) and failed (error_count)."""
     score = F.col("score")
     if role:
         score = score + F.when(F.col("role") == role, 0.15).otherwise(0.0)
@@ -125,7 +127,13 @@ def boosted(hits: DataFrame, role: str | None = None, stage: str | None = None,
         score = score + F.when(age < days, boost * (1 - age / days)).otherwise(0.0)
     if ids and texts:
         body = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in texts])
-        score = score + F.when(reduce(lambda a, b: a | b, [body.contains(i) for i in ids]), 0.4).otherwise(0.0)
+        score = score + F.when(reduce(lambda a, b: a | b, [body.contains(i) for i in ids]), exact).otherwise(0.0)
+    if project and project[1] > 0:
+        root = F.coalesce(F.col("project_root").cast("string"), F.lit(""))
+        score = score + F.when((root != "") & F.lit(project[0]).contains(root), project[1]).otherwise(0.0)
+    for column, boost in (("apply_count", applied), ("error_count", errors)):
+        if boost > 0:
+            score = score + boost * F.coalesce(F.col(column).cast("double"), F.lit(0.0))
     return hits.withColumn("score", score)
 
 

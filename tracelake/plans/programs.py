@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators import branches, changelog, graph, ranges
+from tracelake.operators import branches, changelog, graph, ranges, search, units
 from tracelake.plans.registry import query, table
 from tracelake.sources import code, flow
 from tracelake.streaming import jobs
@@ -292,3 +292,82 @@ def read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and signups set a user's entry for a day; every other event reads it."""
     events, sets = table(spark, sf_dir, "events").withColumn("key", F.col("user_id")), F.col("event_type").isin("signup", "click")
     return jobs.read_through(events.filter(~sets).select("key", "ts", "event_id"), events.filter(sets).select("key", "ts", "value"), 86_400)
+
+
+@query(
+    """
+    with p as (select p_partkey as k, p_partkey % 12 as j, p_partkey % 7 as o, p_partkey // 12 % 40 as f, p_size % 3 as d, p_partkey % 2 = 0 as is_global from part),
+    e as (select 'u' || f as function, k as ordinal, d = 2 as indirect,
+        case j when 0 then 'u8g_In' || o when 1 then 'u16s_Out' || o when 2 then 'REG_P' || o when 3 then 'g_State' || o when 4 then 'plain' || o when 5 then 'other' || o when 6 then 'tagged' || o when 9 then 'r_x' || o else null end as name, j, is_global from p),
+    r as (select *, case when j = 5 then true when j = 6 then false when j = 1 then false when j in (0, 2, 3, 9) then not indirect else is_global and not indirect end as reads,
+      case when j = 5 then false when j = 6 then true when j = 1 then true when j = 0 then false when j in (2, 3, 9) then true else not is_global end as writes from e where name is not null)
+    select function, name, min(ordinal)::int as ordinal, bool_or(reads) as reads, bool_or(writes) as writes, bool_or(indirect) as indirect from r group by 1, 2
+    """
+)
+def variable_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles by tags, prefixes, registers and kinds; temporaries, types and short names are left out."""
+    k, o = F.col("p_partkey"), (F.col("p_partkey") % 7).cast("string")
+    name = F.element_at(F.array(*[F.concat(F.lit(p), o) for p in ("u8g_In", "u16s_Out", "REG_P", "g_State", "plain", "other", "tagged", "tmp_x", "U8; ", "r_x", "9lives", "ab")]), (k % 12 + 1).cast("int"))
+    name = F.when(k % 12 == 8, F.lit("const U8")).when(k % 12 == 11, F.lit("ab")).otherwise(name)
+    tag = F.concat(F.when(F.col("p_size") % 3 == 2, "[INDIRECT] ").otherwise(""), F.when(k % 12 == 5, "[IN] ").when(k % 12 == 6, "[OUT] ").otherwise(""), F.lit("U8 *"))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("u"), (F.floor(k / 12) % 40).cast("string")).alias("function"), k.cast("int").alias("ordinal"), F.when(k % 2 == 0, "global").otherwise("static").alias("kind"), F.concat(tag, name, F.lit(";")).alias("entry"))
+    return units.variable_roles(rows)
+
+
+@query(
+    """
+    with p as (select p_partkey as f, p_size % 4 as n_in, p_size % 3 as n_glob, case when p_partkey % 2 = 0 then 'uint8' else 'int16' end as kind from part),
+    b as (select *, case kind when 'uint8' then [-1, 0, 63, 127, 191, 255, 256] else [-32769, -32768, -16384, 0, 16383, 32767, 32768] end::double[] as v from p),
+    fed as (select * from b where n_in > 0),
+    c as (select f, n_in, n_glob, v, k + 1 as num, 'b' as part, k as t from fed, range(7) r(k)
+      union all select f, n_in, n_glob, v, 8 + t, 'c', t from fed, range(3) r(t) where n_in >= 2 and t < n_in
+      union all select f, n_in, n_glob, v, 8 + case when n_in >= 2 then n_in else 0 end + t, 'e', t from fed, range(2) r(t)
+      union all select f, n_in, n_glob, v, 10 + case when n_in >= 2 then n_in else 0 end + t, 'g', t from fed, range(2) r(t) where t < n_glob),
+    d as (select *, case part when 'b' then (t + 1)::varchar when 'c' then 'COND_' || (t + 1) || ' [in' || t || '=' || case when t % 2 = 0 then '최솟값' else '최댓값' end || ']' when 'e' then 'ERR_PROP_' || (t + 1) || ' [' || case when t = 0 then '하한 초과' else '상한 초과' end || ']' else 'GLOBAL_' || (t + 1) || ' [glob' || t || '=min]' end as label,
+      case part when 'b' then ['bench', 'car'][t % 2 + 1] when 'c' then '조건 조합: in' || t || '=' || case when t % 2 = 0 then '최솟값' else '최댓값' end || ', 나머지=중간값' when 'e' then '에러 전파: 입력 ' || case when t = 0 then '하한 초과' else '상한 초과' end || ' → 콜체인 방어 처리 확인' else '글로벌 상태: glob' || t || '=최솟값, 입력=중간값 → 상태 의존 분기 커버' end as pre from c where num <= 12),
+    i as (select f, num, label, pre, 'input' as side, 'in' || o as name, case part when 'b' then v[t + 1] when 'c' then case when o <> t then v[4] when t % 2 = 0 then v[2] else v[6] end when 'e' then case when t = 0 then v[1] else v[7] end else v[4] end as value from d, range(3) r(o) where o < n_in
+      union all select f, num, label, pre, 'expected', 'out', case part when 'b' then case t when 0 then v[2] when 6 then v[4] else v[t + 1] end when 'e' then case when t = 0 then v[2] else v[6] end else v[4] end from d
+      union all select f, num, label, pre, unnest(['input', 'expected']), 'glob' || t, v[2] from d where part = 'g')
+    select f::bigint as flow, num::int as case_num, label as case_label, pre as precondition, side, name, value::varchar as value from i
+    union all
+    select f, k + 1, (k + 1)::varchar, ['bench', 'car'][k % 2 + 1], unnest(['input', 'expected']), unnest(['Scenario', 'out']), unnest([['Normal operation', 'Boundary condition', 'Error / fault injection', 'Post-initialization state', 'Concurrent invocation', 'Recovery sequence', 'Stress / extended run'][k + 1], 'N/A']) from b, range(7) r(k) where n_in = 0
+    """
+)
+def integration_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sub-cases of flows with none to three inputs and none to two globals, twelve a flow at most."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("flow"), (F.col("p_size") % 4).alias("n_in"), (F.col("p_size") % 3).alias("n_glob"), F.when(F.col("p_partkey") % 2 == 0, "uint8").otherwise("int16").alias("kind"))
+    side = lambda s, n, name: part.filter(n > 0).select("flow", F.lit(s).alias("side"), F.explode(F.sequence(F.lit(0), n - 1)).alias("ordinal"), "kind").select("flow", "side", "ordinal", F.concat(F.lit(name), F.col("ordinal").cast("string")).alias("name"), "kind")
+    out = part.select("flow", F.lit("expected").alias("side"), F.lit(0).alias("ordinal"), F.lit("out").alias("name"), "kind")
+    variables = side("input", F.col("n_in"), "in").unionByName(side("global", F.col("n_glob"), "glob")).unionByName(out)
+    return units.integration_cases(part, variables, 12, ["bench", "car"])
+
+
+@query(
+    """
+    with c as (select l_suppkey as unit, l_linenumber % 5 = 0 or l_partkey % 3 = 0 as no_title, l_quantity < 26 as no_step, l_partkey % 2 as seqs, l_suppkey % 4 = 0 and l_linenumber = 1 or l_suppkey % 4 = 1 as linked from lineitem),
+    g as (select unit, count(*) as total, count(*) filter (no_title) as nt, count(*) filter (no_step) as ns, sum(seqs) as seqs, count(*) filter (linked) as nl from c group by 1)
+    select unit, 'issue' as level, 'title' as check, nt as n, total from g where nt > total * 0.3
+    union all select unit, 'warning', 'step', ns, total from g where ns > total * 0.5
+    union all select unit, 'issue', 'cases range', total, total from g where total < 580 or total > 620
+    union all select unit, 'issue', 'seqs range', seqs, total from g where seqs < 290 or seqs > 320
+    union all select unit, 'warning', 'linked', 0, total from g where nl = 0
+    """
+)
+def case_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as cases of their suppliers: titles, steps, numbers and links that they lack."""
+    s, n = F.col("l_suppkey"), F.col("l_linenumber")
+    cases = table(spark, sf_dir, "lineitem").select(s.alias("unit"), ((n % 5 == 0) | (F.col("l_partkey") % 3 == 0)).alias("no_title"), (F.col("l_quantity") < 26).alias("no_step"), (F.col("l_partkey") % 2).alias("seqs"), (((s % 4 == 0) & (n == 1)) | (s % 4 == 1)).alias("linked"))
+    return units.case_checks(cases, ["unit"], {"title": (F.col("no_title"), 0.3, "issue"), "step": (F.col("no_step"), 0.5, "warning")}, {"cases": (580, 620), "seqs": (290, 320)})
+
+
+@query(
+    """
+    select doc_id, round(n_chars / 1000.0 + case when lang = 'en' then 0.15 else 0 end + case when source = 'src1' then 0.1 else 0 end + case when contains(coalesce(text, '') || ' ' || coalesce(source, ''), 'src7') then 0.25 else 0 end
+      + case when source in ('src3', 'src1', 'src11') then 0.3 else 0 end + 0.02 * (doc_id % 5) + 0.01 * coalesce(nullif(doc_id % 3, 0), 0), 9) as score from documents
+    """
+)
+def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores raised for role, stage, ids, project, applications and errors."""
+    hits = table(spark, sf_dir, "documents").select("doc_id", "text", "source", (F.col("n_chars") / 1000.0).alias("score"), F.col("lang").alias("role"), F.col("source").alias("stage"), F.col("source").alias("project_root"), (F.col("doc_id") % 5).alias("apply_count"), F.nullif(F.col("doc_id") % 3, F.lit(0)).alias("error_count"))
+    out = search.boosted(hits, "en", "src1", ["src7"], ["text", "source"], project=("builds of src3 and src11", 0.3), applied=0.02, errors=0.01, exact=0.25)
+    return out.select("doc_id", F.round("score", 9).alias("score"))
