@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import branches, changelog, graph, ranges, search, units
 from tracelake.plans.registry import query, table
-from tracelake.sources import code, flow
+from tracelake.sources import code, flow, pdf
 from tracelake.streaming import jobs
 
 #: Bodies of orders: `deep` conditions inside one another (a guard's name where 3 divides the key), an else at the
@@ -371,3 +371,21 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "documents").select("doc_id", "text", "source", (F.col("n_chars") / 1000.0).alias("score"), F.col("lang").alias("role"), F.col("source").alias("stage"), F.col("source").alias("project_root"), (F.col("doc_id") % 5).alias("apply_count"), F.nullif(F.col("doc_id") % 3, F.lit(0)).alias("error_count"))
     out = search.boosted(hits, "en", "src1", ["src7"], ["text", "source"], project=("builds of src3 and src11", 0.3), applied=0.02, errors=0.01, exact=0.25)
     return out.select("doc_id", F.round("score", 9).alias("score"))
+
+
+@query(
+    """
+    with p as (select p_partkey as k, p_name, p_type, p_size, unnest(case when p_partkey % 10 = 0 then [0] else [1, 2] end) as page from part)
+    select k::varchar as path, case when page > 0 then page end as page, case page when 1 then p_name || chr(10) || 'Size (' || p_size || ')' when 2 then p_type || ' of ' || k end as text, case when page = 0 then case when k % 20 = 0 then 'no PDF header' else 'encrypted' end end as error from p
+    """
+)
+def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two pages that are written from parts; a tenth is no PDF or encrypted."""
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    k = F.col("p_partkey")
+    text = say(
+        F.when(k % 20 == 0, "%PS-1.4\n").otherwise("%PDF-1.4\n"), "1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [5 0 R 3 0 R] /Count 2 >> endobj\n3 0 obj << /Type /Page /Contents 4 0 R >> endobj\n",
+        "4 0 obj << /Length 0 >>\nstream\nBT /F1 9 Tf [(", F.col("p_type"), ")-400(of)] TJ ( ", k.cast("string"), ") Tj ET\nendstream\nendobj\n5 0 obj << /Type /Page /Contents [6 0 R] >> endobj\n6 0 obj << /Length 0 >>\nstream\nBT (", F.col("p_name"), ") Tj 0 -12 Td (Size \\(",
+        F.col("p_size").cast("string"), "\\)) Tj ET\nendstream\nendobj\ntrailer << /Root 1 0 R ", F.when(k % 20 == 10, "/Encrypt 7 0 R").otherwise(""), " >>",
+    )
+    return pdf.pages(table(spark, sf_dir, "part").select(k.cast("string").alias("path"), text.cast("binary").alias("content")))
