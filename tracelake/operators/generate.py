@@ -83,6 +83,40 @@ def boundary_rows(variables: DataFrame) -> DataFrame:
     return rows.select("unit", (F.col("k") + 1).alias("seq"), "strategy", "name", F.when(F.col("strategy") == "MIXED", mixed).otherwise(F.get("b", F.col("k"))).alias("value"))
 
 
+#: Runs of units without inputs and outputs, and what they say; {} takes the unit, then the calls or the guard.
+VOID_RUNS = {
+    "NORMAL_CALL": ("{}() 정상 호출:", " 하위 함수 [{}] 순차 호출 확인", " 예외 없이 완료되며 호출 후 상태 이상 없음"),
+    "ERROR_PATH": ("{}() 에러 경로: ", "조건 [{}] 위반 상태에서 호출, 에러 처리 루틴 진입 또는 안전 상태 유지 확인", "의존 모듈/전역 변수 비정상 상태에서 호출, 에러 처리 루틴 진입 또는 안전 상태 유지 확인"),
+    "REPEAT_CALL": ("{}() 반복 호출 안정성: 100회 연속 호출 후 메모리 누수 없음, 시스템 상태 일관성 유지", "", ""),
+    "RETURN_CHECK": ("{}() 반환값 검증: 반환값이 정의된 범위 내 유효한 값임을 확인", "", ""),
+}
+
+
+def void_rows(units: DataFrame, indirect: DataFrame, most: int = 4) -> DataFrame:
+    """Runs of units (unit, returns, calls, guard) that have neither inputs nor outputs: unit, seq, strategy, description, name, value, expected.
+
+    A normal call, one on the error path (beyond the guard where there is one), a repeated one, and where
+    something is returned a check of that. The first `most` variables that callees reach (unit, ordinal,
+    name) are set to the middle for the normal call, and over their largest value, which they are held at,
+    for the error path; other runs, and units without such variables, have a row with a null name.
+    """
+    say = lambda text, value: F.concat(F.lit(text.partition("{}")[0]), value, F.lit(text.partition("{}")[2]))
+    calls = F.coalesce("calls", F.array().cast("array<string>"))
+    named = F.concat(F.array_join(F.transform(F.slice(calls, 1, 5), lambda c: F.concat(c, F.lit("()"))), ", "), F.when(F.size(calls) > 5, F.concat(F.lit(" 외 "), (F.size(calls) - 5).cast("string"), F.lit("개"))).otherwise(""))
+    guard = F.when(F.col("guard").rlike("[<>]|==|!=|NULL|null"), F.substring("guard", 1, 80))
+    more = {"NORMAL_CALL": (F.size(calls) > 0, named), "ERROR_PATH": (guard.isNotNull(), guard)}
+    runs = []
+    for i, (strategy, (start, some, none)) in enumerate(VOID_RUNS.items()):
+        held, value = more.get(strategy, (F.lit(False), F.lit("")))
+        runs.append(F.struct(F.lit(i + 1).alias("seq"), F.lit(strategy).alias("strategy"), F.concat(say(start, F.col("unit")), F.when(held, say(some, value)).otherwise(F.lit(none))).alias("description")))
+    kept = F.when(F.lower(F.trim("returns")).rlike("void") | (F.trim("returns") == ""), F.array(*runs[:3])).otherwise(F.array(*runs))
+    each = units.select("unit", F.inline(kept))
+    bounds = indirect.filter(F.col("ordinal") < most).select("unit", "name", unit_bounds("name", variable_type("name")).alias("b"))
+    both = F.array(*[F.struct(F.lit(s).alias("strategy"), F.get("b", F.lit(v)).alias("value"), F.get("b", F.lit(e)).alias("expected")) for s, v, e in (("NORMAL_CALL", 2, 2), ("ERROR_PATH", 4, 3))])
+    values = bounds.select("unit", "name", F.inline(both))
+    return each.join(values, ["unit", "strategy"], "left").select("unit", "seq", "strategy", "description", "name", "value", "expected")
+
+
 def condition_rows(variables: DataFrame, most: int = 4) -> DataFrame:
     """One row set for each of the first `most` inputs at its least value, the others at the middle: unit, strategy, name, value."""
     bounds = unit_bounds("name", variable_type("name"))

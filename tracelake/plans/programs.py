@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators import branches, changelog, graph, ranges, search, units
+from tracelake.functions import descriptions
+from tracelake.operators import branches, changelog, generate, graph, ranges, search, units
 from tracelake.plans.registry import query, table
 from tracelake.sources import code, flow, pdf
 from tracelake.streaming import jobs
@@ -389,3 +390,64 @@ def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size").cast("string"), "\\)) Tj ET\nendstream\nendobj\ntrailer << /Root 1 0 R ", F.when(k % 20 == 10, "/Encrypt 7 0 R").otherwise(""), " >>",
     )
     return pdf.pages(table(spark, sf_dir, "part").select(k.cast("string").alias("path"), text.cast("binary").alias("content")))
+
+
+@query(
+    """
+    with p as (select p_partkey as k, ['s_DiagCheck', 'g_u8_Motor_Init', 'ReadSpeedValue', 'plain_thing', 'SetOutputPin', 'X_TimerTick'][p_partkey % 6 + 1] as name, case when p_size % 3 = 0 then [] when p_size % 3 = 1 then ['f' || p_size] else ['a', ' ', 'b', 'c', 'd', 'e', 'f'] end as calls, p_size from part)
+    select k, name || ': ' || ['Diag Check', 'u8 Motor Init', 'Read Speed Value', 'plain thing', 'Set Output Pin', 'X Timer Tick'][k % 6 + 1] || ' 모듈에서 '
+        || ['상태를 점검하고 진단 결과를 갱신한다', '초기화 절차를 수행하고 기본 파라미터를 설정한다', '요청된 데이터를 읽어 반환한다', '소프트웨어 유닛의 지정된 동작을 수행한다', '지정된 값을 대상 레지스터 또는 메모리에 기록한다', '주기적 타이머 이벤트를 처리한다'][k % 6 + 1] || '.'
+        || case p_size % 3 when 0 then '' when 1 then ' 주요 호출 대상: f' || p_size || '.' else ' 주요 호출 대상: a, b, c, d, e.' end as description,
+      case p_size % 4 when 0 then 'if (!sys_ready)' when 1 then 'if (p == NULL); if (mode != 0x' || k || ')' when 2 then 'assert(p_size > ' || p_size || ')' else case when k % 6 = 1 then 'N/A (initialization function)' else '' end end as precondition from p
+    """
+)
+def function_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions from names and calls, and preconditions from bodies."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.element_at(F.array(*[F.lit(n) for n in ("s_DiagCheck", "g_u8_Motor_Init", "ReadSpeedValue", "plain_thing", "SetOutputPin", "X_TimerTick")]), (k % 6 + 1).cast("int"))
+    calls = F.when(size % 3 == 0, F.array().cast("array<string>")).when(size % 3 == 1, F.array(F.concat(F.lit("f"), size.cast("string")))).otherwise(F.array(*[F.lit(c) for c in ("a", " ", "b", "c", "d", "e", "f")]))
+    body = F.when(size % 4 == 0, F.lit("if (!sys_ready) { return; }")).when(size % 4 == 1, F.concat(F.lit("if (p == NULL) return; if (mode != 0x"), k.cast("string"), F.lit(") { x = 1; }"))).when(size % 4 == 2, F.concat(F.lit("assert(p_size > "), size.cast("string"), F.lit("); go();"))).otherwise(F.lit("x = y;"))
+    return table(spark, sf_dir, "part").select(k.alias("k"), descriptions.described(name, calls).alias("description"), descriptions.precondition(body, name).alias("precondition"))
+
+
+@query(
+    """
+    with u as (select s_suppkey as k, 'u' || s_suppkey as unit, case when s_suppkey % 3 = 0 then [] when s_suppkey % 3 = 1 then ['a', 'b'] else ['a', 'b', 'c', 'd', 'e', 'f', 'g'] end as calls, s_suppkey % 4 as g, s_suppkey % 2 = 0 as is_void, s_suppkey % 5 as n from supplier),
+    r as (select *, unnest([1, 2, 3, 4]) as seq from u),
+    d as (select k, unit, n, seq, ['NORMAL_CALL', 'ERROR_PATH', 'REPEAT_CALL', 'RETURN_CHECK'][seq] as strategy,
+        case seq when 1 then unit || '() 정상 호출:' || case len(calls) when 0 then ' 예외 없이 완료되며 호출 후 상태 이상 없음' when 2 then ' 하위 함수 [a(), b()] 순차 호출 확인' else ' 하위 함수 [a(), b(), c(), d(), e() 외 2개] 순차 호출 확인' end
+          when 2 then unit || '() 에러 경로: ' || case when g = 0 then '조건 [x > ' || k || '] 위반 상태에서 호출, ' else '의존 모듈/전역 변수 비정상 상태에서 호출, ' end || '에러 처리 루틴 진입 또는 안전 상태 유지 확인'
+          when 3 then unit || '() 반복 호출 안정성: 100회 연속 호출 후 메모리 누수 없음, 시스템 상태 일관성 유지' else unit || '() 반환값 검증: 반환값이 정의된 범위 내 유효한 값임을 확인' end as description from r where seq < 4 or not is_void)
+    select unit, seq::int as seq, strategy, description, null as name, null as value, null as expected from d where seq > 2 or n = 0
+    union all
+    select unit, seq::int, strategy, description, 'u16g_V' || o, (case seq when 1 then 32767 else 65536 end)::double, (case seq when 1 then 32767 else 65535 end)::double from d, range(4) r(o) where seq <= 2 and o < n
+    """
+)
+def void_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of units without inputs and outputs, with none to four variables that their callees reach."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").withColumn("unit", F.concat(F.lit("u"), k.cast("string")))
+    letters = lambda x: F.array(*[F.lit(c) for c in x]).cast("array<string>")
+    calls = F.when(k % 3 == 0, letters("")).when(k % 3 == 1, letters("ab")).otherwise(letters("abcdefg"))
+    guard = F.when(k % 4 == 0, F.concat(F.lit("x > "), k.cast("string"))).when(k % 4 == 1, F.lit("ready"))
+    rows = s.select("unit", F.when(k % 2 == 0, "void").otherwise("static U8").alias("returns"), calls.alias("calls"), guard.alias("guard"))
+    far = s.select("unit", F.explode(F.sequence(F.lit(0), (k % 5).cast("int"))).alias("ordinal"), (k % 5).alias("n")).filter("ordinal < n").select("unit", "ordinal", F.concat(F.lit("u16g_V"), F.col("ordinal").cast("string")).alias("name"))
+    return generate.void_rows(rows, far)
+
+
+@query(
+    """
+    with p as (select p_partkey as k, p_size as s, p_partkey % 3 as level, p_partkey % 2 = 0 as fast from part)
+    select k::varchar as path, case when level > 1 then 'deep' when level = 1 and s > 20 then 'mid' else 'flat' end as kept, case when fast then 1 else 0 end as fast, case when s >= 10 and not fast then 'slow_big' else 'rest' end as mode, case when s % 2 = 1 then 1 else 0 end as nested from p
+    """
+)
+def conditioned_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which branches of conditional compilation stay, by definitions in the text."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit("#define SIZE "), size, F.lit("\n#define LEVEL ("), (F.col("p_partkey") % 3).cast("string"), F.lit(")\n"), F.when(F.col("p_partkey") % 2 == 0, F.lit("#define FAST\n")).otherwise(""),
+        F.lit("#if LEVEL > 1\nint deep;\n#elif LEVEL == 1 && SIZE > 20\nint mid;\n#else\nint flat;\n#endif\n#ifdef FAST\nint fast;\n#ifndef FAST\nint never;\n#else\n#undef FAST\n#endif\n#else\n#define WAS_SLOW 1\n#endif\n#if SIZE >= 10 && \\\n  defined(WAS_SLOW)\nint slow_big;\n#endif\n#if 1\n#if SIZE % 2\nint nested;\n#endif\n#endif\n"),
+    )
+    kept = code.conditioned(table(spark, sf_dir, "part").select(k.alias("path"), text.alias("text")))
+    has = lambda name: F.col("text").rlike(rf"(?m)^int {name};$")
+    return kept.select("path", F.when(has("never"), "never").when(has("deep"), "deep").when(has("mid"), "mid").when(has("flat"), "flat").alias("kept"), has("fast").cast("int").alias("fast"), F.when(has("slow_big"), "slow_big").otherwise("rest").alias("mode"), has("nested").cast("int").alias("nested"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.expressions import evaluated
+from tracelake.functions.expressions import NAME, evaluated, value_of
 from tracelake.functions.text import call_names, without_comments, without_comments_and_strings
 from tracelake.operators.graph import checkpointed
 from tracelake.sources.flow import top_level_parts
@@ -65,6 +65,60 @@ def functions(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInArrow(_define, "path string, ordinal int, name string, returns string, parameters string, body string, is_static boolean")
 
 
+DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(ifdef|ifndef|if|elif|else|endif|define|undef)\b[ \t]*(.*?)[ \t]*$")
+
+
+def _holds(text: str, known: dict[str, str]) -> bool:
+    """Whether an #if expression is true; `defined` and names are put in to a fixpoint, what stays unknown is 0."""
+    text = re.sub(r"\bdefined\s*(?:\(\s*(\w+)\s*\)|(\w+))", lambda m: str(int((m[1] or m[2]) in known)), re.sub(r"/\*.*?\*/|//.*", " ", text))
+    for _ in range(len(known) + 1):
+        put = NAME.sub(lambda m: f"({known[m[0]] or 0})" if m[0] in known else "0", text)
+        if put == text or len(put) > 10_000:
+            break
+        text = put
+    return bool(value_of(NAME.sub("0", text)) or 0)
+
+
+def _conditioned(text: str, defines: dict[str, str]) -> str:
+    """The lines that the preprocessor keeps; those it leaves out, and its directives, become empty lines."""
+    known, stack, out = dict(defines), [], []  # stack: (this branch is kept, one was kept before, the outer one is kept)
+    for line in re.sub(r"\\\n", " ", text).split("\n"):
+        m, live = DIRECTIVE.match(line), all(s[0] for s in stack)
+        word, rest = (m[1], m[2]) if m else ("", "")
+        if word in ("if", "ifdef", "ifndef"):
+            name = rest.split(" ")[0].split("(")[0]
+            kept = live and (_holds(rest, known) if word == "if" else (name in known) == (word == "ifdef"))
+            stack.append([kept, kept])
+        elif word in ("elif", "else") and stack:
+            outer = all(s[0] for s in stack[:-1])
+            kept = outer and not stack[-1][1] and (word == "else" or _holds(rest, known))
+            stack[-1] = [kept, stack[-1][1] or kept]
+        elif word == "endif" and stack:
+            stack.pop()
+        elif live and word == "define" and (d := re.match(r"(\w+)(?!\()\s*(.*)$", rest)):
+            known[d[1]] = d[2]
+        elif live and word == "undef":
+            known.pop(rest.strip(), None)
+        out.append(line if live and (m is None or word == "define") else "")
+    return "\n".join(out)
+
+
+def conditioned(files: DataFrame, defines: dict[str, str] | None = None) -> DataFrame:
+    """path, text of files with the branches of conditional compilation that the given and their own definitions leave.
+
+    Conditions are whole-number expressions with `defined`; unknown names count as 0, as in C. Lines keep
+    their places. Includes are not followed, so what a header defines has to be given.
+    """
+    given = dict(defines or {})
+
+    def run(batches):
+        for batch in batches:
+            texts = [None if t is None else _conditioned(t, given) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string())], names=["path", "text"])
+
+    return files.select("path", "text").mapInArrow(run, "path string, text string")
+
+
 def first_definitions(found: DataFrame) -> DataFrame:
     """Of each name the first definition by path and place, and how many there are."""
     best = found.groupBy("name").agg(F.min_by(F.struct("path", "ordinal", "returns", "parameters", "body", "is_static"), F.struct("path", "ordinal")).alias("b"), F.count(F.lit(1)).alias("definitions"))
