@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import descriptions
-from tracelake.operators import branches, changelog, generate, graph, ranges, search, units
+from tracelake.operators import branches, changelog, designs, generate, graph, ranges, search, units
 from tracelake.plans.registry import query, table
 from tracelake.sources import code, flow, pdf
 from tracelake.streaming import jobs
@@ -451,3 +451,65 @@ def conditioned_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = code.conditioned(table(spark, sf_dir, "part").select(k.alias("path"), text.alias("text")))
     has = lambda name: F.col("text").rlike(rf"(?m)^int {name};$")
     return kept.select("path", F.when(has("never"), "never").when(has("deep"), "deep").when(has("mid"), "mid").when(has("flat"), "flat").alias("kept"), has("fast").cast("int").alias("fast"), F.when(has("slow_big"), "slow_big").otherwise("rest").alias("mode"), has("nested").cast("int").alias("nested"))
+
+
+@query(
+    """
+    with p as (select 'f' || p_partkey as function, ['SIGNATURE', 'BODY', 'NEW', 'DELETE', 'VARIABLE', 'HEADER', 'OTHER'][p_size % 7 + 1] as change_type, p_size % 7 + 1 as i from part),
+    d as (select function, change_type, 'uds' as document, ['함수 인터페이스 변경 → UDS 입출력/프로토타입 섹션 업데이트 필요', '로직 변경 → UDS 설명/로직 다이어그램 업데이트 필요', '신규 함수 → UDS 신규 섹션 생성 필요', '삭제된 함수 → UDS 해당 섹션 제거 필요', '변수 변경 → UDS 글로벌/로컬 변수 목록 업데이트', '헤더 변경 → UDS 인터페이스/의존성 정보 확인'][i] as felt from p
+      union all select function, change_type, 'sds', ['아키텍처 인터페이스 변경 → SDS 모듈 인터페이스 업데이트', '로직 변경 → SDS 설계 설명 업데이트 필요', '신규 컴포넌트 → SDS 설계 추가', '컴포넌트 삭제 → SDS 설계 제거', '변수 변경 → SDS 데이터 흐름/인터페이스 업데이트'][i] from p)
+    select document, function, change_type, '[' || function || '] ' || change_type || ' → ' || felt as impact from d where felt is not null
+    """
+)
+def document_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.lit(x) for x in ("SIGNATURE", "BODY", "NEW", "DELETE", "VARIABLE", "HEADER", "OTHER")])
+    changes = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("function"), F.element_at(kinds, F.col("p_size") % 7 + 1).alias("change_type"))
+    return designs.document_impacts(changes, ["uds", "sds"])
+
+
+@query(
+    """
+    with r as (select 'scm' || s_suppkey as scm_id, case when s_suppkey % 3 = 0 then 'svn' else 'git' end as scm_type, '/src/' || s_suppkey as source_root, case when s_suppkey % 4 = 0 then 'main' end as entry_ref from supplier),
+    f as (select 'scm' || l_suppkey as scm_id, list_sort(list(distinct 'p' || (l_partkey % 9) || '.c')) as files from lineitem group by 1),
+    q as (select 'scm' || c_custkey % 120 as scm_id, 't' || c_custkey as trigger_type, case when c_custkey % 5 = 0 then 'v' || c_custkey end as base_ref, c_custkey % 2 = 0 as dry_run, c_custkey % 3 = 0 as by_hand, c_custkey from customer)
+    select scm_id, trigger_type, scm_type, source_root, case when r.scm_type is not null then coalesce(q.base_ref, entry_ref, case when scm_type = 'svn' then '' else 'HEAD~1' end) end as base_ref, dry_run,
+      case when r.scm_type is null then '' when by_hand then 'm' || c_custkey || '.c' else coalesce(array_to_string(files, ','), '') end as changed_files, r.scm_type is not null as known
+    from q left join r using (scm_id) left join f using (scm_id)
+    """
+)
+def change_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as requests about suppliers' sources; some name files by hand, some ask for unknown sources."""
+    scm = lambda c: F.concat(F.lit("scm"), c.cast("string"))
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    requests = table(spark, sf_dir, "customer").select(scm(c % 120).alias("scm_id"), F.concat(F.lit("t"), c.cast("string")).alias("trigger_type"), F.when(c % 5 == 0, F.concat(F.lit(" v"), c.cast("string"))).alias("base_ref"), (c % 2 == 0).alias("dry_run"), F.when(c % 3 == 0, F.array(F.lit(" "), F.concat(F.lit(" m"), c.cast("string"), F.lit(".c")))).alias("files"))
+    registry = table(spark, sf_dir, "supplier").select(scm(s).alias("id"), F.when(s % 3 == 0, "SVN").alias("scm_type"), F.concat(F.lit("/src/"), s.cast("string")).alias("source_root"), F.when(s % 4 == 0, "main").alias("base_ref"))
+    changed = table(spark, sf_dir, "lineitem").select(scm(F.col("l_suppkey")).alias("scm_id"), F.concat(F.lit("p"), (F.col("l_partkey") % 9).cast("string"), F.lit(".c")).alias("path"))
+    return designs.change_triggers(requests, registry, changed).withColumn("changed_files", F.array_join("changed_files", ","))
+
+
+@query(
+    """
+    with s as (select p_brand || '/' || p_partkey // 512 as path, p_partkey as o, ['Motor', 'Pump', 'Valve'][p_partkey % 3 + 1] as m, 'Aux' || p_size % 5 as a, p_partkey % 4 = 0 as direct,
+        case when p_partkey % 4 = 0 then 'SwCom_' || p_size % 3 || ': x' when p_partkey % 7 = 0 then 'Revision History' else 'H' || p_partkey % 11 end as heading, 'SwCom_' || p_size % 3 as com from part),
+    t as (select *, 'calls g_' || m || '_run then s_' || a || '_go of ' || o as text, ['g_' || m || '_run', 's_' || a || '_go'] as fs, case when direct then [com] else [m, a] end as ms, heading = 'Revision History' as rest from s),
+    r as (select path, 'function' as kind, unnest(fs) as title, o, heading, text, fs, ms, direct as leads from t where not rest union all select path, 'module', unnest(ms), o, heading, text, fs, ms, direct from t where not rest),
+    h as (select path, kind, title, heading, min(o) as o, arg_min(leads, o) as leads from r group by all),
+    hs as (select path, kind, title, string_agg(heading, '|' order by leads desc, case when leads then -o else o end) as headings from h group by all),
+    g as (select path, kind, title, coalesce(arg_max(text, o) filter (leads), arg_min(text, o)) as summary, list_sort(list_distinct(flatten(list(fs)))) as fs, list_sort(list_distinct(flatten(list(ms)))) as ms from r group by all)
+    select path, kind, title, summary, headings, array_to_string(fs, ',') as functions, array_to_string(ms, ',') as modules,
+      case when kind = 'function' then concat_ws(',', case when title = 'g_Pump_run' then 'BODY' end, case when title = 's_Aux1_go' then 'NEW' end) else concat_ws(',', case when list_contains(fs, 'g_Pump_run') then 'BODY' end, case when list_contains(fs, 's_Aux1_go') then 'NEW' end) end as change_types,
+      case when kind = 'module' then title in ('Pump', 'Aux1', 'SwCom_2') else list_has_any(ms, ['Pump', 'Aux1', 'SwCom_2']) end as review
+    from g join hs using (path, kind, title)
+    union all select path, 'section', heading, text, heading, array_to_string(fs, ','), array_to_string(ms, ','), '', false from t where rest
+    """
+)
+def design_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections written from parts, in documents of a brand's blocks of keys, as functions, modules and other sections."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    say = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    module = F.element_at(F.array(F.lit("Motor"), F.lit("Pump"), F.lit("Valve")), (k % 3 + 1).cast("int"))
+    heading = F.when(k % 4 == 0, say("SwCom_", size % 3, ": x")).when(k % 7 == 0, F.lit("Revision  History")).otherwise(say("H", k % 11))
+    sections = table(spark, sf_dir, "part").select(say(F.col("p_brand"), "/", F.floor(k / 512)).alias("path"), k.alias("ordinal"), heading.alias("heading"), say("calls g_", module, "_run then\n s_Aux", size % 5, "_go of ", k).alias("text"))
+    changed = spark.createDataFrame([("g_Pump_run", "body"), ("s_Aux1_go", "NEW")], "name string, change_type string")
+    items = designs.design_items(designs.section_facts(sections), changed, spark.createDataFrame([(" swcom_2",)], "module string"))
+    return items.select("path", "kind", "title", "summary", F.array_join("headings", "|").alias("headings"), F.array_join("functions", ",").alias("functions"), F.array_join("modules", ",").alias("modules"), F.array_join("change_types", ",").alias("change_types"), "review")
