@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the session's checkpoint folder."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's own folder below `spark.checkpoint.dir`; where no folder is named, a temporary one under a local master."""
     import tempfile
 
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and context.master.split("[")[0] != "local":
             raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracelake-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iteration in the session's checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.plans import details, measures, programs, relations, texts  # noqa: F401  (they register themselves)
+from tracelake.plans import details, exchanges, measures, programs, relations, texts  # noqa: F401  (they register themselves)
 from tracelake.plans.registry import ORACLE_SQL, QUERIES, Query
 
 FLAGSHIP = "gate_summary"
