@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import descriptions
 from tracelake.operators import branches, changelog, designs, generate, graph, ranges, search, units
 from tracelake.plans.registry import query, table
-from tracelake.sources import code, flow, pdf
+from tracelake.sources import code, flow, pdf, sidedocs
 from tracelake.streaming import jobs
 
 #: Bodies of orders: `deep` conditions inside one another (a guard's name where 3 divides the key), an else at the
@@ -513,3 +513,39 @@ def design_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = spark.createDataFrame([("g_Pump_run", "body"), ("s_Aux1_go", "NEW")], "name string, change_type string")
     items = designs.design_items(designs.section_facts(sections), changed, spark.createDataFrame([(" swcom_2",)], "module string"))
     return items.select("path", "kind", "title", "summary", F.array_join("headings", "|").alias("headings"), F.array_join("functions", ",").alias("functions"), F.array_join("modules", ",").alias("modules"), F.array_join("change_types", ",").alias("change_types"), "review")
+
+
+@query(
+    """
+    with r as (select p_brand as path, p_partkey + 2 as row, 'HSI_' || p_partkey as id, case when p_size % 3 = 0 then '' else 'PIN ' || p_size end as signal_name, case when p_size % 2 = 0 then 'u8g_' || p_partkey || ', v' || p_size else '' end as sw_var_name from part where p_partkey % 5 <> 0),
+    k as (select * from r where signal_name <> '' or sw_var_name <> ''),
+    n as (select path, 'u8g_' || (row - 2) as name, 'variable' as kind from k where sw_var_name <> '' union all select path, substr(sw_var_name, strpos(sw_var_name, ', ') + 2), 'variable' from k where sw_var_name <> '' union all select path, replace(signal_name, ' ', '_'), 'signal' from k where signal_name <> '')
+    select distinct path, name, kind from n
+    """
+)
+def signal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of signal sheets whose cells are written from parts; a fifth of the rows are no signals."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    say = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    values = {6: F.when(k % 5 == 0, say("N_", k)).otherwise(say("HSI_", k)), 7: F.when(size % 3 != 0, say("PIN ", size)), 20: F.when(size % 2 == 0, say("u8g_", k, ", v", size))}
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_brand").alias("path"), F.lit("2.HSIS").alias("sheet"), (k + 2).alias("row"), F.explode(F.array(*[F.struct(F.lit(c).alias("col"), v.alias("value")) for c, v in values.items()])).alias("c")).select("path", "sheet", "row", "c.col", "c.value")
+    heads = part.select(F.col("p_brand").alias("path")).distinct().select("path", F.lit("2.HSIS").alias("sheet"), F.lit(1).cast("long").alias("row"), F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.lit(v).alias("value")) for c, v in ((6, "ID"), (7, "Signal Name"), (20, "SW Variable Name"))])).alias("c")).select("path", "sheet", "row", "c.col", "c.value")
+    return sidedocs.signal_names(sidedocs.signals(rows.unionByName(heads)))
+
+
+@query(
+    """
+    with d as (select p_brand as path, lower(p_name) as name, arg_max('text ' || p_type || p_partkey, p_partkey) as description from part where p_size % 4 <> 0 group by 1, 2),
+    f as (select name, max(description) as best from d group by 1)
+    select s_suppkey::varchar as id, n as name, case when length(best) > 12 then best else '12 long text' end as description
+    from (select s_suppkey, (select min(p_name) from part where p_partkey = s_suppkey) as n from supplier) s left join f on lower(s.n) = f.name
+    """
+)
+def side_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions of tables, the last of a name in each document, put in where they are longer than a function's own."""
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_brand").alias("path"), F.lit(0).alias("table"), (F.col("p_partkey") + 1).alias("row"), F.array(F.col("p_type"), F.concat(F.lit(" "), "p_name"), F.when(F.col("p_size") % 4 != 0, F.concat(F.lit("text "), "p_type", F.col("p_partkey").cast("string"))).otherwise(" ")).alias("cells"))
+    heads = part.select(F.col("p_brand").alias("path")).distinct().select("path", F.lit(0).alias("table"), F.lit(0).cast("long").alias("row"), F.array(F.lit("Kind"), F.lit("Function name"), F.lit("Description")).alias("cells"))
+    functions = table(spark, sf_dir, "supplier").join(part.select(F.col("p_partkey").alias("s_suppkey"), "p_name"), "s_suppkey", "left").select(F.col("s_suppkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.lit("12 long text").alias("description"))
+    return sidedocs.longer_descriptions(functions, sidedocs.table_descriptions(rows.unionByName(heads)))
