@@ -12,7 +12,7 @@ from tracelake.plans.registry import query, table
 from tracelake.sources import files, sinks
 
 #: A file for each brand's parts of one block of keys, so files stay small however many parts there are.
-PAGE_KEYS = 512
+PAGE_KEYS = 4_096
 PAGES_SQL = f"p as (select *, replace(p_brand, '#', '') || '_' || p_partkey // {PAGE_KEYS} as page from part)"
 
 

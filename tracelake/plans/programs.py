@@ -52,7 +52,7 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def flow_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.flow_tree(_bodies(spark, sf_dir)).withColumn("enclosing", F.size("path")).drop("path")
+    return flow.flow_tree(_bodies(spark, sf_dir), spread=spark.sparkContext.defaultParallelism).withColumn("enclosing", F.size("path")).drop("path")
 
 
 @query(
@@ -82,7 +82,7 @@ def flow_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def branch_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return branches.branch_steps(flow.flow_tree(_bodies(spark, sf_dir)), most_cases=None, most_steps=None)
+    return branches.branch_steps(flow.flow_tree(_bodies(spark, sf_dir), spread=spark.sparkContext.defaultParallelism), most_cases=None, most_steps=None)
 
 
 @query(
@@ -120,7 +120,7 @@ def decision_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     op = F.element_at(F.array(*[F.lit(x) for x in ("<", ">", "<=", ">=", "==", "!=")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
     body = F.concat(F.lit("if (u8_a "), op, F.lit(" 0x"), F.hex("o_custkey"), F.lit(") { f(); } else if ((s16_b "), op, F.lit(" other)) { g(); h(); }"))
-    tree = flow.flow_tree(o.select(F.col("o_orderkey").cast("string").alias("name"), body.alias("body")))
+    tree = flow.flow_tree(o.select(F.col("o_orderkey").cast("string").alias("name"), body.alias("body")), spread=spark.sparkContext.defaultParallelism)
     return branches.decision_values(tree).drop("node")
 
 

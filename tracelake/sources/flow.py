@@ -22,6 +22,7 @@ WORD = re.compile(r"[A-Za-z_]\w*")
 NO_CALL = {"if", "for", "while", "switch", "return", "else", "do", "case", "default", "sizeof", "goto"}
 SETS = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", "++", "--"}
 CLOSES = {"(": ")", "[": "]", "{": "}"}
+STEP = dict.fromkeys(CLOSES, 1) | dict.fromkeys(CLOSES.values(), -1)
 
 
 def bare_text(text: str) -> str:
@@ -36,17 +37,18 @@ class _Body:
 
     def __init__(self, text: str, known: set[str] | None, most_depth: int):
         self.text, self.known, self.most_depth = bare_text(text), known, most_depth
-        self.tokens = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(self.text)]
+        self.tokens = [(m[0], *m.span()) for m in TOKEN.finditer(self.text)]
+        self.words = [t[0] for t in self.tokens] + [""] * 4  # empty beyond the end
         self.nodes: list[list] = []
 
     def at(self, k: int) -> str:
-        return self.tokens[k][0] if k < len(self.tokens) else ""
+        return self.words[k]
 
     def close(self, k: int) -> int:
         """The token that closes the bracket at `k`, or the last one."""
         depth = 0
         for j in range(k, len(self.tokens)):
-            depth += (self.at(j) in CLOSES) - (self.at(j) in CLOSES.values())
+            depth += STEP.get(self.words[j], 0)
             if depth == 0:
                 return j
         return len(self.tokens) - 1
@@ -161,13 +163,14 @@ _PATH = pa.list_(pa.struct([("node", pa.int32()), ("branch", pa.string())]))
 _NODE = {"node": pa.int32(), "parent": pa.int32(), "branch": pa.string(), "depth": pa.int32(), "kind": pa.string(), "text": pa.string(), "detail": pa.string(), "last": pa.int32(), "path": _PATH}
 
 
-def flow_tree(found: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+def flow_tree(found: DataFrame, most_depth: int = MOST_DEPTH, spread: int | None = None) -> DataFrame:
     """Nodes of the bodies of functions (name, body, and where present calls: an array of the callees that count).
 
     One row a node: function, node (preorder number), parent (-1 at the top), branch of the parent (true,
     false, body, case, default), depth, kind (call, if, switch, case, default, loop, return, assign), text
     (name, condition, label or statement), detail (for, while or do of a loop; else of an if that has
     one), last (its last descendant), path. Nodes deeper than `most_depth` are left out with what they hold.
+    `spread` deals the bodies over so many tasks first, for inputs that come in few.
     """
 
     def run(batches):
@@ -178,7 +181,8 @@ def flow_tree(found: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
 
     calls = F.col("calls") if "calls" in found.columns else F.lit(None).cast("array<string>").alias("calls")
     schema = "function string, node int, parent int, branch string, depth int, kind string, text string, detail string, last int, path array<struct<node:int,branch:string>>"
-    return found.select("name", "body", calls).mapInArrow(run, schema)
+    bodies = found.select("name", "body", calls)
+    return (bodies.repartition(spread) if spread else bodies).mapInArrow(run, schema)
 
 
 def condition_text(condition: Column | str, most: int = 60) -> Column:
