@@ -19,3 +19,10 @@ def test_deep_and_long_tables(spark):
     path = ".".join(["g", *(f"n{d}" for d in range(3, 40)), "x"])
     assert got[1] == [(path, "7"), (f"{path}.far", "8")]
     assert got[2] == [(f"v{i}", str(i)) for i in range(1_000)] and set(got) == {1, 2}
+
+
+def test_bank_of_a_report(spark):
+    one, two = page([(0, "UUT: unit", ""), (1, "&lt;&lt;GLOBAL&gt;&gt;Globals", ""), (2, "b", "1"), (2, "a", "2")]), page([(0, "UUT: unit", ""), (1, "&lt;&lt;GLOBAL&gt;&gt;Globals", ""), (2, "c", "1"), (2, "b", "2"), (2, "d", "3")]).replace("run.1", "run.2")
+    pages = spark.createDataFrame([(1, "<th>Environment Name</th>\n <td class='x'> env </td>" + one + two.removeprefix("<html>")), (2, one), (3, None)], "id int, page string")
+    got = {r["id"]: tuple(r)[1:] for r in cases.case_bank(pages, ["id"], "page").collect()}
+    assert got == {1: ("env", "unit", 2, ["b", "a", "c", "d"], [], 3, 0), 2: ("", "unit", 1, ["b", "a"], [], 2, 0)}

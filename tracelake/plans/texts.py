@@ -311,6 +311,18 @@ def requirement_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requirements.blocks(lines, ["p_partkey"]).drop("block")
 
 
+def _case_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test case data reports, a test case a part."""
+    row = lambda depth, name, *value: _say(f'<tr><td class="i{depth}">', *name, "</td>\n<td>int</td>\n<td>", *value, "</td></tr>\n")
+    given = [row(0, ["UUT: unit"]), row(1, ["&lt;&lt;GLOBAL&gt;&gt; Globals"]), row(2, ["g_size"], "0"), row(2, ["g_size"], "{p_size}"), row(2, ["g_list"], ""), row(3, ["[1]"], ""), row(4, ["x"], "{p_name}"), row(1, ["Subprogram: helper"]), row(2, ["arg"], "&lt;&lt;MAX&gt;&gt;"), row(2, ["big"], "&lt;&lt;malloc 4&gt;&gt;"), row(0, ["Stubbed Subprograms"]), row(2, ["Unit: stub_", "{p_partkey}"], ""), row(3, ["return"], "7")]
+    want = [row(0, ["UUT: unit"]), row(1, ["Subprogram: run"]), row(2, ["g_size"], (F.col("p_size") + 1).cast("string"))]
+    body = _say(
+        "<!-- TestcaseSectionsHeader --><table><tr><th>Unit Under Test</th><td>unit_", "{p_brand}", "</td><th>Subprogram name</th><td>run</td></tr><tr><th>Test Case Name</th><td>run.", "{p_partkey}", "</td></tr></table>\n<!-- TestCaseData --><h4>Input Test Data</h4><table>", *given,
+        "</table><h4>Expected Test Data</h4><table>", *want, "</table>",
+    )
+    return _brand_pages(spark, sf_dir, body, "<html>Test Case Data Report<table><tr><th>Environment Name</th>\n<td> bench 1 </td></tr></table>")
+
+
 @query(_paged("""
     with p as (select *, row_number() over (partition by p_brand order by p_partkey) - 1 as section from part),
     i as (select p_brand, section, p_partkey, unnest(['input', 'input', 'input', 'input', 'expected']) as part, unnest(['g_size', 'g_list[1].x', 'helper() arg', 'stub_' || p_partkey || '() return', 'g_size']) as variable,
@@ -319,14 +331,16 @@ def requirement_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """))
 def case_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report a brand, a test case a part."""
-    row = lambda depth, name, *value: _say(f'<tr><td class="i{depth}">', *name, "</td>\n<td>int</td>\n<td>", *value, "</td></tr>\n")
-    given = [row(0, ["UUT: unit"]), row(1, ["&lt;&lt;GLOBAL&gt;&gt; Globals"]), row(2, ["g_size"], "0"), row(2, ["g_size"], "{p_size}"), row(2, ["g_list"], ""), row(3, ["[1]"], ""), row(4, ["x"], "{p_name}"), row(1, ["Subprogram: helper"]), row(2, ["arg"], "&lt;&lt;MAX&gt;&gt;"), row(2, ["big"], "&lt;&lt;malloc 4&gt;&gt;"), row(0, ["Stubbed Subprograms"]), row(2, ["Unit: stub_", "{p_partkey}"], ""), row(3, ["return"], "7")]
-    want = [row(0, ["UUT: unit"]), row(1, ["Subprogram: run"]), row(2, ["g_size"], (F.col("p_size") + 1).cast("string"))]
-    body = _say(
-        "<!-- TestcaseSectionsHeader --><table><tr><th>Unit Under Test</th><td>unit_", "{p_brand}", "</td><th>Subprogram name</th><td>run</td></tr><tr><th>Test Case Name</th><td>run.", "{p_partkey}", "</td></tr></table>\n<!-- TestCaseData --><h4>Input Test Data</h4><table>", *given,
-        "</table><h4>Expected Test Data</h4><table>", *want, "</table>",
-    )
-    return cases.case_items(_brand_pages(spark, sf_dir, body, "<html>Test Case Data Report"), ["p_brand"], "page").drop("place")
+    return cases.case_items(_case_pages(spark, sf_dir), ["p_brand"], "page").drop("place")
+
+
+@query(_paged("""
+    select p_brand, 'bench 1' as environment, 'unit_' || split_part(p_brand, '/', 1) as component, count(*) as cases, 'g_size,g_list[1].x,helper() arg,' || string_agg('stub_' || p_partkey || '() return', ',' order by p_partkey) as input_names, 'g_size' as expected_names, 4 as most_inputs, 1 as most_expected from part group by p_brand
+    """))
+def case_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each report holds in all: names in order, cases, and the largest section."""
+    bank = cases.case_bank(_case_pages(spark, sf_dir), ["p_brand"], "page")
+    return bank.withColumns({c: F.array_join(c, ",") for c in ("input_names", "expected_names")})
 
 
 @query(_paged("""

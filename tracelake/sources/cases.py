@@ -132,6 +132,25 @@ def case_items(pages: DataFrame, keys: list[str], column: str) -> DataFrame:
     return _last_values(items, keys).drop("wanted")
 
 
+def case_bank(pages: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """What test case data reports hold in all: keys, environment, component, cases, input_names, expected_names, most_inputs, most_expected.
+
+    Names stand in the order in which they come first; `cases` counts different test cases, the maxima are
+    those of one section. The component is the first section's; a page without sections has no row.
+    """
+    items = case_items(pages, keys, column)
+    first = items.groupBy(*keys, "part", "variable").agg(F.min(F.struct("section", "place")).alias("at"))
+    listed = lambda part: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("at", "variable")))), lambda x: x["variable"])
+    names = first.groupBy(*keys).agg(listed("input").alias("input_names"), listed("expected").alias("expected_names"))
+    sizes = items.groupBy(*keys, "section", "part").agg(F.count(F.lit(1)).alias("n"))
+    most = lambda part: F.coalesce(F.max(F.when(F.col("part") == part, F.col("n"))), F.lit(0))
+    counts = sizes.groupBy(*keys).agg(most("input").alias("most_inputs"), most("expected").alias("most_expected"))
+    heads = items.groupBy(*keys).agg(F.min_by("component", "section").alias("component"), F.count_distinct("testcase").alias("cases"))
+    environment = F.trim(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"(?is)<th>Environment Name</th>\s*<td[^>]*>(.*?)</td>", 1))
+    named = pages.select(*keys, environment.alias("environment"))
+    return named.join(heads, keys).join(names, keys).join(counts, keys).select(*keys, "environment", "component", "cases", "input_names", "expected_names", "most_inputs", "most_expected")
+
+
 def _result_step(a: Column, r: Column) -> Column:
     empty = _none_of(a["names"])
     shown = lambda k: F.replace(F.replace(F.coalesce(F.get(r["cells"], F.lit(k)), F.lit("")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
