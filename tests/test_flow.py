@@ -183,6 +183,14 @@ def test_steps_as_recursive_walk(spark, cases, steps):
         assert len(got.get(name, {})) == sum(1 for w in want if w)
 
 
+def test_no_rows_of_trees_go_through_the_driver(spark):
+    text = "a(); if (x == 0) { b(); } else { c(); } switch (m) { case 1: d(); default: e(); } return 1;"
+    found = spark.range(1, 3).selectExpr("'f' || id as name", f"case id when 1 then '{text}' else 'h();' end as body")
+    steps = branches.branch_steps(flow.flow_tree(found), None, None)
+    assert "Broadcast" not in steps._jdf.queryExecution().executedPlan().toString()
+    assert steps.groupBy("function").agg({"case_no": "max"}).orderBy("function").collect() == [("f1", 4), ("f2", 1)]
+
+
 def test_awkward_bodies(spark):
     found = spark.createDataFrame([("a", None, ["f"]), ("b", "", ["f"]), ("c", "if (x", ["f"]), ("d", "}}} f(); else g(1);", ["f"]), ("e", "int t[] = {1, 2}; f(t);", ["f"])], "name string, body string, calls array<string>")
     got = sorted((r["function"], r["kind"], r["text"]) for r in flow.flow_tree(found).collect())
