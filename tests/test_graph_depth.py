@@ -1,3 +1,8 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from tracelake.operators import graph
 
 
@@ -15,3 +20,42 @@ def test_components_of_nodes_without_a_module(spark):
     seeds = spark.createDataFrame([("a",), ("x",)], "node string")
     assert sorted(tuple(r) for r in graph.impacted_components(impacted, modules, seeds).collect()) == [("M", 2, 1), ("unknown", 2, 0)]
     assert graph.impacted_components(impacted.limit(0), modules, seeds).count() == 0
+
+
+def two_hop_slowly(edges, most):
+    calls, out = {}, []
+    for s, d, o in edges:
+        calls.setdefault(s, {})
+        calls[s][d] = min(o, calls[s].get(d, o))
+    for s, direct in calls.items():
+        first = {}
+        for mid, o1 in direct.items():
+            for far, o2 in calls.get(mid, {}).items():
+                if far != s and far not in direct:
+                    first[far] = min(first.get(far, (o1, o2)), (o1, o2))
+        out += [(s, far, k + 1) for k, (_, far) in enumerate(sorted((f, far) for far, f in first.items())[:most])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("mids", [1, 2, 50])
+def test_two_hops_follow_callees_until_there_are_enough(spark, mids):
+    rnd = random.Random(7)
+    edges = [(rnd.randrange(30), rnd.randrange(60), rnd.randrange(40)) for _ in range(500)]
+    edges += [(100, k, k) for k in range(200, 240)] + [(k, 101, 1) for k in range(200, 240)] + [(239, k, 2) for k in range(300, 330)]  # all that matters stands behind the last callee
+    got = graph.two_hop(spark.createDataFrame(edges, "src long, dst long, ordinal long"), 5, mids)
+    assert sorted(map(tuple, got.collect())) == two_hop_slowly(edges, 5)
+
+
+def test_two_hops_do_not_join_every_callee(spark):
+    context = spark.sparkContext
+    stages = lambda: context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    moved = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    many = spark.range(200).selectExpr("id as src", "explode(sequence(1000L, 1299L)) as dst")
+    edges = many.union(many.filter("src = 0").selectExpr("dst as src", "explode(sequence(10000 + dst * 100, 10029 + dst * 100)) as dst")).withColumn("ordinal", F.col("dst"))
+    before, limit = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert graph.two_hop(edges, 20).count() == 200 * 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert moved() - before < 1_200_000  # 69,000 calls, dealt some times a round; all ways are 1,800,000
