@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.operators import graph
+from tracelake.operators import graph, relate
 
 
 def test_closure_has_no_bound_on_rounds(spark, monkeypatch):
@@ -59,3 +59,21 @@ def test_two_hops_do_not_join_every_callee(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert moved() - before < 1_200_000  # 69,000 calls, dealt some times a round; all ways are 1,800,000
+
+
+def most_rows(plan):
+    """The most rows that a node of an executed plan gave."""
+    metric = plan.metrics().get("numOutputRows")
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    name = plan.getClass().getSimpleName()
+    below += [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else []
+    return max([metric.get().value() if metric.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_a_function_meets_a_requirement_of_its_component_once(spark):
+    requirements = spark.range(5).selectExpr("concat('SwTR_', id) as req_id")
+    functions = spark.range(100).selectExpr("concat('f', id) as name", "'c' as component", "cast(null as string) as related")
+    designs = spark.range(3000).selectExpr("'c' as component", "concat('SwTR_', id % 6) as req_id")
+    found = relate.requirement_functions(requirements, functions, designs)
+    assert len(found.collect()) == 500
+    assert most_rows(found._jdf.queryExecution().executedPlan()) <= 3000

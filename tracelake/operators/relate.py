@@ -73,9 +73,11 @@ def requirement_functions(requirements: DataFrame, functions: DataFrame, designs
     ids = functions.select("name", "component", F.explode_outer(text.document_ids("related")).alias("req_id"))
     direct = ids.filter("req_id is not null").select(text.requirement_key("req_id").alias("req_id"), "name", F.lit("related").alias("via"))
     lonely = functions.filter(F.size(text.document_ids("related")) == 0).select("name", "component")
-    design = lonely.join(designs.select("component", text.requirement_key("req_id").alias("req_id")), "component").select("req_id", "name", F.lit("design").alias("via"))
     known = requirements.select(text.requirement_key("req_id").alias("req_id")).distinct()
-    return direct.unionByName(design).distinct().join(known, "req_id", "left_semi")
+    # However many rows name a component's requirement, a function meets it once.
+    told = designs.select("component", text.requirement_key("req_id").alias("req_id")).distinct().join(known, "req_id", "left_semi")
+    design = lonely.join(told, "component").select("req_id", "name", F.lit("design").alias("via"))
+    return direct.join(known, "req_id", "left_semi").unionByName(design).distinct()
 
 
 def fill_blank(rows: DataFrame, key: str, source: DataFrame, source_key: str, columns: list[str], label: str) -> DataFrame:
