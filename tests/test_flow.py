@@ -262,3 +262,20 @@ int f(void) { static int hits = 0, misses; static void (*cb)(int); int plain = 1
     assert [(r["name"], r["returns"], r["parameters"], r["is_extern"]) for r in flow.prototypes(files).orderBy("ordinal").collect()] == [("proto", "int", "int (*cb)(int), char *s", False), ("far_away", "void *", "void", True)]
     local = flow.static_locals(code.functions(files)).orderBy("ordinal", "name").collect()
     assert [(r["function"], r["name"], r["type"], r["init"]) for r in local] == [("f", "hits", "int", "0"), ("f", "misses", "int", None), ("f", "cb", "void", None), ("f", "deep", "char", None)]
+
+
+def test_parts_take_a_step_a_sign(spark):
+    text = "a<b, 𝄞c>, (é,\n[1, 2]] , )x,, y - \\^z, {p, q}"
+    rows = spark.range(1).selectExpr(f"'{text}' as t".replace("\\", "\\\\"))
+    for brackets in ("()[]<>{}", "()", "<>{}"):
+        want, part, depth = [], "", dict.fromkeys(brackets[::2], 0)
+        for c in text:
+            if c == "," and not any(depth.values()):
+                want, part = [*want, part.strip(" ")], ""
+                continue
+            part += c
+            for a, b in zip(brackets[::2], brackets[1::2], strict=True):
+                depth[a] = max(0, depth[a] + (c == a) - (c == b))
+        assert rows.select(flow.top_level_parts("t", brackets=brackets)).first()[0] == [p for p in [*want, part.strip(" ")] if p]
+    # No list of all places of a text is made, and a text without a separator is not walked at all.
+    assert "sequence(" not in rows.select(flow.top_level_parts("t"))._jdf.queryExecution().toString()
