@@ -77,3 +77,17 @@ def test_a_function_meets_a_requirement_of_its_component_once(spark):
     found = relate.requirement_functions(requirements, functions, designs)
     assert len(found.collect()) == 500
     assert most_rows(found._jdf.queryExecution().executedPlan()) <= 3000
+
+
+def test_edges_are_computed_once_for_all_hops(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.range(0, 8, 1, 1).selectExpr("id as src", "id + 1 as dst").mapInArrow(count, "src long, dst long")
+    seeds = spark.createDataFrame([(4,)], "node long")
+    assert sorted(r["node"] for r in graph.directed_impact(edges, seeds).collect()) == list(range(9))
+    assert seen.value == 8
