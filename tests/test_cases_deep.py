@@ -26,3 +26,16 @@ def test_bank_of_a_report(spark):
     pages = spark.createDataFrame([(1, "<th>Environment Name</th>\n <td class='x'> env </td>" + one + two.removeprefix("<html>")), (2, one), (3, None)], "id int, page string")
     got = {r["id"]: tuple(r)[1:] for r in cases.case_bank(pages, ["id"], "page").collect()}
     assert got == {1: ("env", "unit", 2, ["b", "a", "c", "d"], [], 3, 0), 2: ("", "unit", 1, ["b", "a"], [], 2, 0)}
+
+
+def test_tables_are_read_once_for_a_bank(spark, capsys):
+    pages = spark.createDataFrame([(1, page([(0, "UUT: unit", "")]))], "id int, page string")
+    cases.case_bank(pages, ["id"], "page").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Generate posexplode") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_of_values_of_one_variable_the_last_counts(spark):
+    rows = [(0, "UUT: unit", ""), (1, "&lt;&lt;GLOBAL&gt;&gt; Globals", ""), (2, "a", "1"), (2, "b", "2"), (2, "a", "3"), (2, "a", "")]
+    got = cases.case_items(spark.createDataFrame([(1, page(rows))], "id int, page string"), ["id"], "page").select("variable", "place", "value").collect()
+    assert sorted(tuple(r) for r in got) == [("a", 0, "3"), ("b", 1, "2")]
