@@ -13,6 +13,8 @@ from tracelake.sources import files, sinks
 
 #: A file for each brand's parts of one block of keys, so files stay small however many parts there are.
 PAGE_KEYS = 4_096
+#: Blocks whose pages' reports stand in one file where a file may hold several, so that files are few.
+FILE_BLOCKS = 16
 PAGES_SQL = f"p as (select *, replace(p_brand, '#', '') || '_' || p_partkey // {PAGE_KEYS} as page from part)"
 
 
@@ -86,11 +88,13 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {PAGES_SQL} select n % 7 / 10 as line_rate, n % 9 / 100 as branch_rate, count(*) as pages from (select page, count(*) as n from p group by 1) group by 1, 2")
 def coverage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage reports with rates as shares and, over 1, as percentages."""
-    page = _say(F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), "_", F.floor(F.col("p_partkey") / PAGE_KEYS))
-    n = table(spark, sf_dir, "part").groupBy(page.alias("page")).agg(F.count(F.lit(1)).alias("n"))
-    text = _say('<?xml version="1.0"?>\n<coverage line-rate="', F.col("n") % 7 / 10, '" branch-rate="', F.when(F.col("n") % 9 < 2, (F.col("n") % 9 / 100).cast("string")).otherwise((F.col("n") % 9).cast("string")), '"><packages/></coverage>')
+    block = F.floor(F.col("p_partkey") / PAGE_KEYS)
+    page = _say(F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), "_", block)
+    n = table(spark, sf_dir, "part").groupBy(page.alias("page")).agg(F.count(F.lit(1)).alias("n"), F.min(block).alias("block"))
+    text = _say('<coverage line-rate="', F.col("n") % 7 / 10, '" branch-rate="', F.when(F.col("n") % 9 < 2, (F.col("n") % 9 / 100).cast("string")).otherwise((F.col("n") % 9).cast("string")), '"><packages/></coverage>')
     folder = _folder(spark, "coverage")
-    n.select("page", text.alias("value")).repartition("page").write.partitionBy("page").text(folder)
+    lots = n.groupBy(F.floor(F.col("block") / FILE_BLOCKS).alias("lot")).agg(F.concat(F.lit('<?xml version="1.0"?>\n<reports>'), F.array_join(F.collect_list(text), "\n"), F.lit("</reports>")).alias("value"))
+    lots.repartition("lot").write.partitionBy("lot").text(folder)
     return files.coverage_xml(spark, folder).groupBy(F.round("line_rate", 6).alias("line_rate"), F.round("branch_rate", 6).alias("branch_rate")).agg(F.count(F.lit(1)).alias("pages"))
 
 

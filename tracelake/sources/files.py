@@ -78,9 +78,10 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def coverage_xml(spark: SparkSession, path: str) -> DataFrame:
-    """line_rate and branch_rate (0 to 1) of coverage reports' root elements."""
-    rows = spark.read.format("xml").option("rowTag", "coverage").option("inferSchema", False).load(path)
-    rate = lambda name: numbers.rate_0_1(F.col(f"`_{name}`")) if f"_{name}" in rows.columns else F.lit(None).cast("double")
+    """line_rate and branch_rate (0 to 1) of coverage reports' root elements; a file may hold several."""
+    # With a schema the files are read once, not once more for their columns.
+    rows = spark.read.format("xml").option("rowTag", "coverage").schema("`_line-rate` string, `_branch-rate` string").load(path)
+    rate = lambda name: numbers.rate_0_1(F.col(f"`_{name}`"))
     return rows.select(rate("line-rate").alias("line_rate"), rate("branch-rate").alias("branch_rate"))
 
 
