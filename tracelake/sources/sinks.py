@@ -46,4 +46,5 @@ def markdown_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def case_rows(cases: DataFrame, keys: list[str], name: str, value: str, names: list[str]) -> DataFrame:
     """One row a sequence and one column a variable, for CSV files of test cases."""
-    return cases.groupBy(*keys).pivot(name, names).agg(F.first(value))
+    # One aggregation by case: a pivot keeps the pairs of case and variable in memory before it.
+    return cases.groupBy(*keys).agg(*[F.first(F.when(F.col(name) == n, F.col(value)), ignorenulls=True).alias(n) for n in names])
