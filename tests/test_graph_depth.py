@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import graph, relate
+from tracelake.plans import catalog, registry
 
 
 def test_closure_has_no_bound_on_rounds(spark, monkeypatch):
@@ -91,3 +92,26 @@ def test_edges_are_computed_once_for_all_hops(spark):
     seeds = spark.createDataFrame([(4,)], "node long")
     assert sorted(r["node"] for r in graph.directed_impact(edges, seeds).collect()) == list(range(9))
     assert seen.value == 8
+
+
+def test_edges_stand_in_as_many_parts_as_their_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(registry, "ROWS_A_PART", 500)
+    settled = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df: settled.append(df.checkpoint()) or settled[-1])
+    for name in ("bfs_hops", "impact_groups", "directed_impact"):
+        settled.clear()
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert settled[0].rdd.getNumPartitions() == 12, name  # 6,000 lines
+
+
+def test_a_frontier_too_large_to_be_sent_meets_the_edges_in_parts(spark, monkeypatch):
+    edges = spark.range(0, 300).selectExpr("id div 3 as src", "id + 1 as dst")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    want = sorted(map(tuple, graph.hops(edges, seeds).collect()))
+    sent = []
+    broadcast = graph.F.broadcast
+    monkeypatch.setattr(graph.F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    assert sorted(map(tuple, graph.hops(edges, seeds, parts=9).collect())) == want and sent
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
+    sent.clear()
+    assert sorted(map(tuple, graph.hops(edges, seeds, parts=9).collect())) == want and not sent

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import numbers, text
 from tracelake.operators import change, filters, generate, graph, relate, search, sets
-from tracelake.plans.registry import query, table
+from tracelake.plans.registry import parts_of, query, table
 from tracelake.sources import html, logs
 
 # -- traceability and diffs -------------------------------------------------------------------
@@ -283,11 +283,18 @@ EDGES_SQL = """
 """
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """An order's lines have fewer edges than lines."""
+    return parts_of(table(spark, sf_dir, "lineitem"))
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as functions: a part calls the next part of an order."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.row_number().over(w).alias("ordinal"))
-    return lines.filter("dst is not null and src <> dst").groupBy("src", "dst").agg(F.min(F.col("l_orderkey") * 100 + F.col("ordinal")).alias("ordinal"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    parts = _parts(spark, sf_dir)
+    calls = lines.repartition(parts, "l_orderkey").select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.row_number().over(w).alias("ordinal"))
+    return calls.filter("dst is not null and src <> dst").repartition(parts, "src", "dst").groupBy("src", "dst").agg(F.min(F.col("l_orderkey") * 100 + F.col("ordinal")).alias("ordinal"))
 
 
 @query(EDGES_SQL + "select src, dst, ordinal from e")
@@ -304,7 +311,7 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([(0,)], "node long")
-    return graph.hops(graph.undirected(_edges(spark, sf_dir)), seeds, 2)
+    return graph.hops(graph.both_ways(_edges(spark, sf_dir)), seeds, 2, parts=_parts(spark, sf_dir))
 
 
 @query(
@@ -319,7 +326,7 @@ def impact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hops inside a brand from part 0."""
     edges = _edges(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     modules = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_brand").alias("module"))
-    return graph.impact_groups(edges, modules, spark.createDataFrame([("0",)], "node string"))
+    return graph.impact_groups(edges, modules, spark.createDataFrame([("0",)], "node string"), parts=_parts(spark, sf_dir))
 
 
 IMPACT_SQL = (
@@ -332,7 +339,7 @@ IMPACT_SQL = (
 @query(IMPACT_SQL + "select node from i")
 def directed_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed closure from part 0 over all calls."""
-    return graph.directed_impact(_edges(spark, sf_dir), spark.createDataFrame([(0,)], "node long"))
+    return graph.directed_impact(_edges(spark, sf_dir), spark.createDataFrame([(0,)], "node long"), _parts(spark, sf_dir))
 
 
 @query(IMPACT_SQL + "select coalesce(nullif(p_brand, 'Brand#3'), 'unknown') as component, count(*) as n_nodes, count(*) filter (node = 0) as n_seeds from i left join part on p_partkey = node group by 1")
@@ -340,7 +347,7 @@ def impacted_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closure from part 0 by brand; parts of one brand have no component."""
     seeds = spark.createDataFrame([(0,)], "node long")
     modules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.nullif("p_brand", F.lit("Brand#3")).alias("module"))
-    return graph.impacted_components(graph.directed_impact(_edges(spark, sf_dir), seeds), modules, seeds)
+    return graph.impacted_components(graph.directed_impact(_edges(spark, sf_dir), seeds, _parts(spark, sf_dir)), modules, seeds)
 
 
 @query(
