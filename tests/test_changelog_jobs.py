@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tracelake.operators import changelog
+from tracelake.plans import catalog, registry
 from tracelake.streaming import jobs
 
 
@@ -43,6 +44,19 @@ def test_change_log_as_slow_comparison(spark):
     assert changelog.change_log(entries.limit(0), "doc", "run", ["at"], "name", fields).count() == 0
 
 
+def test_entries_stand_in_as_many_parts_as_their_rows_need(spark, monkeypatch):
+    settled, checkpointed = [], changelog.checkpointed
+    monkeypatch.setattr(changelog, "checkpointed", lambda df: settled.append(checkpointed(df)) or settled[-1])
+    for name in ("change_log", "change_totals"):
+        monkeypatch.setattr(registry, "ROWS_A_PART", 250_000)
+        want = sorted(map(str, catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+        monkeypatch.setattr(registry, "ROWS_A_PART", 500)
+        settled.clear()
+        got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert [df.rdd.getNumPartitions() for df in settled] == [12]  # 6,000 lines
+        assert sorted(map(str, got.collect())) == want
+
+
 def at(s):
     return dt.datetime(2024, 1, 1, 0, 0, 0) + dt.timedelta(seconds=s)
 
