@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tracelake.operators import branches
+from tracelake.plans import catalog
 from tracelake.sources import code, flow
 
 
@@ -191,6 +192,21 @@ def test_no_rows_of_trees_go_through_the_driver(spark):
     assert steps.groupBy("function").agg({"case_no": "max"}).orderBy("function").collect() == [("f1", 4), ("f2", 1)]
 
 
+def test_rows_of_trees_are_not_moved(spark):
+    from pyspark.sql import functions as F
+
+    context, sf = spark.sparkContext, "/root/testdata/sf0.001"
+    stages = lambda: context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    moved = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    before = moved()
+    catalog.QUERIES["branch_cases"](spark, sf).write.format("noop").mode("overwrite").save()
+    assert moved() - before <= spark.read.parquet(f"{sf}/orders.parquet").count() + 10
+    # Rows of a tree in any order give the steps that whole trees give.
+    found = spark.createDataFrame([(f"g{k}", written(random.Random(k), program(random.Random(k), 0, 4))) for k in range(20)], "name string, body string")
+    rows = flow.flow_tree(found).orderBy(F.rand(3))
+    assert sorted(map(tuple, branches.branch_steps(rows, None, None).collect())) == sorted(map(tuple, branches.branch_steps(flow.flow_trees(found), None, None).collect()))
+
+
 def test_awkward_bodies(spark):
     found = spark.createDataFrame([("a", None, ["f"]), ("b", "", ["f"]), ("c", "if (x", ["f"]), ("d", "}}} f(); else g(1);", ["f"]), ("e", "int t[] = {1, 2}; f(t);", ["f"])], "name string, body string, calls array<string>")
     got = sorted((r["function"], r["kind"], r["text"]) for r in flow.flow_tree(found).collect())
