@@ -112,6 +112,38 @@ def test_trees_of_random_programs(most):
         assert [r[:8] for r in flow.flow_rows("{" + text + "}" if seed % 2 else text, None, most)] == numbered(nodes, most), text
 
 
+GARBAGE = 'if ( ) { } ; else while ( for switch ( case default : do f ( g h a = b += ++ == 0 err != < > 1 return break [ ] , { } ; ( ) } case 1 : if ( x == 0 ) switch ( m ) { case K : goto é _é " // /* */ # \\ <<= -> 3.5f "" f(a); x = 1; = {'.split()
+
+
+def test_no_text_is_read_otherwise_than_token_by_token():
+    """The digest is that of the reader that went token by token."""
+    import hashlib
+
+    found = hashlib.sha256()
+    for seed in range(3000):
+        rnd = random.Random(seed)
+        text = "".join(rnd.choice(GARBAGE) + rnd.choice([" ", "", "\n"]) for _ in range(rnd.randint(0, 90)))
+        found.update(repr([(*r[:8], list(r[8])) for r in flow.flow_rows(text, None if seed % 3 else {"f", "a", "err"}, rnd.choice([1, 4]))]).encode())
+    assert found.hexdigest() == "d320b1c518135eddfe182faf07cf0c7701c5a79ef04ff2cb7d2b80f9bcc121a5"
+
+
+def test_a_body_is_read_in_a_few_times_what_its_tokens_take():
+    import time
+
+    texts = [f"int v{k} = {k};\ninit();\n" + "".join(f"if (a{i} > {k}) {{ t{i}(); " for i in range(k % 7)) + "} " * (k % 7) + f"switch (mode) {{ case {k}: f(); break; default: g(); }} while (n < {k}) step({k}); return v{k};" for k in range(700)]
+
+    def least(read):
+        took = []
+        for _ in range(7):
+            began = time.process_time()
+            for text in texts:
+                read(text)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(flow.flow_rows) < 8 * least(flow.TOKEN.findall)  # 4 by statements, 10 to 14 token by token
+
+
 def walk(rows):
     """Cases by a recursive walk of node rows, one list of (action, expected) each."""
     children = {}
