@@ -115,3 +115,18 @@ def test_a_frontier_too_large_to_be_sent_meets_the_edges_in_parts(spark, monkeyp
     monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
     sent.clear()
     assert sorted(map(tuple, graph.hops(edges, seeds, parts=9).collect())) == want and not sent
+
+
+def test_groups_are_whole_however_many_functions_the_first_hop_brings(spark, tmp_path):
+    import duckdb
+
+    calls = [(k, 0, k) for k in range(1, 61)] + [(100 + k, k, 1000 + k) for k in range(1, 61)]  # order, caller, called
+    rows = [(order, line, part, 1) for order, *pair in calls for line, part in enumerate(pair, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, "b") for p in {r[2] for r in rows}], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    want = [("0", "direct"), *((str(k), "indirect_1hop") for k in range(1, 61)), *((str(1000 + k), "indirect_2hop") for k in range(1, 61))]
+    assert sorted((r["node"], r["group"]) for r in catalog.QUERIES["impact_groups"](spark, str(tmp_path)).collect()) == sorted(want)
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(con.execute(catalog.ORACLE_SQL["impact_groups"]).fetchall()) == sorted(want)

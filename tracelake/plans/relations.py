@@ -320,7 +320,7 @@ def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     u as (select src, dst from m union select dst, src from m), h0 as (select 0::bigint as node),
     h1 as (select distinct dst as node from u join h0 on src = node where dst not in (select node from h0)),
     h2 as (select distinct dst as node from u join h1 on src = node where dst not in (select node from h0 union select node from h1))
-    select node::varchar as node, 'direct' as "group" from h0 union all select node::varchar, 'indirect_1hop' from h1 union all select node::varchar, 'indirect_2hop' from h2 where (select count(*) from h0) + (select count(*) from h1) <= 50"""
+    select node::varchar as node, 'direct' as "group" from h0 union all select node::varchar, 'indirect_1hop' from h1 union all select node::varchar, 'indirect_2hop' from h2"""
 )
 def impact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hops inside a brand from part 0."""
